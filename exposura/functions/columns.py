@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 UNKNOWN = "unknown"
@@ -55,9 +57,20 @@ def dot(left: Column, right: Column) -> Column:
     )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    A column used inside a lambda is evaluated again for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(vector: Column, floor: float = 1e-12) -> Column:
-    norm = F.greatest(F.sqrt(dot(vector, vector)), F.lit(floor))
-    return F.transform(vector, lambda x: x.cast("double") / norm)
+    def scaled(v: Column) -> Column:
+        norm = F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
+        return bind(norm, lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+    return bind(vector, scaled)
 
 
 def discount(rank: Column) -> Column:

@@ -97,9 +97,10 @@ def bootstrap_mean(rows: DataFrame, unit: str, value: str, samples: int = 200, s
 
 def poisson_one(u: Column) -> Column:
     """Poisson(1) count by inverting the distribution function."""
-    return F.aggregate(
-        F.array(*[(u >= F.lit(edge)).cast("int") for edge in POISSON_ONE_CDF]), F.lit(0), lambda total, x: total + x
-    )
+    count = F.lit(0)
+    for edge in POISSON_ONE_CDF:
+        count = count + (u >= F.lit(edge)).cast("int")
+    return count
 
 
 def poisson_replicates(

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from exposura.functions.checks import enforce, is_finite, require_columns
-from exposura.functions.columns import uniform_hash
+from exposura.functions.columns import bind, uniform_hash
 from exposura.functions.scale import ROWS_PER_TASK, exact_percentiles, running_totals
 from exposura.operators.bootstrap import poisson_replicates
 
@@ -170,8 +170,9 @@ def logistic_reward_model(fit_rows: DataFrame, rows: DataFrame, n_actions: int,
         F.zip_with("context", F.lit(weights[:split]), lambda x, c: x.cast("double") * c), F.lit(float(model.intercept)),
         lambda s, x: s + x,
     )
+    by_action = F.lit(weights[split:])
     return rows.withColumn(
-        "prediction", F.transform(F.lit(weights[split:]), lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-(base + c))))
+        "prediction", bind(base, lambda b: F.transform(by_action, lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-(b + c)))))
     )
 
 

@@ -141,3 +141,30 @@ def ranking_stability(long: DataFrame, metric: str = "ndcg@10") -> DataFrame:
         order_of("standard").alias("standard_order"),
         order_of("randomized").alias("randomized_order"),
     )
+
+
+def mean_average_precision(
+    frame: DataFrame, k_values: Sequence[int] = (5, 10, 20), min_group_size: int = 2, by: Sequence[str] = (),
+    group_by: str = "auto",
+) -> DataFrame:
+    """MAP@k over eligible groups: precision at every hit, summed, over min(k, positives)."""
+    by = list(by)
+    group = [*by, "evaluation_group"]
+    work = frame.withColumn("evaluation_group", evaluation_group(frame, group_by))
+    totals = (
+        work.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), F.sum("long_view").alias("_positives"))
+        .where((F.col("_rows") >= min_group_size) & (F.col("_positives") > 0))
+    )
+    top = top_per_group(work, max(k_values), group, "_rank")
+    so_far = Window.partitionBy(*group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    gained = top.withColumn("_gain", F.col("long_view") * F.sum("long_view").over(so_far) / F.col("_rank"))
+    sums = gained.groupBy(*group).agg(
+        *[F.sum(F.when(F.col("_rank") <= k, F.col("_gain"))).alias(f"_gain_{k}") for k in k_values]
+    ).join(totals, group)
+    at_k = [
+        F.struct(F.lit(k).alias("k"), (F.col(f"_gain_{k}") / F.least(F.lit(k), F.col("_positives"))).alias("_ap"))
+        for k in k_values
+    ]
+    return sums.select(*by, F.explode(F.array(*at_k)).alias("_m")).select(*by, "_m.*").groupBy(*by, "k").agg(
+        F.avg("_ap").alias("map"), F.count(F.lit(1)).alias("groups")
+    )

@@ -243,3 +243,14 @@ def js_calibration(recommendations: DataFrame, profiles: DataFrame, k: int = 10,
     return per_context.groupBy(*by).agg(
         F.avg("js_divergence").alias("js_divergence_mean"), F.count(F.lit(1)).alias("contexts")
     ).withColumn("k", F.lit(k))
+
+
+def history_depth_report(rows: DataFrame, train: DataFrame, low_below: int = 20) -> DataFrame:
+    """Users, rows and positive rate by training-history depth: zero, low, mature."""
+    depth = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_history"))
+    per_user = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("long_view").alias("_p"))
+    n = F.coalesce(F.col("_history"), F.lit(0))
+    name = F.when(n == 0, "zero").when(n < low_below, "low").otherwise("mature")
+    return per_user.join(depth, "user_id", "left").groupBy(name.alias("depth")).agg(
+        F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows"), (F.sum("_p") / F.sum("_n")).alias("positive_rate")
+    )

@@ -230,14 +230,11 @@ def hash_vectors(table: DataFrame, key: str, columns: Sequence[str], dimension:
         place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % dimension
         sign = F.when(F.substring(digest, 13, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
         slots.append(F.struct(place.alias("place"), sign.alias("sign")))
-    features = table.select(key, F.array(*slots).alias("_slots"))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda d: F.aggregate(
-            F.filter(F.col("_slots"), lambda s: s["place"] == d), F.lit(0.0), lambda total, s: total + s["sign"]
-        ),
+    summed = F.aggregate(
+        F.array(*slots), F.array_repeat(F.lit(0.0), dimension),
+        lambda total, s: F.transform(total, lambda x, d: F.when(d == s["place"], x + s["sign"]).otherwise(x)),
     )
-    return features.select(key, raw.alias("_raw")).select(key, l2_normalize(F.col("_raw")).alias("embedding"))
+    return table.select(key, l2_normalize(summed).alias("embedding"))
 
 
 def profile_vectors(

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from exposura.plans import queries_features, queries_logs  # noqa: F401
+from exposura.plans import queries_evaluation, queries_features, queries_logs, queries_retrieval  # noqa: F401

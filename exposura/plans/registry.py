@@ -33,8 +33,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         QUERIES[name] = lambda spark, folder: rounded(function(spark, folder))
         if sql is not None:
-            text = PRELUDE.strip() + (sql if sql.lstrip().startswith(",") else "\n" + sql)
-            ORACLES[name] = _expand(text)
+            # the greedy rerank is a recursive table expression, which DuckDB asks to be announced up front
+            start = PRELUDE.strip().replace("with ", "with recursive ", 1)
+            ORACLES[name] = _expand(f"{start}\n{sql}")
         return function
 
     return register
