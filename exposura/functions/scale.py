@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from exposura.session import materialize
+
 # A single task sorts this many narrow rows without trouble, so smaller inputs are not sliced.
 ROWS_PER_TASK = 1_000_000
 # A key is hot when it holds more than this share of all rows: at most 1 / share = 100,000 such keys
@@ -27,7 +29,7 @@ def hot_keys(
 ) -> DataFrame:
     """Keys with more than ``min_rows`` rows and more than ``share`` of all rows (so ≤ 1/share keys)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("_rows").alias("n"))
     return (
         counts.where(F.col("_rows") > min_rows)
         .where(F.col("_rows") > F.lit(float(share)) * total.scalar())
@@ -42,12 +44,14 @@ def with_time_slice(
     slice_width: int = SLICE_MS,
     min_rows: int = ROWS_PER_TASK,
     share: float = HOT_SHARE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_slice``: the time slice of a hot key's row, the constant 0 for every other key.
 
     The added ``_hot`` flag tells the two apart. Hot keys are a broadcast of at most 1/share rows.
+    Keys are counted on ``counted``, a cheaper frame with the same keys, where ``df`` is a long plan.
     """
-    hot = hot_keys(df, keys, min_rows, share).withColumn("_hot", F.lit(True))
+    hot = hot_keys(df if counted is None else counted, keys, min_rows, share).withColumn("_hot", F.lit(True))
     marked = df.join(F.broadcast(hot), list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     return marked.withColumn(
         "_slice", F.when(F.col("_hot"), F.floor(F.col(order) / slice_width)).otherwise(F.lit(0)).cast("long")
@@ -63,6 +67,7 @@ def earlier_totals(
     slice_width: int = SLICE_MS,
     min_rows: int = ROWS_PER_TASK,
     share: float = HOT_SHARE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """For every row, the sum of each measure over the key's rows with a strictly smaller ``order``.
 
@@ -70,7 +75,7 @@ def earlier_totals(
     keys cost one shuffle and one range-frame window. Rows of hot keys are spread over
     ``(key, slice)`` and get the totals of the earlier slices from a small table.
     """
-    sliced = with_time_slice(df, keys, order, slice_width, min_rows, share)
+    sliced = with_time_slice(df, keys, order, slice_width, min_rows, share, counted)
     part = [*keys, "_slice"]
     inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     detail = sliced.withColumns(
@@ -124,16 +129,19 @@ def running_totals(
     slices: int = 256,
     min_rows: int = ROWS_PER_TASK,
     ties: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """Exclusive running sums along ``order``, without a single-task sort.
 
-    ``order`` is unique within ``by``, or made so by the ``ties`` columns.
+    ``order`` is unique within ``by``, or made so by the ``ties`` columns. The input is read more than
+    once, so it is stored first unless the caller says it already is.
 
     Inputs of at most ``min_rows`` rows use one window. Larger ones are cut at approximate quantiles
     of ``order``; the slice totals (at most ``slices`` rows per ``by`` group) are accumulated apart
     and joined back.
     """
     by = list(by)
+    df = df if stored else materialize(df)
     edges = slice_edges(df, order, slices, min_rows)
     work = _assign_slices(df, order, edges)
     inside = Window.partitionBy(*by, "_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
@@ -166,10 +174,12 @@ def ordered_position(
     the positions inside one value are sliced by ``tie_break``. ``tie_break`` must be unique there.
     """
     by = list(by)
-    keyed = df.withColumn("_primary", primary)
+    keyed = materialize(df.withColumn("_primary", primary))
     values = keyed.groupBy(*by, "_primary").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = running_totals(values, F.col("_primary"), {"_offset": F.col("_rows")}, by, min_rows=min_rows)
-    inner = running_totals(keyed, F.col(tie_break), {"_inner": F.lit(1)}, [*by, "_primary"], min_rows=min_rows)
+    inner = running_totals(
+        keyed, F.col(tie_break), {"_inner": F.lit(1)}, [*by, "_primary"], min_rows=min_rows, stored=True
+    )
     return inner.join(offsets.drop("_rows"), [*by, "_primary"]).select(
         *df.columns, (F.col("_offset") + F.col("_inner") + 1).cast("long").alias(name)
     )
@@ -184,8 +194,10 @@ def values_at(
     are sorted.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_copies"))
-    below = running_totals(counts, F.col(value), {"_below": F.col("_copies")}, by, min_rows=min_rows)
+    counts = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_copies"))
+    )
+    below = running_totals(counts, F.col(value), {"_below": F.col("_copies")}, by, min_rows=min_rows, stored=True)
     sizes = counts.groupBy(*by).agg(F.sum("_copies").alias("_n"))
     if by:
         placed = below.join(sizes, by)

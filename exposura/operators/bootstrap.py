@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from exposura.functions.checks import enforce, is_finite
 from exposura.functions.columns import uniform_hash
 from exposura.functions.scale import ROWS_PER_TASK, running_totals
+from exposura.session import materialize
 
 # Cumulative Poisson(1) probabilities P(X <= 0) ... P(X <= 15).
 POISSON_ONE_CDF = (
@@ -22,7 +23,8 @@ POISSON_ONE_CDF = (
 def _indexed(values: DataFrame, unit: str, value: str, min_rows: int) -> DataFrame:
     """``(_i, _v)`` with 0-based positions by ``unit`` (unique)."""
     clean = values.select(F.col(unit).alias("_unit"), F.col(value).cast("double").alias("_v"))
-    return running_totals(clean, F.col("_unit"), {"_i": F.lit(1)}, min_rows=min_rows).select("_i", "_v")
+    numbered = running_totals(clean, F.col("_unit"), {"_i": F.lit(1)}, min_rows=min_rows)
+    return materialize(numbered.select("_i", "_v"))
 
 
 def bootstrap_means(
@@ -36,7 +38,7 @@ def bootstrap_means(
     if samples < 1:
         raise ValueError("bootstrap samples must be positive")
     indexed = _indexed(values, unit, value, min_rows)
-    n = values.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = indexed.agg(F.count(F.lit(1)).alias("n")).scalar()
     draws = indexed.select("_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).select(
         "replicate", F.floor(uniform_hash(F.col("replicate"), F.col("_i"), seed) * n).cast("long").alias("_i")
     )
@@ -65,7 +67,7 @@ def bootstrap_user_metric(
     per_group: DataFrame, metric: str = "ndcg", k: int = 10, samples: int = 500, seed: int = 42
 ) -> DataFrame:
     """Mean over users of a user's mean metric, with a user-level 95 % percentile interval."""
-    users = user_means(per_group, metric, k)
+    users = materialize(user_means(per_group, metric, k))
     means = bootstrap_means(users, "user_id", "value", samples, seed)
     return _interval(users, "value", means, {"mean": "mean", "low": "ci_low", "high": "ci_high", "n": "n_users"})
 
@@ -77,7 +79,9 @@ def paired_user_bootstrap(
     paired = user_means(left, metric, k).withColumnRenamed("value", "_left").join(
         user_means(right, metric, k).withColumnRenamed("value", "_right"), "user_id"
     )
-    differences = paired.select("user_id", (F.col("_left") - F.col("_right")).alias("value")).where("value is not null")
+    differences = materialize(
+        paired.select("user_id", (F.col("_left") - F.col("_right")).alias("value")).where("value is not null")
+    )
     means = bootstrap_means(differences, "user_id", "value", samples, seed)
     return _interval(
         differences, "value", means, {"mean": "mean_difference", "low": "ci_low", "high": "ci_high", "n": "n_users"}

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from exposura.functions.checks import require_columns
 from exposura.functions.columns import uniform_hash
 from exposura.functions.scale import ROWS_PER_TASK, SLICE_MS, HOT_SHARE, values_at, with_time_slice
+from exposura.session import materialize
 
 
 def ranking_contexts(
     log: DataFrame,
     max_gap_minutes: int = 30,
     window_size: int = 20,
+    by: Sequence[str] = (),
     slice_width: int = SLICE_MS,
     min_rows: int = ROWS_PER_TASK,
     share: float = HOT_SHARE,
@@ -23,16 +27,18 @@ def ranking_contexts(
     the gap exceeds the limit. Window number = position // size. One shuffle by (user, slice) serves
     all windows; only the rows of hot users have more than one slice, and what a slice needs from
     the earlier ones (last timestamp, sessions, rows, last session start) comes from a slice summary.
+    With ``by`` every group of those columns (say, each exposure domain) has contexts of its own.
     """
     require_columns(log, ["user_id", "timestamp_ms", "item_id"], "ranking context input")
     if max_gap_minutes <= 0 or window_size <= 0:
         raise ValueError("max_gap_minutes and window_size must be positive")
-    part = ["user_id", "_slice"]
-    sliced = with_time_slice(log, ["user_id"], "timestamp_ms", slice_width, min_rows, share)
+    keys = [*by, "user_id"]
+    part = [*keys, "_slice"]
+    sliced = with_time_slice(log, keys, "timestamp_ms", slice_width, min_rows, share)
     order = [F.col("timestamp_ms"), F.col("item_id")]
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    earlier_slices = Window.partitionBy("user_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
     last_seen = (
         sliced.where(F.col("_hot")).groupBy(*part).agg(F.max("timestamp_ms").alias("_slice_last"))
@@ -85,7 +91,7 @@ def sample_contexts(rows: DataFrame, maximum: int, seed: int = 42, column: str =
     Contexts are ranked by hash; the cutoff is an order statistic, so no sort of all contexts is
     needed and the chosen ids reach the rows through a semi join.
     """
-    hashed = rows.select(column).distinct().withColumn("_u", uniform_hash(F.col(column), seed))
+    hashed = materialize(rows.select(column).distinct().withColumn("_u", uniform_hash(F.col(column), seed)))
     cutoff = values_at(hashed, "_u", {"_cut": F.least(F.col("_n"), F.lit(maximum)) - 1}).select("_cut")
     chosen = hashed.where(F.col("_u") <= cutoff.scalar()).select(column)
     return rows.join(chosen, column, "left_semi")

@@ -75,7 +75,7 @@ def historical_features(
         work = earlier_totals(
             work, [key], "timestamp_ms",
             {f"hist_{prefix}_exposure": F.lit(1), f"_{prefix}_positive": F.col("long_view").cast("long")},
-            slice_width=slice_width, min_rows=min_rows, share=share,
+            slice_width=slice_width, min_rows=min_rows, share=share, counted=log,
         )
     return _with_rates(work.join(prior_global_rate(log, log), "timestamp_ms"), log.columns, alpha).withColumn(
         "feature_cutoff_ms", F.col("timestamp_ms") - 1
@@ -95,18 +95,21 @@ def _with_rates(work: DataFrame, columns: list[str], alpha: float) -> DataFrame:
 def asof_totals(
     rows: DataFrame, events: DataFrame, keys: list[str], exposure: str, positive: str,
     slice_width: int = SLICE_MS, min_rows: int = ROWS_PER_TASK, share: float = HOT_SHARE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Backward as-of join, strict: totals of ``events`` of the same key before each row's timestamp.
 
     Rows and events are united and one range frame ending just before the row's timestamp does the
-    matching, so there is no inequality join.
+    matching, so there is no inequality join. ``counted`` may stand in for ``rows`` where keys are
+    counted to find hot ones.
     """
     left = rows.withColumns({"_n": F.lit(0).cast("long"), "_p": F.lit(0).cast("long"), "_is_row": F.lit(True)})
     right = _events_at(events, *keys).withColumn("_is_row", F.lit(False))
     united = left.unionByName(right, allowMissingColumns=True)
+    keyed = (rows if counted is None else counted).select(*keys).unionByName(events.select(*keys))
     totals = earlier_totals(
         united, keys, "timestamp_ms", {exposure: F.col("_n"), positive: F.col("_p")},
-        slice_width=slice_width, min_rows=min_rows, share=share,
+        slice_width=slice_width, min_rows=min_rows, share=share, counted=keyed,
     )
     return totals.where(F.col("_is_row")).select(*rows.columns, exposure, positive)
 
@@ -120,7 +123,7 @@ def point_in_time_aggregates(
     work = rows
     for key, prefix in (("item_id", "item"), ("user_id", "user")):
         work = asof_totals(
-            work, events, [key], f"hist_{prefix}_exposure", f"_{prefix}_positive", slice_width, min_rows, share
+            work, events, [key], f"hist_{prefix}_exposure", f"_{prefix}_positive", slice_width, min_rows, share, rows
         )
     return _with_rates(work.join(prior_global_rate(rows, events), "timestamp_ms"), rows.columns, alpha)
 

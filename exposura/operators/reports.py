@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from exposura.functions.columns import UNKNOWN, ratio
 from exposura.functions.scale import ROWS_PER_TASK, ordered_position, running_totals
 from exposura.operators.ranking_metrics import ranking_metrics, top_per_group
+from exposura.session import materialize
 
 
 def category_or_unknown(column: str = "category") -> Column:
@@ -39,8 +40,8 @@ def recommendation_behavior(
 ) -> DataFrame:
     """Catalog coverage, Gini over recommended items and their number, from the top ``k`` per context."""
     by = list(by)
-    frequency = top_per_group(predictions, k, [*by, "context_id"]).groupBy(*by, "item_id").agg(
-        F.count(F.lit(1)).alias("recommended")
+    frequency = materialize(
+        top_per_group(predictions, k, [*by, "context_id"]).groupBy(*by, "item_id").agg(F.count(F.lit(1)).alias("recommended"))
     )
     size = catalog.select("item_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     unique = frequency.groupBy(*by).agg(F.count(F.lit(1)).alias("unique_recommended_items"))
@@ -58,8 +59,9 @@ def user_cohorts(users: DataFrame, train: DataFrame, min_rows: int = ROWS_PER_TA
     one, hence the strict integer comparisons. A single user cannot be cut in three.
     """
     counts = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("history_count"))
-    base = users.select("user_id").distinct().join(counts, "user_id", "left").withColumn(
-        "history_count", F.coalesce("history_count", F.lit(0))
+    base = materialize(
+        users.select("user_id").distinct().join(counts, "user_id", "left")
+        .select("user_id", F.coalesce("history_count", F.lit(0)).alias("history_count"))
     )
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
     ranked = ordered_position(base, F.col("history_count"), "user_id", "_rank", min_rows=min_rows)
@@ -88,7 +90,7 @@ def user_cohort_report(
 
 def item_cohorts(train: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
     """Items by training exposure: top 10 % head, next 40 % mid, rest tail."""
-    exposure = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("training_exposure"))
+    exposure = materialize(train.groupBy("item_id").agg(F.count(F.lit(1)).alias("training_exposure")))
     n = exposure.agg(F.count(F.lit(1)).alias("n"))
     ranked = ordered_position(exposure, -F.col("training_exposure"), "item_id", "_rank", min_rows=min_rows)
     share = F.col("_rank") / n.scalar()

@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 DECIMALS = 6
+# Added before rounding, so that values exactly halfway do not hang on the last bit of a sum.
+NUDGE = "1e-9"
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def rounded(df: DataFrame) -> DataFrame:
     def clean(field: T.StructField):
         if not isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             return F.col(field.name)
-        value = F.round(F.col(field.name).cast("double"), DECIMALS)
+        value = F.round(F.col(field.name).cast("double") + float(NUDGE), DECIMALS)
         return F.when(value == 0, F.lit(0.0)).otherwise(value).alias(field.name)
 
     return df.select(*[clean(field) for field in df.schema.fields])
@@ -50,5 +52,6 @@ def _expand(text: str) -> str:
             depth += {"(": 1, ")": -1}.get(text[end], 0)
             end += 1
         inner = text[start + 3:end - 1]
-        text = text[:start] + f"(case when round({inner}, {DECIMALS}) = 0 then 0.0 else round({inner}, {DECIMALS}) end)" + text[end:]
+        value = f"round(({inner}) + {NUDGE}::double, {DECIMALS})"
+        text = text[:start] + f"(case when {value} = 0 then 0.0 else {value} end)" + text[end:]
     return text

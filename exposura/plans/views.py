@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from exposura.operators.contexts import ranking_contexts
 from exposura.operators.popularity import pair_score, popularity_score
+from exposura.session import materialize
 from exposura.operators.splits import SplitBounds, assign_splits, random_domain_slices
 
 BOUNDS = SplitBounds(
@@ -109,17 +110,28 @@ def item_tags(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Standard test and randomized holdout rows with contexts, as ``domain``."""
-    standard = part(spark, folder, "standard_test").withColumn("domain", F.lit("standard"))
-    return standard.unionByName(part(spark, folder, "holdout").withColumn("domain", F.lit("randomized")))
+    log = split_log(spark, folder)
+    holdout = (F.col("split") == "randomized_test") & (F.col("date") >= BOUNDS.holdout_start)
+    domain = F.when(F.col("split") == "standard_test", "standard").when(holdout, "randomized")
+    rows = log.withColumn("domain", domain).where(F.col("domain").isNotNull())
+    return ranking_contexts(rows, GAP_MINUTES, WINDOW_SIZE, by=["domain"])
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Three models on both domains: popularity, inner product, and a fixed pseudo-score."""
-    rows = scored_parts(spark, folder)
-    by_item = popularity_score(rows, train(spark, folder)).withColumn("model", F.lit("popularity"))
-    by_pair = pair_score(rows, user_vectors(spark, folder), item_vectors(spark, folder)).withColumn("model", F.lit("dot"))
-    fixed = rows.withColumn("score", (F.col("event_id") % 97) / F.lit(97.0)).withColumn("model", F.lit("fixed"))
-    return by_item.unionByName(by_pair).unionByName(fixed)
+    """Stored rows of three models on both domains: popularity, inner product, a fixed pseudo-score.
+
+    All scores are computed side by side in one pass over the rows and turned into rows per model.
+    """
+    rows = popularity_score(scored_parts(spark, folder), train(spark, folder)).withColumnRenamed("score", "_popularity")
+    both = pair_score(rows, user_vectors(spark, folder), item_vectors(spark, folder), name="_dot")
+    scores = F.array(*[
+        F.struct(F.lit(model).alias("model"), score.alias("score"))
+        for model, score in (
+            ("popularity", F.col("_popularity")), ("dot", F.col("_dot")), ("fixed", (F.col("event_id") % 97) / F.lit(97.0)),
+        )
+    ])
+    long = both.withColumn("_s", F.explode(scores)).select(*both.columns, "_s.*").drop("_popularity", "_dot")
+    return materialize(long)
 
 
 def impressions_big(spark: SparkSession, folder: str) -> DataFrame:
