@@ -37,22 +37,26 @@ def hot_keys(
     )
 
 
-def with_time_slice(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    slice_width: int = SLICE_MS,
-    min_rows: int = ROWS_PER_TASK,
-    share: float = HOT_SHARE,
-    counted: DataFrame | None = None,
-) -> DataFrame:
+def find_hot_keys(
+    df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK, share: float = HOT_SHARE
+) -> DataFrame | None:
+    """The stored list of hot keys, or None where there are none and a plain window will do.
+
+    This is one job over the key columns with map-side combine. Knowing the answer before the main
+    plan is built keeps that plan to a single shuffle on ordinary data.
+    """
+    hot = hot_keys(df, keys, min_rows, share)
+    return None if hot.isEmpty() else materialize(hot)
+
+
+def with_time_slice(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame, slice_width: int = SLICE_MS) -> DataFrame:
     """Add ``_slice``: the time slice of a hot key's row, the constant 0 for every other key.
 
-    The added ``_hot`` flag tells the two apart. Hot keys are a broadcast of at most 1/share rows.
-    Keys are counted on ``counted``, a cheaper frame with the same keys, where ``df`` is a long plan.
+    The added ``_hot`` flag tells the two apart. ``hot`` has at most 1/share rows and is broadcast.
     """
-    hot = hot_keys(df if counted is None else counted, keys, min_rows, share).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left").withColumn(
+        "_hot", F.coalesce("_hot", F.lit(False))
+    )
     return marked.withColumn(
         "_slice", F.when(F.col("_hot"), F.floor(F.col(order) / slice_width)).otherwise(F.lit(0)).cast("long")
     )
@@ -71,16 +75,22 @@ def earlier_totals(
 ) -> DataFrame:
     """For every row, the sum of each measure over the key's rows with a strictly smaller ``order``.
 
-    Rows that share the ``order`` value never see each other; with ``inclusive`` they all do. Cold
-    keys cost one shuffle and one range-frame window. Rows of hot keys are spread over
-    ``(key, slice)`` and get the totals of the earlier slices from a small table.
+    Rows that share the ``order`` value never see each other; with ``inclusive`` they all do. Without
+    hot keys this is one shuffle and one range-frame window. Otherwise the rows of hot keys are
+    spread over ``(key, slice)`` and get the totals of the earlier slices from a small table. Hot
+    keys are looked for in ``counted``, a cheaper frame with the same keys, where ``df`` is a long plan.
     """
-    sliced = with_time_slice(df, keys, order, slice_width, min_rows, share, counted)
+    last = 0 if inclusive else -1
+
+    def sums_over(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+        inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, last)
+        return rows.withColumns({name: F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in measures.items()})
+
+    hot = find_hot_keys(df if counted is None else counted, keys, min_rows, share)
+    if hot is None:
+        return sums_over(df, keys)
+    sliced = with_time_slice(df, keys, order, hot, slice_width)
     part = [*keys, "_slice"]
-    inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    detail = sliced.withColumns(
-        {name: F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in measures.items()}
-    )
     slice_sums = (
         sliced.where(F.col("_hot")).groupBy(*part)
         .agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in measures.items()])
@@ -89,7 +99,7 @@ def earlier_totals(
     carried = slice_sums.select(
         *part, *[F.sum(f"_sum_{name}").over(before).alias(f"_carry_{name}") for name in measures]
     )
-    joined = detail.join(carried, part, "left")
+    joined = sums_over(sliced, part).join(carried, part, "left")
     return joined.select(
         *df.columns,
         *[(F.col(name) + F.coalesce(f"_carry_{name}", F.lit(0))).alias(name) for name in measures],

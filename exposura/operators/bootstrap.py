@@ -118,7 +118,8 @@ def poisson_replicates(
     if samples < 1:
         raise ValueError("bootstrap samples must be positive")
     exploded = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
-    weighted = exploded.withColumn("_w", poisson_one(uniform_hash(F.col(unit), F.col("replicate"), seed))).where("_w > 0")
+    drawn = poisson_one(uniform_hash(F.col(unit), F.col("replicate"), seed))
+    weighted = exploded.withColumn("_times", drawn).where("_times > 0")
     return weighted.groupBy(*by, "replicate").agg(
-        F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * value).alias(name) for name, value in sums.items()]
+        F.sum("_times").alias("_n"), *[F.sum(F.col("_times") * value).alias(name) for name, value in sums.items()]
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from exposura.functions.checks import require_columns
 from exposura.functions.columns import uniform_hash
-from exposura.functions.scale import ROWS_PER_TASK, SLICE_MS, HOT_SHARE, values_at, with_time_slice
+from exposura.functions.scale import HOT_SHARE, ROWS_PER_TASK, SLICE_MS, find_hot_keys, values_at, with_time_slice
 from exposura.session import materialize
 
 
@@ -24,39 +24,67 @@ def ranking_contexts(
     """Add ``session_position`` (0-based in the session) and ``context_id`` = ``user:session:window``.
 
     Rows are ordered by (timestamp, item) per user; a session starts at a user's first row and where
-    the gap exceeds the limit. Window number = position // size. One shuffle by (user, slice) serves
-    all windows; only the rows of hot users have more than one slice, and what a slice needs from
-    the earlier ones (last timestamp, sessions, rows, last session start) comes from a slice summary.
+    the gap exceeds the limit. Window number = position // size. One shuffle by user serves all
+    windows. Where some users are hot, it is by (user, time slice), and what a slice needs from the
+    earlier ones (last timestamp, sessions, rows, last session start) comes from a slice summary.
     With ``by`` every group of those columns (say, each exposure domain) has contexts of its own.
     """
     require_columns(log, ["user_id", "timestamp_ms", "item_id"], "ranking context input")
     if max_gap_minutes <= 0 or window_size <= 0:
         raise ValueError("max_gap_minutes and window_size must be positive")
-    keys = [*by, "user_id"]
-    part = [*keys, "_slice"]
-    sliced = with_time_slice(log, keys, "timestamp_ms", slice_width, min_rows, share)
-    order = [F.col("timestamp_ms"), F.col("item_id")]
-    inside = Window.partitionBy(*part).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    earlier_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    keys, limit = [*by, "user_id"], max_gap_minutes * 60_000
+    hot = find_hot_keys(log, keys, min_rows, share)
+    if hot is None:
+        return _named(_plain_sessions(log, keys, limit), log.columns, window_size)
+    return _named(_sliced_sessions(with_time_slice(log, keys, "timestamp_ms", hot, slice_width), keys, limit), log.columns, window_size)
 
-    last_seen = (
-        sliced.where(F.col("_hot")).groupBy(*part).agg(F.max("timestamp_ms").alias("_slice_last"))
-        .select(*part, F.max("_slice_last").over(earlier_slices).alias("_carry_last"))
-    )
-    previous = F.coalesce(F.lag("timestamp_ms").over(inside), F.col("_carry_last"))
-    starts = F.coalesce(F.col("timestamp_ms") - previous > max_gap_minutes * 60_000, F.lit(True))
-    flagged = (
-        sliced.join(last_seen, part, "left")
-        .withColumn("_starts", starts.cast("int"))
-        .withColumn("_row", F.row_number().over(inside))
+
+def _named(rows: DataFrame, columns: list[str], window_size: int) -> DataFrame:
+    """Session and position columns to the public ones."""
+    position = F.col("_position").cast("long")
+    return rows.select(
+        *columns,
+        position.alias("session_position"),
+        F.concat_ws(
+            ":", F.col("user_id").cast("string"), F.col("_session").cast("string"),
+            F.floor(position / window_size).cast("string"),
+        ).alias("context_id"),
     )
-    counted = flagged.withColumns(
+
+
+def _flagged(rows: DataFrame, inside: WindowSpec, previous: Column, limit: int) -> DataFrame:
+    """``_starts`` marks the first row of a session, ``_row`` numbers the rows of the window partition."""
+    starts = F.coalesce(F.col("timestamp_ms") - previous > limit, F.lit(True))
+    return rows.withColumns({"_starts": starts.cast("int"), "_row": F.row_number().over(inside)})
+
+
+def _counted(rows: DataFrame, inside: WindowSpec) -> DataFrame:
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns(
         {
             "_sessions": F.sum("_starts").over(upto),
             "_start_row": F.max(F.when(F.col("_starts") == 1, F.col("_row"))).over(upto),
         }
     )
+
+
+def _plain_sessions(log: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    inside = Window.partitionBy(*keys).orderBy("timestamp_ms", "item_id")
+    rows = _counted(_flagged(log, inside, F.lag("timestamp_ms").over(inside), limit), inside)
+    return rows.withColumns({"_session": F.col("_sessions") - 1, "_position": F.col("_row") - F.col("_start_row")})
+
+
+def _sliced_sessions(sliced: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    part = [*keys, "_slice"]
+    inside = Window.partitionBy(*part).orderBy("timestamp_ms", "item_id")
+    earlier_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    last_seen = (
+        sliced.where(F.col("_hot")).groupBy(*part).agg(F.max("timestamp_ms").alias("_slice_last"))
+        .select(*part, F.max("_slice_last").over(earlier_slices).alias("_carry_last"))
+    )
+    previous = F.coalesce(F.lag("timestamp_ms").over(inside), F.col("_carry_last"))
+    flagged = _flagged(sliced.join(last_seen, part, "left"), inside, previous, limit)
+    zero = F.lit(0)
     summary = (
         flagged.where(F.col("_hot")).groupBy(*part)
         .agg(
@@ -64,24 +92,16 @@ def ranking_contexts(
             F.count(F.lit(1)).alias("_n_rows"),
             F.max(F.when(F.col("_starts") == 1, F.col("_row"))).alias("_last_start"),
         )
-        .withColumn("_carry_sessions", F.coalesce(F.sum("_n_sessions").over(earlier_slices), F.lit(0)))
-        .withColumn("_carry_rows", F.coalesce(F.sum("_n_rows").over(earlier_slices), F.lit(0)))
+        .withColumn("_carry_sessions", F.coalesce(F.sum("_n_sessions").over(earlier_slices), zero))
+        .withColumn("_carry_rows", F.coalesce(F.sum("_n_rows").over(earlier_slices), zero))
         .withColumn("_carry_start", F.max(F.col("_carry_rows") + F.col("_last_start")).over(earlier_slices))
         .select(*part, "_carry_sessions", "_carry_rows", "_carry_start")
     )
-    zero = F.lit(0)
-    placed = counted.join(summary, part, "left")
+    placed = _counted(flagged, inside).join(summary, part, "left")
     row = F.col("_row") + F.coalesce("_carry_rows", zero)
     start = F.coalesce(F.col("_start_row") + F.coalesce("_carry_rows", zero), F.col("_carry_start"))
-    session = F.col("_sessions") + F.coalesce("_carry_sessions", zero) - 1
-    position = (row - start).cast("long")
-    return placed.select(
-        *log.columns,
-        position.alias("session_position"),
-        F.concat_ws(
-            ":", F.col("user_id").cast("string"), session.cast("string"),
-            F.floor(position / window_size).cast("string"),
-        ).alias("context_id"),
+    return placed.withColumns(
+        {"_session": F.col("_sessions") + F.coalesce("_carry_sessions", zero) - 1, "_position": row - start}
     )
 
 

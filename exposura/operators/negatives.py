@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from exposura.functions.checks import standard_only
 from exposura.functions.columns import uniform_hash
 from exposura.functions.scale import (
-    HOT_SHARE, ROWS_PER_TASK, SLICE_MS, earlier_totals, running_totals, with_time_slice,
+    HOT_SHARE, ROWS_PER_TASK, SLICE_MS, earlier_totals, find_hot_keys, running_totals, with_time_slice,
 )
 from exposura.operators.history import prior_global_totals
 from exposura.operators.retrieval import exact_topk
@@ -62,22 +62,29 @@ def user_history(
         .withColumn("_r", F.row_number().over(tied)).where(F.col("_r") <= length)
         .groupBy("user_id", "timestamp_ms").agg(F.array_sort(F.collect_list("item_id")).alias("_items"))
     )
-    sliced = with_time_slice(moments, ["user_id"], "timestamp_ms", slice_width, min_rows, share)
-    part = ["user_id", "_slice"]
-    inside = Window.partitionBy(*part).orderBy("timestamp_ms").rowsBetween(-length, -1)
-    newest = Window.partitionBy(*part).orderBy(F.desc("timestamp_ms"))
-    ends = (
-        sliced.where("_hot").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= length)
-        .groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "_items"))).alias("_m"))
-        .select(*part, _last(F.flatten(F.transform("_m", lambda m: m["_items"])), length).alias("_end"))
-    )
-    slices_before = Window.partitionBy("user_id").orderBy("_slice").rowsBetween(-length, -1)
-    carried = ends.select(*part, F.flatten(F.collect_list("_end").over(slices_before)).alias("_carry"))
     empty = F.array().cast("array<bigint>")
-    histories = (
-        sliced.withColumn("_recent", F.flatten(F.collect_list("_items").over(inside)))
-        .join(carried, part, "left")
-        .select("user_id", "timestamp_ms", _last(F.concat(F.coalesce("_carry", empty), F.coalesce("_recent", empty)), length).alias("history"))
+
+    def recent(rows: DataFrame, part: list[str]) -> DataFrame:
+        inside = Window.partitionBy(*part).orderBy("timestamp_ms").rowsBetween(-length, -1)
+        return rows.withColumn("_recent", F.coalesce(F.flatten(F.collect_list("_items").over(inside)), empty))
+
+    hot = find_hot_keys(positives, ["user_id"], min_rows, share)
+    if hot is None:
+        with_lists = recent(moments, ["user_id"]).withColumn("_carry", empty)
+    else:
+        part = ["user_id", "_slice"]
+        sliced = with_time_slice(moments, ["user_id"], "timestamp_ms", hot, slice_width)
+        newest = Window.partitionBy(*part).orderBy(F.desc("timestamp_ms"))
+        ends = (
+            sliced.where("_hot").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= length)
+            .groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "_items"))).alias("_m"))
+            .select(*part, _last(F.flatten(F.transform("_m", lambda m: m["_items"])), length).alias("_end"))
+        )
+        slices_before = Window.partitionBy("user_id").orderBy("_slice").rowsBetween(-length, -1)
+        carried = ends.select(*part, F.flatten(F.collect_list("_end").over(slices_before)).alias("_carry"))
+        with_lists = recent(sliced, part).join(carried, part, "left")
+    histories = with_lists.select(
+        "user_id", "timestamp_ms", _last(F.concat(F.coalesce("_carry", empty), "_recent"), length).alias("history")
     )
     return first_positives(train).join(histories, ["user_id", "timestamp_ms"])
 

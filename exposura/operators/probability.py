@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from exposura.functions.columns import ratio
 from exposura.functions.scale import ROWS_PER_TASK, running_totals
+from exposura.session import materialize
 
 CLIP = 1e-9
 
@@ -57,12 +58,14 @@ def ranking_areas(
     Labels are counted per distinct probability, and the running counts over those are sliced, so no
     task sorts the whole table.
     """
-    counts = rows.select((F.col(label) > 0).alias("_y"), clipped(probability).alias("_p")).groupBy("_p").agg(
-        F.count_if(F.col("_y")).alias("_pos"), F.count_if(~F.col("_y")).alias("_neg")
+    counts = materialize(
+        rows.select((F.col(label) > 0).alias("_y"), clipped(probability).alias("_p")).groupBy("_p").agg(
+            F.count_if(F.col("_y")).alias("_pos"), F.count_if(~F.col("_y")).alias("_neg")
+        )
     )
     totals = counts.agg(F.struct(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg")).alias("t")).scalar()
     placed = running_totals(
-        counts, F.col("_p"), {"_pos_below": F.col("_pos"), "_neg_below": F.col("_neg")}, min_rows=min_rows
+        counts, F.col("_p"), {"_pos_below": F.col("_pos"), "_neg_below": F.col("_neg")}, min_rows=min_rows, stored=True
     )
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
     recalled = totals["pos"] - F.col("_pos_below")

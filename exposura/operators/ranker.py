@@ -128,9 +128,9 @@ def fit_probability_model(
     """Boosted trees on the training rows, isotonic calibration on the validation rows only."""
     label = (F.col("label") > 0).cast("double")
     booster = GBTClassifier(
-        featuresCol="_features", labelCol="_label", probabilityCol="_probability", predictionCol="_predicted",
-        rawPredictionCol="_margin", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed,
-    ).fit(_assembled(train, features).withColumn("_label", label))
+        featuresCol="_features", labelCol="_label", predictionCol="_predicted", maxIter=trees, maxDepth=depth, stepSize=0.1,
+        seed=seed,
+    ).setProbabilityCol("_probability").setRawPredictionCol("_margin").fit(_assembled(train, features).withColumn("_label", label))
     held = _raw_probability(booster, _assembled(validation, features)).select(label.alias("_label"), "_raw")
     isotonic = IsotonicRegression(featuresCol="_raw", labelCol="_label", predictionCol="_calibrated").fit(held)
     return ProbabilityModel(booster, isotonic, tuple(features))

@@ -36,8 +36,7 @@ where split = 'standard_test'""")
 def factor_score(spark, folder):
     rows = v.split_log(spark, folder).where("split = 'standard_test'").select("event_id", "user_id", "item_id")
     rate = v.train(spark, folder).agg(F.avg("long_view")).scalar()
-    missing = float("nan")
-    scored = pop.pair_score(rows, v.user_vectors(spark, folder), v.item_vectors(spark, folder), fallback=missing)
+    scored = pop.pair_score(rows, v.user_vectors(spark, folder), v.item_vectors(spark, folder), fallback=float("nan"))
     return scored.select("event_id", F.nanvl("score", rate).alias("score"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from exposura.operators.audit import log_audit
+from exposura.session import shared_folder
 from exposura.sources.impressions import policy_is_valid
 
 
@@ -50,3 +53,22 @@ def streaming_sessions(log: DataFrame, gap: str = "30 minutes", delay: str = "1
     return timed.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("long_view").alias("positives")
     ).select("user_id", F.col("session.start").alias("started"), F.col("session.end").alias("ended"), "rows", "positives")
+
+
+def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Drain an aggregate over what is there now; the last result of each run is stored and returned."""
+    folder = f"{shared_folder(stream.sparkSession)}/exposura-stream-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/result"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/result")
+
+
+def drain_valid(log: DataFrame) -> DataFrame:
+    """Run the quarantine over what is there now and return the rows that passed."""
+    folder = f"{shared_folder(log.sparkSession)}/exposura-stream-{uuid.uuid4().hex}"
+    start_quarantine(log, f"{folder}/good", f"{folder}/bad", f"{folder}/state").awaitTermination()
+    return log.sparkSession.read.parquet(f"{folder}/good")
