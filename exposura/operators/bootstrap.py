@@ -118,8 +118,10 @@ def poisson_replicates(
     if samples < 1:
         raise ValueError("bootstrap samples must be positive")
     exploded = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
-    drawn = poisson_one(uniform_hash(F.col(unit), F.col("replicate"), seed))
-    weighted = exploded.withColumn("_times", drawn).where("_times > 0")
+    # the draw is a column of its own, so that the sixteen comparisons share one hash
+    weighted = exploded.withColumn("_u", uniform_hash(F.col(unit), F.col("replicate"), seed)).withColumn(
+        "_times", poisson_one(F.col("_u"))
+    )
     return weighted.groupBy(*by, "replicate").agg(
         F.sum("_times").alias("_n"), *[F.sum(F.col("_times") * value).alias(name) for name, value in sums.items()]
     )

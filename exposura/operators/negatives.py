@@ -16,6 +16,7 @@ from exposura.functions.scale import (
 )
 from exposura.operators.history import prior_global_totals
 from exposura.operators.retrieval import exact_topk
+from exposura.session import materialize
 
 STRATEGIES = ("exposed_mixed", "exposed", "popularity", "random")
 # Rejection rounds before the exact draw over what is left takes over.
@@ -161,13 +162,13 @@ def sample_negatives(
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     log = standard_only(train, "negative sampling")
-    outcomes = first_outcomes(log)
+    outcomes = materialize(first_outcomes(log))
     pools = negative_pools(train, **scale)
     wants_exposed = strategy.startswith("exposed")
     source = F.when((F.col("pool_size") > 0) if wants_exposed else F.lit(False), "exposed").otherwise(
         "popularity" if strategy in ("popularity", "exposed_mixed") else "random"
     )
-    targets = pools.withColumn("source", source)
+    targets = materialize(pools.withColumn("source", source))
     from_pool = _from_pool(targets.where("source = 'exposed'"), outcomes, seed, attempts, **scale)
     from_catalog = _from_catalog(targets.where("source <> 'exposed'"), log, outcomes, seed, attempts)
     return from_pool.unionByName(from_catalog)
@@ -182,15 +183,18 @@ def _first_accepted(draws: DataFrame, accepted: Column) -> DataFrame:
 
 def _from_pool(targets: DataFrame, outcomes: DataFrame, seed: int, attempts: int, **scale) -> DataFrame:
     user, item = F.col("user_id"), F.col("item_id")
-    openings = _positions(
-        _openings(outcomes).withColumnRenamed("item_id", "candidate"), ["user_id"], "first_negative", "candidate", "_index", **scale
+    openings = materialize(
+        _positions(
+            _openings(outcomes).withColumnRenamed("item_id", "candidate"), ["user_id"], "first_negative", "candidate",
+            "_index", **scale,
+        )
     )
     draws = targets.select(*_TARGET, "opened", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt")).withColumn(
         "_index", F.floor(_draw(user, item, "exposed", seed, F.col("attempt")) * F.col("opened")).cast("long")
     )
     still_open = F.col("first_positive").isNull() | (F.col("first_positive") >= F.col("timestamp_ms"))
     allowed = still_open & (F.col("candidate") != item)
-    quick = _first_accepted(draws.join(openings, ["user_id", "_index"]), allowed)
+    quick = materialize(_first_accepted(draws.join(openings, ["user_id", "_index"]), allowed))
     rest = targets.select(*_TARGET).join(quick.select(*_TARGET), _TARGET, "left_anti")
     exact = (
         rest.join(openings, "user_id").where((F.col("first_negative") < F.col("timestamp_ms")) & allowed)
@@ -221,13 +225,14 @@ def event_index(log: DataFrame) -> DataFrame:
 def catalog_index(log: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
     """``(_slot, candidate)``: catalog items numbered from 0 by id."""
     items = log.select(F.col("item_id").alias("candidate")).distinct()
-    return running_totals(items, F.col("candidate"), {"_slot": F.lit(1).cast("long")}, min_rows=min_rows).select("_slot", "candidate")
+    slots = running_totals(items, F.col("candidate"), {"_slot": F.lit(1).cast("long")}, min_rows=min_rows)
+    return materialize(slots.select("_slot", "candidate"))
 
 
 def _from_catalog(targets: DataFrame, log: DataFrame, outcomes: DataFrame, seed: int, attempts: int) -> DataFrame:
     user, item = F.col("user_id"), F.col("item_id")
     catalog = catalog_index(log)
-    size = log.select("item_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = catalog.agg(F.count(F.lit(1)).alias("n")).scalar()
     n = F.col("prior_events")
     attempt = F.col("attempt")
     by_event = (F.col("source") == "popularity") & (_draw(user, item, "kind", seed, attempt) < n / (n + size))
@@ -243,7 +248,7 @@ def _from_catalog(targets: DataFrame, log: DataFrame, outcomes: DataFrame, seed:
     )
     drawn = from_events.select(*columns).unionByName(from_items.select(*columns)).join(known, ["user_id", "candidate"], "left")
     allowed = (F.col("_since").isNull() | (F.col("_since") >= F.col("timestamp_ms"))) & (F.col("candidate") != item)
-    quick = _first_accepted(drawn, allowed)
+    quick = materialize(_first_accepted(drawn, allowed))
     # what every attempt missed: pick the r-th catalog slot that is not forbidden
     rest = targets.select(*_TARGET).join(quick.select(*_TARGET), _TARGET, "left_anti")
     slots = known.join(catalog, "candidate").select("user_id", "_slot", "_since", "candidate")
@@ -305,7 +310,7 @@ def _catalog_triples(wanted: DataFrame, log: DataFrame, liked: DataFrame, u: Col
     running count over those values and rows meet in a range frame instead of a join per liked item.
     """
     catalog = catalog_index(log)
-    size = log.select("item_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = catalog.agg(F.count(F.lit(1)).alias("n")).scalar()
     by_value = {**scale, "slice_width": 65_536}
     slots = liked.join(catalog, liked["item_id"] == catalog["candidate"]).select("user_id", "_slot")
     numbered = earlier_totals(slots, ["user_id"], "_slot", {"_j": F.lit(1)}, **by_value)
