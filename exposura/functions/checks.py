@@ -19,8 +19,14 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input")
 
 
 def enforce(df: DataFrame, valid: Column, message: str) -> DataFrame:
-    """Keep every row, but raise ``message`` on the first row that is not ``valid`` (null = invalid)."""
-    failure = F.raise_error(F.lit(message)).cast("boolean")
+    """Keep every row, but raise ``message`` on the first row that is not ``valid`` (null = invalid).
+
+    The row number in the message makes the condition non-deterministic on purpose: the optimizer then
+    leaves it where it stands. Merged with a caller's filter it could be evaluated first, on rows that
+    filter drops, with the filter's constants already substituted.
+    """
+    row = F.monotonically_increasing_id().cast("string")
+    failure = F.raise_error(F.concat(F.lit(f"{message} (row "), row, F.lit(")"))).cast("boolean")
     return df.where(F.when(F.coalesce(valid, F.lit(False)), F.lit(True)).otherwise(failure))
 
 
