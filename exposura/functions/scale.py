@@ -72,39 +72,48 @@ def earlier_totals(
     min_rows: int = ROWS_PER_TASK,
     share: float = HOT_SHARE,
     counted: DataFrame | None = None,
+    combine: str = "sum",
 ) -> DataFrame:
     """For every row, the sum of each measure over the key's rows with a strictly smaller ``order``.
 
+    With ``combine="max"`` it is the largest value instead, null where there is no such row.
+
     Rows that share the ``order`` value never see each other; with ``inclusive`` they all do. Without
     hot keys this is one shuffle and one range-frame window. Otherwise the rows of hot keys are
     spread over ``(key, slice)`` and get the totals of the earlier slices from a small table. Hot
     keys are looked for in ``counted``, a cheaper frame with the same keys, where ``df`` is a long plan.
     """
     last = 0 if inclusive else -1
+    fold = {"sum": F.sum, "max": F.max}[combine]
+
+    def or_empty(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0)) if combine == "sum" else value
 
-    def sums_over(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+    def over_earlier(rows: DataFrame, part: Sequence[str]) -> DataFrame:
         inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, last)
-        return rows.withColumns({name: F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in measures.items()})
+        return rows.withColumns({name: or_empty(fold(value).over(inside)) for name, value in measures.items()})
 
     hot = find_hot_keys(df if counted is None else counted, keys, min_rows, share)
     if hot is None:
-        return sums_over(df, keys)
+        return over_earlier(df, keys)
     sliced = with_time_slice(df, keys, order, hot, slice_width)
     part = [*keys, "_slice"]
-    slice_sums = (
+    per_slice = (
         sliced.where(F.col("_hot")).groupBy(*part)
-        .agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in measures.items()])
+        .agg(*[fold(value).alias(f"_slice_{name}") for name, value in measures.items()])
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slice_sums.select(
-        *part, *[F.sum(f"_sum_{name}").over(before).alias(f"_carry_{name}") for name in measures]
-    )
-    joined = sums_over(sliced, part).join(carried, part, "left")
-    return joined.select(
-        *df.columns,
-        *[(F.col(name) + F.coalesce(f"_carry_{name}", F.lit(0))).alias(name) for name in measures],
+    carried = per_slice.select(
+        *part, *[fold(f"_slice_{name}").over(before).alias(f"_carry_{name}") for name in measures]
     )
 
+    def merged(name: str) -> Column:
+        carry = or_empty(F.col(f"_carry_{name}"))
+        return F.col(name) + carry if combine == "sum" else F.greatest(F.col(name), carry)
+
+    joined = over_earlier(sliced, part).join(carried, part, "left")
+    return joined.select(*df.columns, *[merged(name).alias(name) for name in measures])
+
 
 def slice_edges(df: DataFrame, order: Column, slices: int = 256, min_rows: int = ROWS_PER_TASK) -> list[float]:
     """Up to ``slices - 1`` cut points that spread ``order`` evenly; none when the table is small.

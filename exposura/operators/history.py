@@ -179,8 +179,8 @@ def recent_activity(
     """Per row: the user's events and positives in the preceding window (the row's own instant excluded),
     whether the item is new to the user, and the time since the user last saw the item's category.
 
-    The bounded counts are differences of two running totals, so hot users are sliced like in every
-    other history feature.
+    The bounded counts are differences of two running totals and the last sight is a running maximum,
+    so hot users are sliced like in every other history feature.
     """
     name = {"_all": F.lit(1), "_positive": F.col("long_view").cast("long")}
     work = earlier_totals(rows, ["user_id"], "timestamp_ms", name, slice_width=slice_width, min_rows=min_rows, share=share)
@@ -195,11 +195,14 @@ def recent_activity(
             "recent_positives": F.col("_positive") - F.col("_positive_edge"),
         }
     )
-    by_item = Window.partitionBy("user_id", "item_id").orderBy("timestamp_ms")
     kind = F.coalesce(F.col("category").cast("string"), F.lit("unknown"))
-    by_category = Window.partitionBy("user_id", kind).orderBy("timestamp_ms")
-    return counted.select(
-        *rows.columns, "recent_events", "recent_positives",
-        (F.row_number().over(by_item) == 1).cast("int").alias("is_novel"),
-        (F.col("timestamp_ms") - F.lag("timestamp_ms").over(by_category)).alias("ms_since_category"),
+    seen = counted.withColumn("_kind", kind)
+    for key, name in (("item_id", "_last_item"), ("_kind", "_last_kind")):
+        seen = earlier_totals(
+            seen, ["user_id", key], "timestamp_ms", {name: F.col("timestamp_ms")}, slice_width=slice_width,
+            min_rows=min_rows, share=share, counted=rows.withColumn("_kind", kind), combine="max",
+        )
+    return seen.select(
+        *rows.columns, "recent_events", "recent_positives", F.col("_last_item").isNull().cast("int").alias("is_novel"),
+        (F.col("timestamp_ms") - F.col("_last_kind")).alias("ms_since_category"),
     )

@@ -48,7 +48,7 @@ def topk_within(
     Returns ``(*by, query, item, retrieval_score, retrieval_rank)``. Both sides are cut into bounded
     hash blocks, every (query block, item block) pair of a bucket is one dense matrix product in its
     own task, and only each block's top ``k`` leaves the task, so neither all pairs nor a whole hot
-    bucket is ever gathered. Query blocks shrink on small inputs to keep all cores busy.
+    bucket is ever gathered. ``by`` must have few distinct values, such as the buckets of a hash table. Query blocks shrink on small inputs to keep all cores busy.
     """
     if int(k) < 1:
         raise ValueError("k must be positive")
@@ -69,7 +69,8 @@ def topk_within(
 
     item_blocks = blocks(right, "_item_blocks", F.lit(1))
     query_blocks = blocks(left, "_query_blocks", F.lit(spread))
-    shape = item_blocks.join(query_blocks, keys)
+    # one row per bucket; buckets are hash tables times sign patterns (or one), a number set by parameters
+    shape = F.broadcast(item_blocks.join(query_blocks, keys))
 
     def spread_out(table: DataFrame, own: str, own_count: str, other: str, other_count: str, key: str) -> DataFrame:
         return (

@@ -71,7 +71,7 @@ def weight_histogram(
     value = F.least(F.col(weight), top)
     width = (top - low) / bins
     number = F.least(F.floor(F.coalesce(F.try_divide(value - low, width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-    counts = rows.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = rows.select(number.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     return counts.withColumns(
         {"lower_edge": low + width * F.col("bin"), "upper_edge": low + width * (F.col("bin") + 1)}
     )

@@ -50,6 +50,20 @@ def test_earlier_totals_inclusive(log):
     assert rows(scale.earlier_totals(log, ["user_id"], "timestamp_ms", {"n": F.lit(1)}, inclusive=True, **HOT), "event_id", "n") == plain
 
 
+def test_recent_activity_sliced_equals_plain(log):
+    tagged = log.withColumn("category", (F.col("item_id") % 2).cast("string"))
+    columns = ("event_id", "recent_events", "recent_positives", "is_novel", "ms_since_category")
+    plain = rows(history.recent_activity(tagged, 3000), *columns)
+    assert rows(history.recent_activity(tagged, 3000, **HOT), *columns) == plain
+    data = tagged.collect()
+    for event, events, positives, novel, since in plain:
+        r = next(x for x in data if x.event_id == event)
+        past = [x for x in data if x.user_id == r.user_id and r.timestamp_ms - 3000 <= x.timestamp_ms < r.timestamp_ms]
+        same = [x.timestamp_ms for x in data if x.user_id == r.user_id and x.category == r.category and x.timestamp_ms < r.timestamp_ms]
+        assert (events, positives) == (len(past), sum(x.long_view for x in past))
+        assert since == (r.timestamp_ms - max(same) if same else None)
+
+
 def test_contexts_sliced_equals_plain(log):
     distinct = log.dropDuplicates(["user_id", "timestamp_ms", "item_id"])
     columns = ("event_id", "session_position", "context_id")
