@@ -265,7 +265,8 @@ RERANK_SQL = """
 , cand as (
   select t.context_id, t.user_id, t.event_id, t.date, t.long_view, t.item_id, t.timestamp_ms, t.score, coalesce(c.category, 'unknown') as category,
     row_number() over w as rank, greatest(max(t.score) over g, 0) as high, least(min(t.score) over g, 0) as low, count(*) over g as size
-  from predictions t left join item_categories c using (item_id) where t.model = 'popularity' and t.domain = 'standard'
+  from (select * replace (domain || ':' || context_id as context_id) from predictions where model = 'popularity') t
+    left join item_categories c using (item_id)
   window w as (partition by t.context_id order by t.score desc, t.item_id, t.timestamp_ms), g as (partition by t.context_id))
 , cats as (
   select context_id, category, coalesce(max(preference), 0) as preference from (
@@ -302,11 +303,16 @@ GREEDY_SQL = """
 """
 
 
+def _lists(spark, folder):
+    """Lists of the popularity model in both domains; the domain becomes part of the context id."""
+    rows = _tagged_predictions(spark, folder).where("model = 'popularity'")
+    return rows.withColumn("context_id", F.concat_ws(":", "domain", "context_id"))
+
+
 @query("rerank_frontier", (RERANK_SQL + GREEDY_SQL + """
 select event_id, context_id, relevance_weight, rerank_position from reranked"""))
 def rerank_frontier(spark, folder):
-    rows = _tagged_predictions(spark, folder).where("model = 'popularity' and domain = 'standard'")
-    return rerank.rerank_frontier(rows, _profiles(spark, folder)).select("event_id", "context_id", "relevance_weight", "rerank_position")
+    return rerank.rerank_frontier(_lists(spark, folder), _profiles(spark, folder)).select("event_id", "context_id", "relevance_weight", "rerank_position")
 
 
 @query("frontier_report", RERANK_SQL + GREEDY_SQL + """
@@ -342,5 +348,4 @@ select relevance_weight, R6(ndcg) as ndcg, R6(recall) as recall, R6(mrr) as mrr,
   R6(unique_items / (select count(distinct item_id) from item_vectors)) as catalog_coverage
 from relevance r join variety v using (relevance_weight) join g using (relevance_weight)""")
 def frontier_report(spark, folder):
-    rows = _tagged_predictions(spark, folder).where("model = 'popularity' and domain = 'standard'")
-    return workflows.frontier_report(rows, _profiles(spark, folder), v.item_vectors(spark, folder))
+    return workflows.frontier_report(_lists(spark, folder), _profiles(spark, folder), v.item_vectors(spark, folder))
