@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from exposura.llm.bpe import bpe_decode, bpe_encode, ids_digest
 from exposura.llm.ngram_join import ngram_join
+from exposura.llm.secrets import scan_secrets, span_text
+from exposura.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +22,39 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(_table(spark, folder, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(_table(spark, folder, "documents").select("doc_id", "text"))
+    def count(kind: str):
+        return F.size(F.filter("base_secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(span_text("base_secrets"), 256).alias("base_sha256"), span_text("secrets").alias("spans"), "n_layers",
+    )
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary_path()
+    ids = bpe_encode(_table(spark, folder, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe_decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op4_secret_scan": op4_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
