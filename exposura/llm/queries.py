@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposura.llm.bpe import bpe_decode, bpe_encode, ids_digest
+from exposura.llm.decontaminate import contained_items
+from exposura.llm.lm_scoring import score_texts
 from exposura.llm.ngram_join import ngram_join
 from exposura.llm.secrets import scan_secrets, span_text
 from exposura.llm.toxicity import toxicity
@@ -22,6 +24,10 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(_table(spark, folder, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_secrets(_table(spark, folder, "documents").select("doc_id", "text"))
     def count(kind: str):
@@ -36,6 +42,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_table(spark, folder, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -53,8 +63,33 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op7_toxicity": op7_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+# Words of a text, A-Z lower-cased, in DuckDB.
+_WORDS = """[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+') if x <> '']"""
+
+_CONTAINMENT_SQL = f"""
+with item_words as (select distinct item_id, {_WORDS} as w from benchmark),
+items as (
+  select item_id, len(w) as size, case when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as names
+  from item_words where len(w) > 0 and item_id is not null
+),
+doc_words as (select doc_id, {_WORDS} as w from documents where doc_id is not null),
+sizes as (select distinct least(size, 5) as size from items),
+doc_names as (
+  select distinct doc_id, unnest([array_to_string(w[i:i + size - 1], ' ') for i in range(1, len(w) - size + 2)]) as name
+  from doc_words, sizes
+),
+item_names as (select item_id, len(names) as n_item, unnest(names) as name from items)
+select doc_id, item_id, n_item::bigint as n_item, count(*)::bigint as n_shared, count(*) / n_item as containment
+from doc_names join item_names using (name) group by doc_id, item_id, n_item having count(*) * 100 >= n_item * 80
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": _CONTAINMENT_SQL}
