@@ -11,7 +11,9 @@ from exposura.llm.decontaminate import contained_items
 from exposura.llm.lm_scoring import score_texts
 from exposura.llm.ngram_join import ngram_join
 from exposura.llm.secrets import scan_secrets, span_text
+from exposura.llm.substrings import remove_repeats
 from exposura.llm.toxicity import toxicity
+from exposura.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +40,18 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(_table(spark, folder, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(_table(spark, folder, "documents"))
 
@@ -65,7 +75,9 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
