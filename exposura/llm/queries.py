@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposura.llm.bpe import bpe_decode, bpe_encode, ids_digest
 from exposura.llm.decontaminate import contained_items
+from exposura.llm.html_text import extract_text
 from exposura.llm.lm_scoring import score_texts
 from exposura.llm.ngram_join import ngram_join
 from exposura.llm.secrets import scan_secrets, span_text
@@ -40,6 +41,10 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(_table(spark, folder, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(_table(spark, folder, "pages"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
