@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from exposura.llm.ann import nearest
 from exposura.llm.bpe import bpe_decode, bpe_encode, ids_digest
 from exposura.llm.decontaminate import contained_items
 from exposura.llm.html_text import extract_text
@@ -31,6 +32,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_secrets(_table(spark, folder, "documents").select("doc_id", "text"))
     def count(kind: str):
@@ -79,6 +85,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
+    "op3_nearest": op3_nearest,
     "op4_secret_scan": op4_secret_scan,
     "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
