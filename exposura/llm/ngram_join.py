@@ -5,12 +5,13 @@ bounds that follow from the two set sizes rule it out:
 
 1. A pair at Jaccard ``percent`` needs an overlap of ``percent (a + b) / (100 + percent)``. In any fixed order
    of all n-grams the first n-gram the two share then lies among the first ``n - ceil(percent n / 100) + 1`` of
-   either, and what follows it must still reach the needed overlap. The order takes n-grams of seldom-used
-   count buckets first, so that passages that many documents share are hardly ever among the first.
-2. Rows of these leading n-grams are range-partitioned and sorted by (n-gram, set size, document). A row is
-   compared with the next ``WINDOW`` rows of its n-gram. Larger groups, and groups cut by a partition's edge,
-   are chained row by row instead, which keeps them connected. So a group never costs more than a constant
-   per row, and every pair that links is connected through candidate pairs.
+   either, and the leading n-grams they share, with all that lies behind, must reach the needed overlap. The
+   order takes n-grams of seldom-used count buckets first, so that passages that many documents share are
+   hardly ever among the leading ones.
+2. Rows of these leading n-grams are range-partitioned and sorted by (n-gram, set size, document). A row meets
+   the next ``WINDOW`` rows of its n-gram, and the meetings of a pair are counted. Larger groups, and groups cut
+   by a partition's edge, are chained row by row instead, which keeps them connected. So a group never costs
+   more than a constant per row, and every pair that links is connected through candidate pairs.
 3. Inside each connected set of candidates the product is computed exactly, in blocks of bounded size; only
    blocks whose set sizes can reach the threshold meet. A block returns each document with the smallest one it
    is linked with through the block, so rows out never exceed rows in.
@@ -116,17 +117,34 @@ def profiles(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
 
 
 def _compare(percent: int):
-    """A function for ``mapInArrow`` over sorted rows ``(shingle, n, doc, place)``: candidate pairs and edge rows."""
-    def reachable(n_a, n_b, place_a, place_b):
-        need = -(-percent * (n_a + n_b) // (100 + percent))
-        return 1 + np.minimum(n_a - place_a - 1, n_b - place_b - 1) >= need
+    """A function for ``mapInArrow`` over sorted rows ``(shingle, n, doc)``: pairs, chain links and edge rows.
+
+    A pair's ``hits`` counts the leading shingles it was met at; a chain link has none.
+    """
+    names = ["a", "b", "n_a", "n_b", "hits", "part", "side", "shingle", "n", "doc"]
+
+    def pairs(a, b, n_a, n_b, chain):
+        swap = a > b
+        a, b, n_a, n_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)
+        order = np.lexsort((chain, n_b, n_a, b, a))
+        rows = np.stack([a, b, n_a, n_b, chain])[:, order]
+        rows = rows[:, rows[0] != rows[1]]
+        starts = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]) if rows.shape[1] else np.zeros(0, int)
+        hits = np.diff(np.r_[starts, rows.shape[1]])
+        rows = rows[:, starts]
+        return table([*rows[:4], np.where(rows[4] == 1, 0, hits)], len(starts))
+
+    def table(columns, count, first=0):
+        out = [pa.nulls(count, pa.int64())] * len(names)
+        out[first:first + len(columns)] = [pa.array(c, pa.int64()) for c in columns]
+        return pa.RecordBatch.from_arrays(out, names)
 
     def work(batches):
         part = TaskContext.get().partitionId()
         held = None  # the last rows, so that a group cut by a batch is seen whole
         first_row = last_row = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
             if rows.shape[1] == 0:
                 continue
             if first_row is None:
@@ -134,71 +152,67 @@ def _compare(percent: int):
             last_row = rows[:, -1].copy()
             carried = 0 if held is None else held.shape[1]
             rows = rows if held is None else np.concatenate([held, rows], axis=1)
-            shingle, n, doc, place = rows
+            shingle, n, doc = rows
             count = rows.shape[1]
+            # chain what the window cannot hold: groups longer than it, and groups at an edge of partition or batch
+            wide = np.zeros(count, bool)
+            if count > WINDOW:
+                wide[:count - WINDOW] = shingle[:count - WINDOW] == shingle[WINDOW:]
+                wide = np.isin(shingle, shingle[wide])
+            wide |= (shingle == first_row[0]) | (shingle == shingle[-1]) | (shingle == shingle[max(0, carried - 1)])
             left, right = [], []
             for step in range(1, min(WINDOW, count - 1) + 1):
                 a, b = slice(0, count - step), slice(step, count)
-                close = (shingle[a] == shingle[b]) & (100 * n[a] >= percent * n[b])
+                close = (shingle[a] == shingle[b]) & (100 * n[a] >= percent * n[b]) & ~wide[a]
                 if not close.any():  # nor can there be any further on, rows being sorted
                     break
                 close[:max(0, carried - step)] = False  # both ends seen in an earlier batch
                 at = np.flatnonzero(close)
-                at = at[reachable(n[at], n[at + step], place[at], place[at + step])]
-                left.append(doc[at])
-                right.append(doc[at + step])
-            # chain what the window cannot hold: groups longer than it, and groups at either edge
-            wide = np.zeros(count, bool)
-            if count > WINDOW:
-                wide[:count - WINDOW] = shingle[:count - WINDOW] == shingle[WINDOW:]
-                wide = np.isin(shingle, shingle[wide])
-            wide |= (shingle == first_row[0]) | (shingle == shingle[-1]) | (shingle == shingle[max(0, carried - 1)])
+                left.append(at)
+                right.append(at + step)
             next_to = (shingle[:-1] == shingle[1:]) & wide[:-1] & (100 * n[:-1] >= percent * n[1:])
             next_to[:max(0, carried - 1)] = False  # a group at the end of a batch was chained there
             at = np.flatnonzero(next_to)
-            left.append(doc[at])
-            right.append(doc[at + 1])
-            if sum(map(len, left)):
-                a, b = np.concatenate(left), np.concatenate(right)
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                keep = np.ones(len(a), bool)
-                keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                keep &= a != b
-                yield table(a[keep], b[keep])
+            chain = np.r_[np.zeros(sum(map(len, left)), int), np.ones(len(at), int)]
+            left, right = np.concatenate([*left, at]), np.concatenate([*right, at + 1])
+            if len(left):
+                yield pairs(doc[left], doc[right], n[left], n[right], chain)
             held = rows[:, -WINDOW:]
         if first_row is not None:
-            yield table(*[np.array([0, 0])] * 2, part=[part, part], side=[0, 1], edge=np.stack([first_row, last_row]))
-
-    def table(a, b, part=None, side=None, edge=None):
-        missing = pa.nulls(len(a), pa.int64())
-        columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
-        columns += [missing] * 5 if edge is None else [
-            pa.array(part, pa.int64()), pa.array(side, pa.int64()), *[pa.array(edge[:, i], pa.int64()) for i in range(3)]
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "part", "side", "shingle", "n", "doc"])
+            ends = np.stack([first_row, last_row], axis=1)
+            yield table([[part, part], [0, 1], *ends], 2, first=5)
 
     return work
 
 
 def candidate_pairs(leads: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ids that connect every two documents that link. ``leads``: doc_id, n_shingles, lead."""
-    exploded = leads.select("doc_id", "n_shingles", F.posexplode("lead").alias("place", "shingle"))
-    ordered = exploded.select("shingle", F.col("n_shingles").alias("n"), F.col("doc_id").alias("doc"), F.col("place").cast("long"))
-    ordered = ordered.repartitionByRange("shingle", "n", "doc").sortWithinPartitions("shingle", "n", "doc")
+    """Pairs ``(a, b)`` of ids that connect every two documents that link. ``leads``: doc_id, n_shingles, lead.
+
+    A pair met at ``hits`` leading shingles, in groups that were compared in full, overlaps in no more than
+    ``hits`` and what lies behind the leading part of the larger set; below the needed overlap it is discarded.
+    If the two also share a leading shingle of a chained group, the chain connects them anyway.
+    """
+    rows = leads.select(F.explode("lead").alias("shingle"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("doc"))
+    ordered = rows.repartitionByRange("shingle", "n", "doc").sortWithinPartitions("shingle", "n", "doc")
     found = materialize(ordered.mapInArrow(
-        _compare(percent), "a long, b long, part long, side long, shingle long, n long, doc long"
+        _compare(percent),
+        "a long, b long, n_a long, n_b long, hits long, part long, side long, shingle long, n long, doc long",
     ))
+    pairs = found.where("part is null").groupBy("a", "b", "n_a", "n_b").agg(
+        F.sum("hits").alias("hits"), F.min("hits").alias("least")  # a chain link has no hits
+    )
+    behind = F.expr(f"greatest(ceil({percent} * n_a / 100), ceil({percent} * n_b / 100)) - 1")
+    needed = F.expr(f"{percent} * (n_a + n_b) / {100 + percent}")
+    # half a shingle of slack for the division; a chain link stays in any case
+    kept = pairs.where((F.col("least") == 0) | (F.col("hits") + behind >= needed - 0.5)).select("a", "b")
     # two rows for each partition: the last row of one against the first of the next
-    edges = found.where("part is not null")
     line = Window.orderBy("part", "side")
-    at_edges = edges.select(
+    at_edges = found.where("part is not null").select(
         "*", *[F.lag(c).over(line).alias(f"last_{c}") for c in ("shingle", "n", "doc")]
     ).where(f"side = 0 and shingle = last_shingle and 100 * last_n >= {percent} * n").select(
         F.least("doc", "last_doc").alias("a"), F.greatest("doc", "last_doc").alias("b")
     )
-    return found.where("part is null").select("a", "b").unionByName(at_edges).distinct()
+    return kept.unionByName(at_edges).distinct()
 
 
 def block_links(docs: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
