@@ -77,27 +77,27 @@ def fit_coder(sample: np.ndarray, k: int, seed: int = 5) -> Coder:
 
 
 class BlockIndex:
-    """Inverted indexes of one block of rows, one for each substring."""
+    """Inverted indexes of one block of rows, one for each substring: a bit map of the rows of each of its values."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.starts = [
-            np.searchsorted(codes[self.order[j], j], np.arange((1 << SUBSTRING) + 1)) for j in range(codes.shape[1])
-        ]
+        self.entries = np.zeros((codes.shape[1], 1 << SUBSTRING, -(-len(codes) // 8)), np.uint8)
+        place = np.arange(len(codes))
+        for j in range(codes.shape[1]):
+            np.bitwise_or.at(self.entries[j], (codes[:, j], place >> 3), (128 >> (place & 7)).astype(np.uint8))
 
     def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
         """Which rows have a code within ``radius`` of each query's: all of them, found by probing."""
-        found = np.zeros((len(queries), len(self.codes)), bool)
-        entries = np.arange(1 << SUBSTRING, dtype=np.uint8)
+        maps = np.zeros((len(queries), self.entries.shape[2]), np.uint8)
+        values = np.arange(1 << SUBSTRING, dtype=np.uint8)
         reach = radius // self.codes.shape[1]
         for j in range(self.codes.shape[1]):
-            for value in np.unique(queries[:, j]):
-                probes = np.flatnonzero(np.bitwise_count(entries ^ value) <= reach)
-                rows = np.concatenate([self.order[j][self.starts[j][p]:self.starts[j][p + 1]] for p in probes])
-                asked = np.flatnonzero(queries[:, j] == value)
-                if len(rows):
-                    found[np.ix_(asked, rows)] = True
+            asked, which = np.unique(queries[:, j], return_inverse=True)
+            probed = np.stack([
+                np.bitwise_or.reduce(self.entries[j][np.bitwise_count(values ^ value) <= reach], axis=0) for value in asked
+            ])
+            maps |= probed[which]
+        found = np.unpackbits(maps, axis=1, count=len(self.codes)).view(bool)
         away = np.zeros(found.shape, np.uint8)
         for word in range(0, BITS // 8, 8):  # what was retrieved is checked on the whole code
             own, other = (np.ascontiguousarray(c[:, word:word + 8]).view(np.uint64)[:, 0] for c in (queries, self.codes))

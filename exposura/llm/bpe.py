@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The split of a byte-level vocabulary, before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Distinct pieces a task remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 800_000
+# Distinct pieces, and pairs of tokens, a task remembers; beyond that it forgets them all and starts again.
+REMEMBERED = 250_000
 # A longer text is split piece by piece instead of as one list.
 _LONG = 2_000_000
 
@@ -64,14 +64,6 @@ class Vocabulary:
         self.lengths = [len(t) for t in self.tokens]
         self.shorter: dict[int, int] = {}
         self.fits = _Pairs(self)
-        of_letter = {letter: byte for byte, letter in enumerate(letters)}
-        by_id = {int(i): bytes(of_letter[c] for c in t) for t, i in zip(self.tokens, self.ids)}
-        by_id.update({i: t.encode() for t, i in self.added.items()})
-        lengths = np.zeros(max(by_id) + 2, np.int64)
-        for i, token in by_id.items():
-            lengths[i + 1] = len(token)
-        self.offsets = np.cumsum(lengths)
-        self.bytes = np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8)
         self.pieces = _Pieces(self)
         self.split = regex.compile(PATTERN)
         self.around = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -146,6 +138,21 @@ class Vocabulary:
         )
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.int32)
 
+
+class OffsetTable:
+    """The bytes of all tokens in the order of their ids, and where each begins."""
+
+    def __init__(self, text: str):
+        file = json.loads(text)
+        of_letter = {letter: byte for byte, letter in enumerate(byte_letters())}
+        by_id = {i: bytes(of_letter[c] for c in token) for token, i in file["model"]["vocab"].items()}
+        by_id.update({token["id"]: token["content"].encode() for token in file.get("added_tokens") or []})
+        lengths = np.zeros(max(by_id) + 2, np.int64)
+        for i, token in by_id.items():
+            lengths[i + 1] = len(token)
+        self.offsets = np.cumsum(lengths)
+        self.bytes = np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8)
+
     def decode(self, ids: np.ndarray) -> str:
         starts = self.offsets[ids]
         lengths = self.offsets[ids + 1] - starts
@@ -186,11 +193,16 @@ class _Pieces(dict):
         return value
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
+@lru_cache(maxsize=1)
+def _offset_table(text: str) -> OffsetTable:
+    return OffsetTable(text)
+
+
 def _file(df: DataFrame, path: str):
     """The vocabulary file, read by the driver and sent to the executors; a file of a few megabytes."""
     with open(path, encoding="utf-8") as file:
@@ -226,12 +238,12 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
     place = kept.index(ids)
 
     def work(batches):
-        vocabulary = _vocabulary(file.value)
+        table = _offset_table(file.value)
         for batch in batches:
             column = batch.column(place)
             flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             texts = [
-                vocabulary.decode(flat[a:b].astype(np.int64)) if ok else ""
+                table.decode(flat[a:b].astype(np.int64)) if ok else ""
                 for a, b, ok in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text])
