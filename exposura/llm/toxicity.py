@@ -155,14 +155,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     return fit_machine([place[np.array(r["bins"], int)] for r in rows], np.array([r["label"] for r in rows]), place)
 
 
-def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` from 0 to 1 and ``predicted`` (1 from 0.5 on).
+def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with a score from 0 to 1 and a prediction (1 from 0.5 on).
 
-    A null, empty or unknown text gets the score of the bias alone. Columns called ``score`` or ``predicted`` are
+    A null, empty or unknown text gets the score of the bias alone. Columns called like the two new ones are
     replaced, all others and repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the number of bins
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c not in (score, predicted)]
     place = kept.index(text)
 
     def work(batches):
@@ -174,11 +174,11 @@ def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> Dat
                 used = model.place[bins] >= 0
                 bins, rows = _distinct(bins[used], rows[used])
                 scores.append(model.scores(bins, rows, len(offsets) - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*kept, score])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    scored = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    scored = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())]))
+    return scored.withColumn(predicted, F.when(F.col(f"`{score}`") >= 0.5, 1).otherwise(0))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
