@@ -10,16 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from exposura.session import materialize
 
 # A single task sorts this many narrow rows without trouble, so smaller inputs are not sliced.
 ROWS_PER_TASK = 1_000_000
-# A key is hot when it holds more than this share of all rows: at most 1 / share = 100,000 such keys
-# can exist, whatever the size of the data, which is what makes their list safe to broadcast.
-HOT_SHARE = 1e-5
+# A key may further have to hold this share of all rows to count as hot. None by default: the bound is rows per
+# task, and the list of hot keys is a table whose join Spark plans by its size.
+HOT_SHARE = 0.0
 # Time slice of a hot key's rows.
 SLICE_MS = 60_000
 
@@ -27,14 +26,12 @@ SLICE_MS = 60_000
 def hot_keys(
     df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK, share: float = HOT_SHARE
 ) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and more than ``share`` of all rows (so ≤ 1/share keys)."""
+    """Keys with more than ``min_rows`` rows and more than ``share`` of all rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("n"))
-    return (
-        counts.where(F.col("_rows") > min_rows)
-        .where(F.col("_rows") > F.lit(float(share)) * total.scalar())
-        .select(*keys)
-    )
+    hot = counts.where(F.col("_rows") > min_rows)
+    if share > 0:
+        hot = hot.where(F.col("_rows") > F.lit(float(share)) * counts.agg(F.sum("_rows").alias("n")).scalar())
+    return hot.select(*keys)
 
 
 def find_hot_keys(
@@ -45,16 +42,16 @@ def find_hot_keys(
     This is one job over the key columns with map-side combine. Knowing the answer before the main
     plan is built keeps that plan to a single shuffle on ordinary data.
     """
-    hot = hot_keys(df, keys, min_rows, share)
-    return None if hot.isEmpty() else materialize(hot)
+    hot = materialize(hot_keys(df, keys, min_rows, share))  # once; asking first would count the keys twice
+    return None if hot.isEmpty() else hot
 
 
 def with_time_slice(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame, slice_width: int = SLICE_MS) -> DataFrame:
     """Add ``_slice``: the time slice of a hot key's row, the constant 0 for every other key.
 
-    The added ``_hot`` flag tells the two apart. ``hot`` has at most 1/share rows and is broadcast.
+    The added ``_hot`` flag tells the two apart. ``hot`` is a stored table, so Spark knows its size when it joins.
     """
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left").withColumn(
+    marked = df.join(hot.withColumn("_hot", F.lit(True)), list(keys), "left").withColumn(
         "_hot", F.coalesce("_hot", F.lit(False))
     )
     return marked.withColumn(
@@ -89,7 +86,7 @@ def earlier_totals(
     def or_empty(value: Column) -> Column:
         return F.coalesce(value, F.lit(0)) if combine == "sum" else value
 
-    def over_earlier(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+    def over_earlier(rows: DataFrame, part: Sequence[str], measures: Mapping[str, Column] = measures) -> DataFrame:
         inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, last)
         return rows.withColumns({name: or_empty(fold(value).over(inside)) for name, value in measures.items()})
 
@@ -111,33 +108,19 @@ def earlier_totals(
         carry = or_empty(F.col(f"_carry_{name}"))
         return F.col(name) + carry if combine == "sum" else F.greatest(F.col(name), carry)
 
-    joined = over_earlier(sliced, part).join(carried, part, "left")
-    return joined.select(*df.columns, *[merged(name).alias(name) for name in measures])
-
-
-def slice_edges(df: DataFrame, order: Column, slices: int = 256, min_rows: int = ROWS_PER_TASK) -> list[float]:
-    """Up to ``slices - 1`` cut points that spread ``order`` evenly; none when the table is small.
-
-    This is one aggregate job and returns at most ``slices`` numbers. The edges are literals, so a
-    value falls into the same slice in every task and on every retry; how good the estimate is
-    affects only the balance.
-    """
-    shares = [i / slices for i in range(1, slices)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(order.cast("double"), shares, 10_000).alias("edges"),
-    ).first()
-    if row["n"] <= min_rows:
-        return []
-    return sorted(set(row["edges"]))
-
-
-def _assign_slices(df: DataFrame, order: Column, edges: list[float]) -> DataFrame:
-    if not edges:
-        return df.withColumn("_slice", F.lit(0))
-    splits = [-float("inf"), *edges, float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice", handleInvalid="error")
-    return bucketizer.transform(df.withColumn("_order", order.cast("double"))).drop("_order")
+    # rows of a hot key that share the order value are one row inside the window, and get its result by a join
+    own = {name: F.col(f"_own_{name}") for name in measures}
+    moments = sliced.where(F.col("_hot")).groupBy(*part, order).agg(
+        *[fold(value).alias(f"_own_{name}") for name, value in measures.items()]
+    )
+    placed = over_earlier(moments, part, own).join(carried, part, "left").select(
+        *keys, order, *[merged(name).alias(f"_at_{name}") for name in measures]
+    )
+    spread = sliced.where(F.col("_hot")).join(placed, [*keys, order]).select(
+        *df.columns, *[F.col(f"_at_{name}").alias(name) for name in measures]
+    )
+    ordinary = over_earlier(sliced.where(~F.col("_hot")), keys)
+    return ordinary.select(*df.columns, *measures).unionByName(spread)
 
 
 def running_totals(
@@ -145,7 +128,6 @@ def running_totals(
     order: Column,
     measures: Mapping[str, Column],
     by: Sequence[str] = (),
-    slices: int = 256,
     min_rows: int = ROWS_PER_TASK,
     ties: Sequence[str] = (),
     stored: bool = False,
@@ -155,25 +137,25 @@ def running_totals(
     ``order`` is unique within ``by``, or made so by the ``ties`` columns. The input is read more than
     once, so it is stored first unless the caller says it already is.
 
-    Inputs of at most ``min_rows`` rows use one window. Larger ones are cut at approximate quantiles
-    of ``order``; the slice totals (at most ``slices`` rows per ``by`` group) are accumulated apart
-    and joined back.
+    Inputs of at most ``min_rows`` rows use one window. Larger ones are range-partitioned along ``by`` and ``order``
+    into slices of about ``min_rows`` rows and stored; the totals of the slices are accumulated apart and joined back.
     """
     by = list(by)
     df = df if stored else materialize(df)
-    edges = slice_edges(df, order, slices, min_rows)
-    work = _assign_slices(df, order, edges)
+    slices = -(-df.count() // max(1, min_rows))
+    work = df.withColumn("_slice", F.lit(0))
+    if slices > 1:
+        cut = df.withColumn("_order", order).repartitionByRange(slices, *by, "_order", *ties)
+        work = materialize(cut.withColumn("_slice", F.spark_partition_id()).drop("_order"))
     inside = Window.partitionBy(*by, "_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     detail = work.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in measures.items()})
-    if not edges:
+    if slices <= 1:
         return detail.drop("_slice")
     totals = work.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in measures.items()])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *by, "_slice", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in measures]
     )
-    if not by:
-        carried = F.broadcast(carried)  # at most ``slices`` rows
     return detail.join(carried, [*by, "_slice"]).select(
         *df.columns, *[(F.col(n) + F.col(f"_carry_{n}")).alias(n) for n in measures]
     )

@@ -36,7 +36,7 @@ def bootstrap_means(
     all rows and replicates, and meet their values in one equi-join whose keys are uniform.
     """
     if samples < 1:
-        raise ValueError("bootstrap samples must be positive")
+        raise ValueError("a bootstrap needs at least one resample")
     indexed = _indexed(values, unit, value, min_rows)
     n = indexed.agg(F.count(F.lit(1)).alias("n")).scalar()
     draws = indexed.select("_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).select(
@@ -116,7 +116,7 @@ def poisson_replicates(
     aggregate carries everything, and only ``samples`` rows per group and task are shuffled.
     """
     if samples < 1:
-        raise ValueError("bootstrap samples must be positive")
+        raise ValueError("a bootstrap needs at least one resample")
     exploded = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
     # the draw is a column of its own, so that the sixteen comparisons share one hash
     weighted = exploded.withColumn("_u", uniform_hash(F.col(unit), F.col("replicate"), seed)).withColumn(

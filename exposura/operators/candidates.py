@@ -41,7 +41,7 @@ def attach_labels(candidates: DataFrame, exposed: DataFrame, mode: str = "binary
     candidates are read several times: pass a stored table, not an unfinished retrieval.
     """
     if mode not in ("binary", "graded"):
-        raise ValueError("relevance mode must be 'binary' or 'graded'")
+        raise ValueError(f"labels are binary or graded, not {mode!r}")
     pair = ["context_id", "item_id"]
     labels = relevance_labels(exposed)
     zero = F.lit(0).cast("tinyint")

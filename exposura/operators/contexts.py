@@ -31,7 +31,7 @@ def ranking_contexts(
     """
     require_columns(log, ["user_id", "timestamp_ms", "item_id"], "ranking context input")
     if max_gap_minutes <= 0 or window_size <= 0:
-        raise ValueError("max_gap_minutes and window_size must be positive")
+        raise ValueError("a session needs a gap and a window above zero")
     keys, limit = [*by, "user_id"], max_gap_minutes * 60_000
     hot = find_hot_keys(log, keys, min_rows, share)
     if hot is None:

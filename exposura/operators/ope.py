@@ -38,7 +38,7 @@ def check_target(rows: DataFrame, target: str = "target") -> DataFrame:
 def importance_weights(rows: DataFrame, clip: float | None = None, name: str = "weight") -> DataFrame:
     """Add target(action)/pscore, at most ``clip``; invalid actions, propensities and targets raise."""
     if clip is not None and not 0 < clip < float("inf"):
-        raise ValueError("clip must be a finite positive number")
+        raise ValueError(f"importance weights can only be clipped at a finite number above zero, not {clip}")
     pscore, action = F.col("pscore"), F.col("action")
     checked = enforce(
         enforce(check_target(rows), is_finite(pscore) & (pscore > 0) & (pscore <= 1), "propensities must lie in (0, 1]"),
@@ -52,7 +52,7 @@ def weight_report(rows: DataFrame, raw: str = "raw_weight", used: str = "weight"
     """One row: minimum, mean, deviation, p95, p99, maximum, effective size and the clipped share."""
     w, r = F.col(used), F.col(raw)
     valid = is_finite(w) & is_finite(r) & (w >= 0) & (r >= 0)
-    checked = enforce(rows, valid, "importance weights must be finite and non-negative")
+    checked = enforce(rows, valid, "an importance weight is negative or not a number")
     points = exact_percentiles(checked, used, {"p95": 95, "p99": 99}, min_rows=min_rows)
     packed = points.agg(F.first(F.struct("p95", "p99")).alias("p")).scalar()
     return checked.agg(

@@ -126,4 +126,4 @@ def require_valid_embeddings(table: DataFrame, key: str, vector: str = "embeddin
 
 def checked_weights(df: DataFrame, weight: str) -> DataFrame:
     column = F.col(weight)
-    return enforce(df, is_finite(column) & (column >= 0), "weights must be finite and non-negative")
+    return enforce(df, is_finite(column) & (column >= 0), "a weight is negative or not a number")

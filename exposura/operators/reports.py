@@ -52,40 +52,49 @@ def recommendation_behavior(
     )
 
 
-def user_cohorts(users: DataFrame, train: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
-    """History terciles of the given users: low / medium / high by (history count, user id).
+def user_cohorts(users: DataFrame, train: DataFrame, min_rows: int = ROWS_PER_TASK, by: Sequence[str] = ()) -> DataFrame:
+    """History terciles of the given users, cut anew in each ``by`` group: low / medium / high by (history count, user id).
 
     The bin edges of an equal-count cut of ranks 1…n fall just below an integer where they would be
     one, hence the strict integer comparisons. A single user cannot be cut in three.
     """
     counts = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("history_count"))
     base = materialize(
-        users.select("user_id").distinct().join(counts, "user_id", "left")
-        .select("user_id", F.coalesce("history_count", F.lit(0)).alias("history_count"))
+        users.select(*by, "user_id").distinct().join(counts, "user_id", "left")
+        .select(*by, "user_id", F.coalesce("history_count", F.lit(0)).alias("history_count"))
     )
-    n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = ordered_position(base, F.col("history_count"), "user_id", "_rank", min_rows=min_rows)
+    ranked = ordered_position(base, F.col("history_count"), "user_id", "_rank", by, min_rows)
+    if by:
+        ranked = ranked.join(base.groupBy(*by).agg(F.count(F.lit(1)).alias("_users")), list(by))
+        n = F.col("_users")
+    else:
+        n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
     steps = 3 * (F.col("_rank") - 1)
     cohort = (
         F.when(n < 2, F.raise_error(F.lit("terciles need at least two users")).cast("string"))
         .when(steps < n - 1, F.lit("low")).when(steps < 2 * (n - 1), F.lit("medium")).otherwise(F.lit("high"))
     )
-    return ranked.select("user_id", "history_count", cohort.alias("cohort"))
+    return ranked.select(*by, "user_id", "history_count", cohort.alias("cohort"))
 
 
 def user_cohort_report(
     predictions: DataFrame, train: DataFrame, k_values: Sequence[int] = (5, 10, 20), by: Sequence[str] = (),
     min_users: int = 0,
 ) -> DataFrame:
-    """Ranking metrics, users and rows per history tercile; ``small`` marks cohorts under ``min_users``."""
+    """Ranking metrics, users and rows per history tercile; ``small`` marks cohorts under ``min_users``.
+
+    A cohort in which no list can be evaluated keeps its rows, with no metrics and no eligible groups.
+    """
     by = list(by)
-    cohorts = user_cohorts(predictions, train)
-    work = predictions.join(cohorts.select("user_id", "cohort"), "user_id")
+    cohorts = user_cohorts(predictions, train, by=by)
+    work = predictions.join(cohorts.select(*by, "user_id", "cohort"), [*by, "user_id"])
     sizes = work.groupBy(*by, "cohort", "user_id").agg(F.count(F.lit(1)).alias("_n")).groupBy(*by, "cohort").agg(
         F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows")
     )
     metrics = ranking_metrics(work, k_values, by=[*by, "cohort"])
-    return metrics.join(sizes, [*by, "cohort"]).withColumn("small", F.col("users") < min_users)
+    every = sizes.withColumn("k", F.explode(F.array(*[F.lit(k) for k in k_values])))
+    counted = {c: F.coalesce(c, F.lit(0)) for c in ("eligible_groups", "eligible_rows")}
+    return every.join(metrics, [*by, "cohort", "k"], "left").withColumns(counted).withColumn("small", F.col("users") < min_users)
 
 
 def item_cohorts(train: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:

@@ -22,7 +22,7 @@ def density_weights(
     by the mean over all rows.
     """
     if clip_max is not None and not 0 < clip_max < float("inf"):
-        raise ValueError("clip_max must be positive and finite")
+        raise ValueError(f"weights can only be clipped at a finite number above zero, not {clip_max}")
     if not 0 < random_prior < 1:
         raise ValueError("random_prior must lie strictly between 0 and 1")
     checked = enforce(rows, is_finite(F.col(probability)), "domain classifier produced non-finite probabilities")
@@ -65,13 +65,18 @@ def clip_at_percentiles(
 def weight_histogram(
     rows: DataFrame, weight: str = "weight", bins: int = 50, cap: float = 99.5, min_rows: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Equal-width histogram from the minimum to the ``cap`` percent point; larger weights fall in the last bin."""
+    """Equal-width histogram from the minimum to the ``cap`` percent point; larger weights fall in the last bin.
+
+    Every bin has a row, also one without weights.
+    """
     top = exact_percentiles(rows, weight, {"hi": cap}, min_rows=min_rows).select("hi").scalar()
     low = rows.agg(F.min(weight).alias("lo")).scalar()
     value = F.least(F.col(weight), top)
     width = (top - low) / bins
     number = F.least(F.floor(F.coalesce(F.try_divide(value - low, width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
     counts = rows.select(number.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumns(
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    filled = every.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+    return filled.withColumns(
         {"lower_edge": low + width * F.col("bin"), "upper_edge": low + width * (F.col("bin") + 1)}
     )

@@ -94,24 +94,26 @@ def recommendation_behavior(spark, folder):
 
 
 COHORT_SQL = """
-, base as (select u.user_id, coalesce(h.n, 0) as history_count from (select distinct user_id from predictions) u
+, base as (select model, domain, u.user_id, coalesce(h.n, 0) as history_count from (select distinct model, domain, user_id from predictions) u
   left join (select user_id, count(*) as n from train group by user_id) h using (user_id))
-, placed as (select *, row_number() over (order by history_count, user_id) as r, count(*) over () as n from base)
-, user_cohorts as (select user_id, history_count, case when 3 * (r - 1) < n - 1 then 'low' when 3 * (r - 1) < 2 * (n - 1) then 'medium' else 'high' end as cohort from placed)
+, placed as (select *, row_number() over (partition by model, domain order by history_count, user_id) as r,
+    count(*) over (partition by model, domain) as n from base)
+, user_cohorts as (select model, domain, user_id, history_count, case when 3 * (r - 1) < n - 1 then 'low' when 3 * (r - 1) < 2 * (n - 1) then 'medium' else 'high' end as cohort from placed)
 """
 
 
-@query("user_cohorts", COHORT_SQL + "select user_id, history_count, cohort from user_cohorts")
+@query("user_cohorts", COHORT_SQL + "select distinct domain, user_id, history_count, cohort from user_cohorts")
 def user_cohorts(spark, folder):
-    return reports.user_cohorts(v.scored_parts(spark, folder), v.train(spark, folder))
+    return reports.user_cohorts(v.scored_parts(spark, folder), v.train(spark, folder), by=["domain"])
 
 
 @query("user_cohort_report", COHORT_SQL + """
-, sizes as (select model, domain, cohort, count(distinct user_id) as users, count(*) as rows from predictions join user_cohorts using (user_id) group by all)
+, sizes as (select model, domain, cohort, count(distinct user_id) as users, count(*) as rows from predictions join user_cohorts using (model, domain, user_id) group by all)
 , m as (select model, domain, cohort, k, avg(ndcg) as ndcg, avg(recall) as recall, avg(mrr) as mrr, count(*) as eligible_groups,
-    cast(sum(group_rows) as bigint) as eligible_rows from per_group join user_cohorts using (user_id) group by model, domain, cohort, k)
-select model, domain, cohort, k, R6(ndcg) as ndcg, R6(recall) as recall, R6(mrr) as mrr, eligible_groups, eligible_rows, users, rows,
-  users < 30 as small from m join sizes using (model, domain, cohort)""")
+    cast(sum(group_rows) as bigint) as eligible_rows from per_group join user_cohorts using (model, domain, user_id) group by model, domain, cohort, k)
+select model, domain, cohort, k, R6(ndcg) as ndcg, R6(recall) as recall, R6(mrr) as mrr, coalesce(eligible_groups, 0) as eligible_groups,
+  cast(coalesce(eligible_rows, 0) as bigint) as eligible_rows, users, rows, users < 30 as small
+from (select * from sizes, ks) left join m using (model, domain, cohort, k)""")
 def user_cohort_report(spark, folder):
     return reports.user_cohort_report(v.predictions(spark, folder), v.train(spark, folder), by=BY, min_users=30)
 

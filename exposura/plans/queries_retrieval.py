@@ -118,10 +118,10 @@ SWEEP_COLUMNS = """popularity_weight, k, evaluated_contexts, R6(recall) as recal
   catalog_items_retrieved, positive_contexts, R6(evaluated_contexts / positive_contexts) as context_coverage"""
 
 
-def _sweep(spark, folder) -> DataFrame:
+def _sweep(spark, folder, split: str = "standard_test") -> DataFrame:
     items = v.item_vectors(spark, folder)
     prior = pop.popularity_prior(v.train(spark, folder), items)
-    return workflows.hybrid_sweep(v.part(spark, folder, "standard_test"), v.user_vectors(spark, folder), items, prior)
+    return workflows.hybrid_sweep(v.part(spark, folder, split), v.user_vectors(spark, folder), items, prior)
 
 
 @query("hybrid_sweep", SWEEP_SQL + f"select {SWEEP_COLUMNS} from sweep")
@@ -129,10 +129,11 @@ def hybrid_sweep(spark, folder):
     return _sweep(spark, folder)
 
 
-@query("select_hybrid_weight", SWEEP_SQL + f"""
+@query("select_hybrid_weight", SWEEP_SQL.replace("slice = 'standard_test'", "slice = 'validation'") + f"""
 select {SWEEP_COLUMNS} from sweep where k = 200 order by sweep.recall desc, sweep.ndcg desc, popularity_weight limit 1""")
 def select_hybrid_weight(spark, folder):
-    return workflows.select_hybrid_weight(_sweep(spark, folder))
+    """The weight is chosen on the validation split, so that the test split stays unseen."""
+    return workflows.select_hybrid_weight(_sweep(spark, folder, "validation"))
 
 
 @query("retrieval_metrics", SWEEP_SQL + f"""
@@ -283,7 +284,7 @@ def top_profiles(spark, folder):
     return retrieval.profile_vectors(positives, _part_vectors(spark, folder), maximum=100).select("user_id", "positives")
 
 
-LSH_TABLES, LSH_BITS = 4, 2
+LSH_TABLES, LSH_BITS = 4, 3
 
 
 def _lsh_sql() -> str:

@@ -52,7 +52,8 @@ def percentile_clip(spark, folder):
 @query("weight_histogram", WEIGHTS_SQL + """
 , b as (select min(w) as lo, quantile_cont(w, 0.995) as hi from w)
 , n as (select least(cast(floor((least(w, hi) - lo) / ((hi - lo) / 20)) as int), 19) as bin, lo, (hi - lo) / 20 as width from w, b)
-select bin, count(*) as count, R6(any_value(lo + width * bin)) as lower_edge, R6(any_value(lo + width * (bin + 1))) as upper_edge from n group by bin""")
+select g.bin, count(n.bin) as count, R6(any_value(e.lo + e.width * g.bin)) as lower_edge, R6(any_value(e.lo + e.width * (g.bin + 1))) as upper_edge
+from (select cast(unnest(range(20)) as int) as bin) g left join n on n.bin = g.bin, (select lo, (hi - lo) / 20 as width from b) e group by g.bin""")
 def weight_histogram(spark, folder):
     return wt.weight_histogram(_weights(spark, folder), bins=20)
 
@@ -268,9 +269,9 @@ def hard_negatives(spark, folder):
     row_number() over (partition by t.user_id, t.item_id order by p.timestamp_ms desc, p.item_id desc) as r
   from t left join train p on p.user_id = t.user_id and p.long_view = 1 and p.timestamp_ms < t.timestamp_ms)
 select user_id, item_id, timestamp_ms, count(past) as history_size, coalesce(string_agg(past, ',' order by r desc), '') as history
-from h where r <= 5 group by user_id, item_id, timestamp_ms""")
+from h where r <= 50 group by user_id, item_id, timestamp_ms""")
 def user_history(spark, folder):
-    return neg.user_history(v.train(spark, folder), 5).select(
+    return neg.user_history(v.train(spark, folder), 50).select(
         "user_id", "item_id", "timestamp_ms", F.size("history").cast("long").alias("history_size"),
         F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"),
     )
@@ -306,7 +307,8 @@ def _ranker_rows(spark, folder, split: str):
     observed = retrieval.observed_ranking_rows(
         log, v.user_vectors(spark, folder), v.item_vectors(spark, folder), v.GAP_MINUTES, v.WINDOW_SIZE
     )
-    return materialize(history.ranker_features(observed, v.train(spark, folder)))
+    # training rows see only what came before them; later splits see all of the training period
+    return materialize(history.ranker_features(observed, v.train(spark, folder), point_in_time=split == "train"))
 
 
 @query("domain_classifier")
@@ -342,13 +344,13 @@ def clip_sweep(spark, folder):
 
 @query("probability_model")
 def probability_model(spark, folder):
-    model = ranker.fit_probability_model(_ranker_rows(spark, folder, "train"), _ranker_rows(spark, folder, "validation"), trees=10)
+    model = ranker.fit_probability_model(_ranker_rows(spark, folder, "train"), _ranker_rows(spark, folder, "validation"))
     return probability_metrics(model.predict(_ranker_rows(spark, folder, "standard_test")), "long_view")
 
 
 @query("implicit_factors")
 def implicit_factors(spark, folder):
-    users, items = workflows.implicit_factors(v.train(spark, folder), rank=16, iterations=5)
+    users, items = workflows.implicit_factors(v.train(spark, folder))
     rows = v.split_log(spark, folder).where("split = 'standard_test'").select("event_id", "user_id", "item_id")
     return pop.pair_score(rows, users, items)
 

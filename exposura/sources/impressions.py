@@ -21,18 +21,30 @@ INT_COLUMNS = (
 )
 # Log name and the policy flag its rows must carry.
 LOG_POLICY = {"standard_early": 0, "standard_late": 0, "random": 1}
+# What no row of a log may lack.
+FILLED_COLUMNS = ("user_id", "item_id", "timestamp_ms", "date", "tab", "long_view")
 MANIFEST_COLUMNS = ("user_id", "item_id", "timestamp_ms", "date", "is_random", "source_log", "split")
 
 
 def canonical_log(raw: DataFrame, source_log: str, expected_random: int) -> DataFrame:
-    """Rename and cast a raw log; bad numbers, non-binary and wrong-policy flags raise when read."""
+    """Rename and cast a raw log; bad numbers, empty keys or labels, non-binary and wrong-policy flags raise when read."""
     require_columns(raw, REQUIRED_COLUMNS, source_log)
     renamed = raw.withColumnsRenamed(RENAMED)
     casts = {c: F.col(c).cast("bigint") for c in LONG_COLUMNS} | {
         c: F.col(c).cast("int") for c in INT_COLUMNS if c in renamed.columns
     }
     typed = renamed.withColumns(casts).withColumn("source_log", F.lit(source_log))
-    return enforce(typed, policy_is_valid(F.lit(expected_random)), f"{source_log} holds rows of another or no policy")
+    filled = enforce(
+        typed, F.forall(F.array(*[F.col(c).isNotNull() for c in FILLED_COLUMNS]), lambda x: x),
+        f"{source_log} holds rows without one of {FILLED_COLUMNS}",
+    )
+    return enforce(filled, policy_is_valid(F.lit(expected_random)), f"{source_log} holds rows of another or no policy")
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A CSV table with headers. A file whose header differs from the table's columns raises instead of being misread."""
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    return (reader if schema is None else reader.schema(schema)).csv(path)
 
 
 def policy_is_valid(expected: Column) -> Column:
@@ -42,13 +54,14 @@ def policy_is_valid(expected: Column) -> Column:
 def load_impressions(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Union of the standard and random CSV logs. ``paths`` maps log name to file, folder or glob.
 
-    CSV columns are read as text by header name and cast with ANSI rules. The scan stays partitioned
+    CSV columns are read as text and cast with ANSI rules. All files of one log must have the same header; another
+    order of columns raises. The scan stays partitioned
     and nothing is sorted: order is a matter of the windows that need one.
     """
     if missing := sorted(set(LOG_POLICY) - set(paths)):
         raise ValueError(f"no path for logs {missing}")
     logs = [
-        canonical_log(spark.read.csv(paths[name], header=True, inferSchema=False), name, flag)
+        canonical_log(_read_csv(spark, paths[name]), name, flag)
         for name, flag in LOG_POLICY.items()
     ]
     result = logs[0]
@@ -64,8 +77,7 @@ def load_side_tables(
     schemas = schemas or {}
     tables = {}
     for name, path in paths.items():
-        reader = spark.read.option("header", True)
-        table = reader.schema(schemas[name]).csv(path) if name in schemas else reader.csv(path)
+        table = _read_csv(spark, path, schemas.get(name))
         tables[name] = table.withColumnRenamed("video_id", "item_id") if "video_id" in table.columns else table
     return tables
 

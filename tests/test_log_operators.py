@@ -148,3 +148,40 @@ def test_sinks_and_result_union(spark, small, tmp_path):
         artifacts.write_metrics(spark.range(2), f"{tmp_path}/metrics_{kind}", kind)
     assert spark.read.json(f"{tmp_path}/metrics_json").count() == 2
     assert artifacts.artifact_manifest(spark, f"{tmp_path}/results").where("length(sha256) = 64").count() >= 2
+
+
+HEADER = "user_id,video_id,date,time_ms,is_click,is_like,is_follow,is_comment,is_forward,is_hate,long_view,play_time_ms,duration_ms,is_rand,tab"
+
+
+def _log_paths(tmp_path, lines, flags=(0, 0, 1)):
+    paths = {}
+    for name, flag in zip(("standard_early", "standard_late", "random"), flags):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.csv").write_text("\n".join([HEADER, f"1,2,20220410,1000,1,0,0,0,0,0,1,10,20,{flag},3"]) + "\n")
+        paths[name] = str(folder)
+    if lines:
+        (tmp_path / "random" / "b.csv").write_text("\n".join(lines) + "\n")
+    return paths
+
+
+def test_loader_refuses_another_column_order(spark, tmp_path):
+    swapped = HEADER.replace("user_id,video_id", "video_id,user_id")
+    paths = _log_paths(tmp_path, [swapped, "7,8,20220410,1000,1,0,0,0,0,0,1,10,20,1,3"])
+    with pytest.raises(Exception):
+        source.load_impressions(spark, paths).collect()
+
+
+@pytest.mark.parametrize("row", ["1,,20220410,1000,1,0,0,0,0,0,1,10,20,1,3", ",2,20220410,1000,1,0,0,0,0,0,1,10,20,1,3", "1,2,20220410,1000,1,0,0,0,0,0,,10,20,1,3"])
+def test_loader_refuses_empty_keys_and_labels(spark, tmp_path, row):
+    assert source.load_impressions(spark, _log_paths(tmp_path, None)).count() == 3
+    (tmp_path / "random" / "b.csv").write_text(f"{HEADER}\n{row}\n")
+    with pytest.raises(Exception, match="without one of"):
+        source.load_impressions(spark, {n: str(tmp_path / n) for n in ("standard_early", "standard_late", "random")}).collect()
+
+
+def test_side_tables_refuse_another_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id,age\n1,2\n")
+    (tmp_path / "b.csv").write_text("age,user_id\n3,4\n")
+    with pytest.raises(Exception):
+        source.load_side_tables(spark, {"users": str(tmp_path)})["users"].collect()

@@ -144,3 +144,20 @@ def test_bind_and_normalize(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     assert spark.range(1).select(bind(F.lit(2), lambda x: x * x)).first()[0] == 4
+
+
+def test_tied_rows_of_a_hot_key_are_one_moment(spark):
+    data = [(1, 5, i % 3) for i in range(60)] + [(1, 6, 1)] * 10 + [(2, t, 1) for t in range(8)]
+    frame = spark.createDataFrame(data, "user_id long, timestamp_ms long, v long")
+    measures = {"seen": F.lit(1), "total": F.col("v")}
+    for inclusive in (False, True):
+        plain = rows(scale.earlier_totals(frame, ["user_id"], "timestamp_ms", measures, inclusive))
+        assert rows(scale.earlier_totals(frame, ["user_id"], "timestamp_ms", measures, inclusive, slice_width=2, min_rows=5)) == plain
+
+
+def test_more_slices_than_any_fixed_number(spark):
+    frame = spark.range(1200).select((F.col("id") * 7 % 1200).alias("x"), F.lit(2).alias("v"))
+    got = scale.running_totals(frame, F.col("x"), {"below": F.col("v")}, min_rows=3)
+    assert got.where("below != 2 * x").count() == 0 and got.count() == 1200
+    points = scale.exact_percentiles(frame, "x", {"p50": 50, "p99": 99}, min_rows=3).first()
+    assert (points.p50, round(points.p99, 6)) == (599.5, 1187.01)
