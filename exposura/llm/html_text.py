@@ -1,7 +1,7 @@
 """Main text of web pages by differencing each page with the page nearest in URL.
 
 A page is parsed into blocks of text. Within its host it is paired with the neighbour in path order that shares the
-longer start of the path; the blocks of the two are aligned by a longest common subsequence, and blocks in common are
+longer start of the path, or with both where they are equally near; the blocks of the two are aligned by a longest common subsequence, and blocks in common are
 what the site repeats on its pages, so they are deleted. Elements whose kind or name says that they are no article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out in any case. Paragraphs and
 headings inside an article element stay although a neighbour has them too: a repeated sentence of the article is
@@ -170,46 +170,52 @@ def _parse(batches):
         )
 
 
-def _nearest(path: str, before, after):
-    """Of two neighbours ``(path, names)``, the one whose path starts longer like ``path``; the one before in a tie."""
-    both = [one for one in (before, after) if one is not None]
-    return max(both, key=lambda one: len(commonprefix([path, one[0]])), default=None)
+def _shared(names, path, before, after) -> list[bool]:
+    """Blocks in common with the nearer of two neighbours ``(path, names)``; with either where both are equally near."""
+    both = [(len(commonprefix([path, one[0]])), one[1]) for one in (before, after) if one is not None]
+    flags = np.zeros(len(names), bool)
+    for alike, other in both:
+        if alike == max(both, key=lambda one: one[0])[0]:
+            flags |= common_blocks(list(names), list(other))
+    return flags.tolist()
 
 
-def _shared(names, path, before, after) -> list[bool]:
-    near = _nearest(path, before, after)
-    return [] if near is None else common_blocks(list(names), list(near[1])).tolist()
+_NEIGHBOUR = pa.struct([("path", pa.string()), ("names", pa.list_(pa.int64()))])
 
 
 def _difference(batches):
-    """Over rows ``(host, path, row, names)`` in order: each row's shared flags, and the ends of the partition as they are."""
+    """Over rows ``(host, path, row, names)`` in order: each row's shared flags, and the ends of the partition as they are.
+
+    An end comes with its neighbour inside the partition, if that is of the same host.
+    """
     part = TaskContext.get().partitionId()
+    kinds = [pa.int64(), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), _NEIGHBOUR]
 
     def out(rows):
-        kinds = [pa.int64(), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["row", "shared", "part", "side", "host", "path", "names"])
+        columns = [pa.array([r[i] if i < len(r) else None for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["row", "shared", "part", "side", "host", "path", "names", "inner"])
 
-    before = here = first = None  # (host, path, row, names)
+    def near(one, here):
+        return None if one is None or one[0] != here[0] else (one[1], one[3])
 
-    def flags(before, here, after):
-        same = [None if one is None or one[0] != here[0] else (one[1], one[3]) for one in (before, after)]
-        return _shared(here[3], here[1], *same)
+    def end(side, here, inner):
+        found = near(inner, here)
+        return (here[2], None, part, side, here[0], here[1], here[3], found and {"path": found[0], "names": found[1]})
 
+    before = here = first = second = None  # (host, path, row, names)
     for batch in batches:
         done = []
         for after in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             if here is None:
                 first = after
             else:
-                done.append((here[2], flags(before, here, after), None, None, None, None, None))
+                second = second or after
+                done.append((here[2], _shared(here[3], here[1], near(before, here), near(after, here))))
             before, here = here, after
         yield out(done)
     if here is not None:
-        last_before = before
         yield out([
-            (here[2], flags(last_before, here, None), None, None, None, None, None),
-            (first[2], None, part, 0, first[0], first[1], first[3]), (here[2], None, part, 1, here[0], here[1], here[3]),
+            (here[2], _shared(here[3], here[1], near(before, here), None)), end(0, first, second), end(1, here, before),
         ])
 
 
@@ -221,33 +227,34 @@ def shared_blocks(parsed: DataFrame) -> DataFrame:
     """
     ordered = parsed.select("host", "path", "row", "names").repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
     found = materialize(ordered.mapInArrow(
-        _difference, "row long, shared array<boolean>, part long, side long, host string, path string, names array<long>"
+        _difference, "row long, shared array<boolean>, part long, side long, host string, path string, names array<long>, "
+        "inner struct<path:string,names:array<long>>",
     ))
     line = Window.orderBy("part", "side")
     across = found.where("part is not null")
     columns = ["host", "path", "names", "row"]
     ends = across.select("*", *[F.lag(c).over(line).alias(f"{c}_0") for c in columns], *[F.lead(c).over(line).alias(f"{c}_1") for c in columns])
 
-    def outward(side):  # the neighbour across the border, of the same host; null on the other side
-        near = (F.col("side") == side) & (F.col("host") == F.col(f"host_{side}")) & (F.col("row") != F.col(f"row_{side}"))
-        return F.first(F.when(near, F.struct(F.col(f"path_{side}").alias("path"), F.col(f"names_{side}").alias("names"))), ignorenulls=True)
+    def neighbour(side):  # across the border for one end, inside the partition for the other
+        across_it = (F.col("side") == side) & (F.col("host") == F.col(f"host_{side}")) & (F.col("row") != F.col(f"row_{side}"))
+        outer = F.when(across_it, F.struct(F.col(f"path_{side}").alias("path"), F.col(f"names_{side}").alias("names")))
+        return F.first(F.coalesce(outer, F.when(F.col("side") != side, F.col("inner"))), ignorenulls=True)
 
     # a page alone in its partition has two entries
-    outside = ends.groupBy("row").agg(outward(0).alias("before"), outward(1).alias("after")).where("before is not null or after is not null")
-    inside = found.where("part is null").select("row", "shared")
-    # pages at a border: compare with the neighbour outside if its path starts longer alike than the one inside
-    borders = inside.join(outside, "row").join(parsed.select("row", "path", "names"), "row")
+    ends = ends.groupBy("row").agg(
+        F.first("path").alias("path"), F.first("names").alias("names"), neighbour(0).alias("before"), neighbour(1).alias("after")
+    )
 
-    def merged(batches):
+    def compared(batches):
         for batch in batches:
             rows = []
-            for row, shared, before, after, path, names in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-                sides = [None if s is None else (s["path"], s["names"]) for s in (before, after)]
-                rows.append(np.logical_or(shared or np.zeros(len(names), bool), _shared(names, path, *sides) or np.zeros(len(names), bool)).tolist())
+            for path, names, *near in zip(*[batch.column(i).to_pylist() for i in range(1, 5)]):
+                rows.append(_shared(names, path, *[None if one is None else (one["path"], one["names"]) for one in near]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.bool_()))], ["row", "shared"])
 
-    changed = borders.select("row", "shared", "before", "after", "path", "names").mapInArrow(merged, "row long, shared array<boolean>")
-    return inside.join(outside.select("row"), "row", "left_anti").unionByName(changed)
+    changed = ends.mapInArrow(compared, "row long, shared array<boolean>")
+    inside = found.where("part is null").select("row", "shared")
+    return inside.join(ends.select("row"), "row", "left_anti").unionByName(changed)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
