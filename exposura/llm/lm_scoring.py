@@ -30,7 +30,7 @@ from exposura.llm.text_kernel import mix, slices, word_names
 from exposura.llm.toxicity import held_out
 from exposura.session import materialize
 
-CODE_BITS = 6
+CODE_BITS = 8
 CONTEXTS = 3
 SLOT_BITS = 20
 FOLDS, FOLD = 7, 2
