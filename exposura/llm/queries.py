@@ -117,4 +117,22 @@ select doc_id, item_id, n_item::bigint as n_item, count(*)::bigint as n_shared,
 from doc_names join item_names using (name) group by doc_id, item_id, n_item having count(*) * 100 >= n_item * 80
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": _CONTAINMENT_SQL}
+_JACCARD_SQL = f"""
+with recursive doc_words as (select doc_id, {_WORDS} as w from documents),
+names as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as names
+  from doc_words
+),
+singles as (select doc_id, len(names) as n, unnest(names) as name from names),
+links as (
+  select a.doc_id as a, b.doc_id as b from singles a join singles b on a.name = b.name and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from reach r join both_ways e on e.a = r.other)
+select n.doc_id, len(n.names)::bigint as n_shingles, min(r.other)::bigint as component_id
+from names n join reach r using (doc_id) group by n.doc_id, len(n.names)
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": _JACCARD_SQL, "op2_decontamination": _CONTAINMENT_SQL}
