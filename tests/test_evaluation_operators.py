@@ -201,7 +201,7 @@ def test_terciles_are_cut_in_each_group_and_empty_cohorts_stay(spark):
     cut = {(r.domain, r.user_id): r.cohort for r in reports.user_cohorts(users, train, by=["domain"]).collect()}
     assert [cut["a", u] for u in range(1, 7)] == [cut["b", u] for u in range(7, 13)]
     lists = users.select("domain", "user_id", F.col("user_id").alias("context_id"), F.lit(1).cast("long").alias("item_id"), F.lit(0).cast("long").alias("timestamp_ms"),
-                         F.lit(1.0).alias("score"), (F.col("user_id") % 6 == 1).cast("int").alias("long_view"))
+                         F.lit(20240123).alias("date"), F.lit(1.0).alias("score"), (F.col("user_id") % 6 == 1).cast("int").alias("long_view"))
     report = reports.user_cohort_report(lists, train, (5,), by=["domain"]).collect()
     assert sorted((r.domain, r.cohort) for r in report) == [(d, c) for d in "ab" for c in ("high", "low", "medium")]
     assert all(r.eligible_groups == (1 if r.cohort == "low" else 0) for r in report)
