@@ -156,7 +156,14 @@ def logistic_reward_model(fit_rows: DataFrame, rows: DataFrame, n_actions: int,
         )
         return F.concat(F.transform("context", lambda x: x.cast("double")), one_hot)
 
-    bounds = fit_rows.agg(F.min("reward").alias("lo"), F.max("reward").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    binary = F.coalesce(F.col("reward").isin(0, 1), F.lit(False))
+    bounds = fit_rows.agg(
+        F.min("reward").alias("lo"), F.max("reward").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(~binary).alias("other")
+    ).first()
+    if not bounds["n"]:
+        raise ValueError("a reward model cannot be fitted on no rounds")
+    if bounds["other"]:
+        raise ValueError(f"a logistic reward model takes rewards of 0 and 1 only; {bounds['other']} rounds have others")
     if bounds["lo"] == bounds["hi"]:
         constant = 1.0 if bounds["hi"] == 1 else 0.0
         return rows.withColumn("prediction", F.array_repeat(F.lit(constant), n_actions))

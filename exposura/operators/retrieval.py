@@ -69,8 +69,8 @@ def topk_within(
 
     item_blocks = blocks(right, "_item_blocks", F.lit(1))
     query_blocks = blocks(left, "_query_blocks", F.lit(spread))
-    # one row per bucket; buckets are hash tables times sign patterns (or one), a number set by parameters
-    shape = F.broadcast(item_blocks.join(query_blocks, keys))
+    # one row per bucket; Spark decides by its size how it is joined
+    shape = item_blocks.join(query_blocks, keys)
 
     def spread_out(table: DataFrame, own: str, own_count: str, other: str, other_count: str, key: str) -> DataFrame:
         return (

@@ -41,12 +41,27 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+_STORED: list[str] = []
+
+
+def release_stored(spark: SparkSession) -> int:
+    """Delete everything ``materialize`` has stored so far, once results that read it are written; returns how many."""
+    count = len(_STORED)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several later steps read the same result: it cuts the plan, survives lost executors,
-    and later steps get a columnar scan with pruned columns and a known size.
+    and later steps get a columnar scan with pruned columns and a known size. What is stored stays until
+    ``release_stored``, because results are lazy and may still be read.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/exposura-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

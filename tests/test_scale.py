@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from exposura import session
 from exposura.functions import scale
 from exposura.functions.columns import bind, l2_normalize, uniform_hash
 from exposura.operators import contexts, history, negatives, reports
@@ -161,3 +162,13 @@ def test_more_slices_than_any_fixed_number(spark):
     assert got.where("below != 2 * x").count() == 0 and got.count() == 1200
     points = scale.exact_percentiles(frame, "x", {"p50": 50, "p99": 99}, min_rows=3).first()
     assert (points.p50, round(points.p99, 6)) == (599.5, 1187.01)
+
+
+def test_stored_intermediates_can_be_released(spark):
+    import os
+
+    session.release_stored(spark)
+    kept = session.materialize(spark.range(5))
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and kept.count() == 5
+    assert session.release_stored(spark) == 1 and not os.path.exists(folder)

@@ -222,3 +222,12 @@ def test_every_category_level_keeps_its_own_weight(spark):
     probe = spark.createDataFrame([(0, 0, 0, 1100), (1, 0, 0, 1101), (2, 0, 0, None), (3, 0, 0, 7), (4, 0, 0, 999_999), (5, 0, 0, 888_888)], schema)
     p = {r.user_id: r.domain_probability for r in model.probabilities(probe).collect()}
     assert p[0] > p[1] + 0.1 and abs(p[2] - p[3]) < 1e-12 and p[4] == p[5]
+
+
+def test_a_reward_model_needs_rounds_with_binary_rewards(spark):
+    schema = "round_id long, action int, reward double, context array<double>"
+    rounds = spark.createDataFrame([(0, 0, 0.5, [1.0]), (1, 1, 1.0, [0.0])], schema)
+    with pytest.raises(ValueError, match="0 and 1 only"):
+        ope.logistic_reward_model(rounds, rounds, 2)
+    with pytest.raises(ValueError, match="no rounds"):
+        ope.logistic_reward_model(rounds.limit(0), rounds, 2)
