@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from exposura.llm.bpe import bpe_decode, bpe_encode, ids_digest
+from exposura.llm.bpe import bpe_encode, ids_digest
 from exposura.llm.decontaminate import decontaminate
 from exposura.llm.ngram_join import ngram_join
 from exposura.llm.queries import vocabulary_path
@@ -51,8 +51,7 @@ def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their number and digest, and whether they decode to its text again."""
     path = vocabulary_path()
-    decoded = bpe_decode(bpe_encode(docs, path), path)
-    return decoded.select(
+    return bpe_encode(docs, path, decoded="decoded").select(
         "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids",
         ids_digest(F.col("ids")).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )

@@ -19,10 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from exposura.llm.text_kernel import released
+
 # The split of a byte-level vocabulary, before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Distinct pieces, and pairs of tokens, a task remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+# Texts that are encoded or decoded at a time.
+_ROWS = 256
 # A longer text is split piece by piece instead of as one list.
 _LONG = 2_000_000
 
@@ -203,32 +207,46 @@ def _offset_table(text: str) -> OffsetTable:
     return OffsetTable(text)
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """A few rows at a time, so that a task holds the tokens of a few texts only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _file(df: DataFrame, path: str):
     """The vocabulary file, read by the driver and sent to the executors; a file of a few megabytes."""
     with open(path, encoding="utf-8") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a column of token ids: those of the vocabulary file at ``path``, none added.
 
+    With ``decoded``, a further column holds what the ids decode to, worked out beside them in the same task.
     A null or empty text gives no ids. The strings of added tokens become their ids where a text holds them.
-    Other columns, rows and repeated rows stay as they are; a column called like ``ids`` is replaced.
+    Other columns, rows and repeated rows stay as they are; columns called like the new ones are replaced.
     """
     file = _file(docs, path)
-    kept = [c for c in docs.columns if c != ids]
+    added = [ids] if decoded is None else [ids, decoded]
+    kept = [c for c in docs.columns if c not in added]
     place = kept.index(text)
 
     def work(batches):
         vocabulary = _vocabulary(file.value)
-        for batch in batches:
+        for batch in _parts(batches):
             lists = [vocabulary.encode(t) for t in batch.column(place).to_pylist()]
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*kept, ids])
+            columns = [*batch.columns, column]
+            if decoded is not None:
+                columns.append(pa.array([_offset_table(file.value).decode(one) for one in lists], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    kinds = (T.ArrayType(T.IntegerType()), T.StringType())
+    new = [T.StructField(name, kind) for name, kind in zip(added, kinds)]
+    return rows.mapInArrow(released(work), T.StructType([*rows.schema.fields, *new]))
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -239,7 +257,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
 
     def work(batches):
         table = _offset_table(file.value)
-        for batch in batches:
+        for batch in _parts(batches):
             column = batch.column(place)
             flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             texts = [
@@ -249,7 +267,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text])
 
     rows = encoded.select(*[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(released(work), T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def ids_digest(ids: Column) -> Column:

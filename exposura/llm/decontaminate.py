@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from exposura.llm.text_kernel import distinct_per_row, mix, row_lists, shingle_names, slices, word_names
+from exposura.llm.text_kernel import distinct_per_row, mix, released, row_lists, shingle_names, slices, word_names
 from exposura.session import materialize
 
 WORDS = 5
@@ -143,7 +143,7 @@ def _contained(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                     )
 
     found = materialize(
-        docs.select("doc_id", "text").mapInArrow(search, "doc_id long, doc_names array<long>, keys array<long>")
+        docs.select("doc_id", "text").mapInArrow(released(search), "doc_id long, doc_names array<long>, keys array<long>")
         .withColumn("row", F.monotonically_increasing_id())
     )
     partitions = [r[0] for r in found.select(F.floor(F.log2(F.size("doc_names") + F.lit(1e-9))).cast("int")).distinct().collect()]

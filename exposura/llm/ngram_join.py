@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from exposura.llm.components import components
-from exposura.llm.text_kernel import distinct_per_row, mix, row_lists, shingle_names, slices, word_names
+from exposura.llm.text_kernel import distinct_per_row, mix, released, row_lists, shingle_names, slices, word_names
 from exposura.session import materialize
 
 WORDS = 4
@@ -81,7 +81,7 @@ def bucket_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([row.tolist()], pa.list_(pa.int64()))], ["chunk", "counts"])
 
     schema = "chunk int, counts array<long>"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    summed = docs.select("text").mapInArrow(released(count), schema).repartition("chunk").mapInArrow(add, schema)
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for row in summed.collect():  # 256 rows of 1,024 counts
         out[row["chunk"] * _CHUNK:(row["chunk"] + 1) * _CHUNK] = row["counts"]
@@ -112,7 +112,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 ], ["doc_id", "n_shingles", "name_a", "name_b", "lead"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        work, "doc_id long, n_shingles long, name_a long, name_b long, lead array<long>"
+        released(work), "doc_id long, n_shingles long, name_a long, name_b long, lead array<long>"
     )
 
 
@@ -317,7 +317,7 @@ def verified_links(docs: DataFrame, grouped: DataFrame, words: int, percent: int
                 ], ["doc", "parts", "names"])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    rows = texts.select("doc_id", "text", "parts").mapInArrow(sets, "doc long, parts array<string>, names array<long>")
+    rows = texts.select("doc_id", "text", "parts").mapInArrow(released(sets), "doc long, parts array<string>, names array<long>")
     rows = rows.select("doc", F.explode("parts").alias("part"), "names")
     return rows.groupBy("part").applyInPandas(_product(percent), "a long, b long")
 

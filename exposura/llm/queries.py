@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposura.llm.ann import nearest
-from exposura.llm.bpe import bpe_decode, bpe_encode, ids_digest
+from exposura.llm.bpe import bpe_encode, ids_digest
 from exposura.llm.decontaminate import contained_items
 from exposura.llm.html_text import extract_text
 from exposura.llm.lm_scoring import score_texts
@@ -75,8 +75,8 @@ def vocabulary_path() -> str:
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary_path()
-    ids = bpe_encode(_table(spark, folder, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    return bpe_decode(ids, path).select(
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return bpe_encode(docs, path, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from exposura.llm.text_kernel import slices, word_spans
+from exposura.llm.text_kernel import released, slices, word_spans
 
 # Kinds of secrets in their order, with the pattern and the rule for the length of each.
 KINDS = ("assign", "access", "hex")
@@ -247,7 +247,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     new = T.StructType.fromDDL(f"base_secrets {_SPANS}, secrets {_SPANS}, n_layers long")
-    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, *new.fields]))
+    return rows.mapInArrow(released(work), T.StructType([*rows.schema.fields, *new.fields]))
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -271,7 +271,7 @@ def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
             columns[place] = pa.compute.coalesce(changed, column)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(released(work), docs.schema)
 
 
 def span_text(spans: str):

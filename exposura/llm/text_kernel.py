@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text that are held as 64-bit arrays at a time; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -32,6 +32,18 @@ NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[np.r_[65:91, 97:123, 128:256]] = False
 
 
+def released(work):
+    """``work`` for ``mapInArrow`` that hands unused Arrow memory back when its partition is done.
+
+    Python workers live on for later stages and would keep it beside them.
+    """
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from exposura.llm.text_kernel import NOT_LETTER, mix, prefix_names, row_lists, slices, span_names, word_spans
+from exposura.llm.text_kernel import NOT_LETTER, mix, prefix_names, released, row_lists, slices, span_names, word_spans
 
 SAMPLE_ROWS = 20_000
 BIN_BITS = 20
@@ -135,7 +135,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
                         batch.column(1).slice(first, last - first), row_lists(bins.astype(np.int32), rows, last - first, pa.int32()),
                     ], ["label", "bins"])
 
-        return marked.select("text", "label").mapInArrow(work, "label double, bins array<int>")
+        return marked.select("text", "label").mapInArrow(released(work), "label double, bins array<int>")
 
     counted = lists(None).select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("label").alias("toxic")
@@ -177,7 +177,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", score:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*kept, score])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    scored = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())]))
+    scored = rows.mapInArrow(released(work), T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())]))
     return scored.withColumn(predicted, F.when(F.col(f"`{score}`") >= 0.5, 1).otherwise(0))
 
 
