@@ -193,7 +193,10 @@ _COMPARED = "anchor long, run long, windows array<struct<a:int,b:int>>, bytes bi
 
 def repeated_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """``row, spans``: for each text with repeated strings, its spans (start, end) to remove, sorted and not touching."""
-    runs = materialize(find_runs(docs, length, anchor))
+    every = materialize(find_runs(docs, length, anchor))
+    # most anchors occur once; their runs need no further look
+    live = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    runs = materialize(every.join(live, "anchor", "left_semi"))
     counted = materialize(runs.groupBy("anchor", "run").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "more")).alias("copy")
     ))
@@ -217,14 +220,11 @@ def repeated_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         ).repartitionByRange("anchor", "part").sortWithinPartitions("anchor", "part", "run").mapInArrow(_compare(length, False), _COMPARED)
         compared = compared.unionByName(again)
     windows = compared.select("anchor", "run", F.explode("windows").alias("w")).select("anchor", "run", "w.a", "w.b")
-    inner = runs.join(windows, ["anchor", "run"]).select(
+    whole = counted.where("times > 1").select("anchor", "run", F.lit(0).alias("a"), F.col("copy.more").alias("b"))
+    found = runs.join(windows.unionByName(whole), ["anchor", "run"]).select(
         "row", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + length).alias("end")
     )
-    whole = runs.join(counted.where("times > 1").select("anchor", "run"), ["anchor", "run"]).select(
-        "row", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end")
-    )
-    spans = whole.unionByName(inner).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return spans
+    return found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def _cut(batches):
