@@ -277,7 +277,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     block = F.transform("texts", lambda t, i: F.struct(
         t.alias("text"), F.get("kinds", i).alias("kind"), F.coalesce(F.get(F.coalesce("shared", none), i), F.lit(False)).alias("shared"),
     ))
-    blocks = parsed.join(shared, "row", "left").select("page_id", "url", block.alias("blocks"))
+    # only where a block's fate hangs on a neighbour do texts meet the flags; all others stay where they are
+    hangs = F.exists("kinds", lambda k: k == LOOSE) | ~F.exists("kinds", lambda k: k == PROSE)
+    settled = parsed.where(~hangs).withColumn("shared", none)
+    open_ones = parsed.where(hangs).join(shared, "row", "left").select(*settled.columns)
+    blocks = settled.unionByName(open_ones).select("page_id", "url", block.alias("blocks"))
     own = F.filter("blocks", lambda b: (b["kind"] == BODY) & ~b["shared"])
     article = F.filter("blocks", lambda b: (b["kind"] == PROSE) | ((b["kind"] == LOOSE) & ~b["shared"]))
     kept = F.when(F.size(article) > 0, article).when(F.size(own) > 0, own).otherwise(
