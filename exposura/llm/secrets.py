@@ -2,14 +2,15 @@
 
 A text is scanned, then unwrapped: percent escapes, Unicode and byte escapes, base64 runs, and compressed data
 inside base64. Every unwrapped layer joins a worklist, is scanned and unwrapped in turn, until no layer gives a
-new one; a layer seen before in the same text is not visited again. Each layer carries a map from its characters
-to those of the text, so a finding is reported at the place of the text it comes from.
+new one; a layer seen before at the same place of the text is not visited again. Each layer carries a map from its
+characters to those of the text, so a finding is reported at the place of the text it comes from.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 
@@ -66,6 +67,11 @@ class _Layer:
     def place(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def key(self) -> tuple[bytes, int, int]:
+        """What the layer is and where it stands; equal blobs at two places are two layers."""
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return digest, *(self.place(0, len(self.text)) if self.text else (0, 0))
+
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The whole layer with every match decoded; None where nothing is decoded."""
@@ -133,8 +139,7 @@ def _opened(data: bytes) -> bytes | None:
     return None
 
 
-def _base64_layers(layer: _Layer) -> list[_Layer]:
-    out = []
+def _base64_layers(layer: _Layer):
     for match in _BASE64.finditer(layer.text):
         run = match.group().rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -149,7 +154,7 @@ def _base64_layers(layer: _Layer) -> list[_Layer]:
             widths = np.array([len(c.encode()) for c in text]) if not text.isascii() else np.ones(len(text), int)
             last = np.cumsum(widths)
             first_letter, last_letter = (last - widths) * 4 // 3, -(-last * 4 // 3)
-            out.append(_Layer(text, layer.starts[a + first_letter], layer.ends[a + last_letter - 1]))
+            yield _Layer(text, layer.starts[a + first_letter], layer.ends[a + last_letter - 1])
             continue
         opened = data
         while (inner := _opened(opened)) is not None and inner != opened:
@@ -157,9 +162,16 @@ def _base64_layers(layer: _Layer) -> list[_Layer]:
             text = _readable(opened)
             if text is not None:
                 first, last = layer.place(a, b)
-                out.append(_Layer(text, np.full(len(text), first), np.full(len(text), last)))
+                yield _Layer(text, np.full(len(text), first), np.full(len(text), last))
                 break
-    return out
+
+
+def _unwrapped(layer: _Layer):
+    """Layers inside a layer, one at a time."""
+    yield from _base64_layers(layer)
+    for sign, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escape)):
+        if sign in layer.text and (inner := _replaced(layer, pattern, decode)) is not None:
+            yield inner
 
 
 def find_secrets(text: str, encoded: bool = True) -> tuple[list[Span], list[Span], int]:
@@ -167,25 +179,22 @@ def find_secrets(text: str, encoded: bool = True) -> tuple[list[Span], list[Span
     base = scan(text)
     if not encoded:
         return base, base, 0
-    found, seen, opened = set(base), {text}, 0
     places = np.arange(len(text) + 1)
-    work = [_Layer(text, places[:-1], places[1:])]
+    whole = _Layer(text, places[:-1], places[1:])
+    found, seen, opened, work = set(base), {whole.key()}, 0, [_unwrapped(whole)]
     while work:
-        layer = work.pop()
-        following = _base64_layers(layer)
-        if "%" in layer.text:
-            following.append(_replaced(layer, _PERCENT, _percent))
-        if "\\" in layer.text:
-            following.append(_replaced(layer, _ESCAPE, _escape))
-        for inner in following:
-            if inner is None or inner.text in seen:
-                continue
-            seen.add(inner.text)
-            opened += 1
-            for start, kind, end in scan(inner.text):
-                first, last = inner.place(start, end)
-                found.add((first, kind, last))
-            work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        if inner.key() in seen:
+            continue
+        seen.add(inner.key())
+        opened += 1
+        for start, kind, end in scan(inner.text):
+            first, last = inner.place(start, end)
+            found.add((first, kind, last))
+        work.append(_unwrapped(inner))
     return base, sorted(found), opened
 
 

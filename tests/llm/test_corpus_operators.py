@@ -223,6 +223,18 @@ def test_secrets_end_and_keep_the_base(spark):
     assert secrets.scan_secrets(table(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_an_encoded_secret_at_two_places(spark, pack):
+    blob = base64.b64encode(pack(SECRET.encode())).decode()
+    text = f"é first {blob} then\n{blob} end"
+    rows = secrets.scan_secrets(table(spark, [(1, text)])).collect()
+    places = [m.start() for m in re.finditer(re.escape(blob), text)]
+    found = [(s.start, s.end) for s in rows[0].secrets if s.kind == "assign"]
+    assert len(places) == 2 and [any(a <= at + 2 and b >= at + len(blob) - 4 for a, b in found) for at in places] == [True, True]
+    masked = secrets.mask_secrets(table(spark, [(1, text)])).collect()[0].text
+    assert masked.count("[SECRET]") == 2 and blob[:24] not in masked
+
+
 # --- pages
 
 
