@@ -11,8 +11,10 @@ share an anchor form a run, and only suffixes at anchors are sorted, under the n
 2. Anchors with several different runs are looked at byte by byte. One copy of each run fetches its bytes. The
    rows are range-partitioned by anchor: Spark samples the splitters; each bucket is sorted by anchor and run.
    Within an anchor, windows are sorted by the names of their halves, the ties of the first key by the second, as
-   in multikey quicksort, and neighbours are compared. An anchor with very many runs is cut into parts; what a
-   part has seen for the first time meets the others in a second round.
+   in multikey quicksort, and neighbours are compared. An anchor with very many runs is cut into parts. Windows that
+   a part has once meet those of other parts by name, as rows of an aggregation: first the bytes that ``NODE``
+   adjoining windows have in common, since windows around bytes that no other part has are in no other part, and then
+   the windows that are left. No task needs an anchor as a whole.
 3. The repeated windows of a run hold at all its places. Spans are joined for each document and cut out.
 """
 
@@ -31,6 +33,8 @@ LENGTH = 400
 ANCHOR = 128
 # Runs of one anchor that are compared in one task at a time.
 PART_RUNS = 4096
+# Adjoining windows that are looked up by their common bytes first.
+NODE = 16
 # Windows compared at a time, which bounds the memory of a bucket.
 _WINDOWS = 1_500_000
 # A text is anchored piece by piece; pieces overlap so that no window is lost.
@@ -103,17 +107,19 @@ def _fetch(length: int):
     def work(batches):
         for batch in batches:
             texts, asked = batch.column(0), batch.column(1)
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for text, wanted in zip(texts, asked):
                 raw = memoryview(text.as_buffer())
                 for one in wanted.as_py():
                     out[0].append(one["anchor"])
                     out[1].append(one["run"])
                     out[2].append(one["part"])
-                    out[3].append(bytes(raw[one["first"]:one["first"] + one["more"] + length]))
+                    out[3].append(one["back"] if one["cut"] else None)
+                    out[4].append(bytes(raw[one["first"]:one["first"] + one["more"] + length]))
             if out[0]:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())], ["anchor", "run", "part", "bytes"]
+                    [pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "run", "part", "back", "bytes"]
                 )
 
     return work
@@ -155,31 +161,62 @@ def _spans_of(flags: np.ndarray, owner: np.ndarray, runs: int) -> list[list[tupl
     return out
 
 
-def _compare(length: int, keep_novel: bool):
-    """Repeated windows of each run of sorted rows ``(anchor, part, run, bytes)``; equal (anchor, part) stand together.
+def _node_width(length: int, anchor: int) -> int:
+    return min(NODE, length - anchor + 1)
 
-    With ``keep_novel``, a run with a window not seen before in its part comes with its bytes, for the next round.
+
+def node_names(texts: list[bytes], backs: list[int], owner: np.ndarray, place: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of some windows (``place`` in run ``owner``): run, node and name of the node's common bytes, each once.
+
+    Equal windows stand at equal distances from their anchors, so they are in the same node.
     """
+    back = np.array(backs, np.int64)
+    nodes = np.unique(np.stack([owner, (place - back[owner]) // width], axis=1), axis=0)
+    runs, node = nodes[:, 0], nodes[:, 1]
+    sizes = np.array([len(t) for t in texts])
+    at = (np.cumsum(sizes) - sizes + back)[runs] + node * width
+    names = span_names(prefix_names(np.frombuffer(b"".join(texts), np.uint8)), at + width - 1, at + length)
+    return runs, node, mix(names + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _compare(length: int, width: int):
+    """Repeated windows of each run of sorted rows ``(anchor, part, run, back, bytes)``; equal (anchor, part) stand together.
+
+    A run that has a ``back``, since its anchor is cut into parts, comes with its bytes, the windows not seen before in
+    its part, and their nodes.
+    """
+    pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    named = pa.list_(pa.struct([("node", pa.int32()), ("core", pa.int64())]))
+
+    def stretches(spans, rows):
+        return pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in rows], pair)
+
     def flush(keys, texts):
-        again, novel, owner = repeated_windows([t for t in texts], length)
+        again, novel, owner = repeated_windows(texts, length)
         spans = _spans_of(again, owner, len(texts))
-        fresh = np.bincount(owner[novel], minlength=len(texts)) > 0
-        rows = [i for i in range(len(texts)) if spans[i] or (keep_novel and fresh[i])]
+        novel &= np.array([key[3] is not None for key in keys])[owner]
+        fresh, nodes = _spans_of(novel, owner, len(texts)), [[] for _ in texts]
+        if novel.any():
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            found = node_names(texts, [key[3] or 0 for key in keys], owner[novel], place[novel], length, width)
+            for i, node, core in zip(found[0].tolist(), found[1].tolist(), found[2].view(np.int64).tolist()):
+                nodes[i].append({"node": node, "core": core})
+        rows = [i for i in range(len(texts)) if spans[i] or fresh[i]]
         return pa.RecordBatch.from_arrays([
-            pa.array([keys[i][0] for i in rows], pa.int64()), pa.array([keys[i][2] for i in rows], pa.int64()),
-            pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-            pa.array([texts[i] if keep_novel and fresh[i] else None for i in rows], pa.binary()),
-        ], ["anchor", "run", "windows", "bytes"])
+            *[pa.array([keys[i][k] for i in rows], pa.int64()) for k in range(3)], pa.array([keys[i][3] for i in rows], pa.int32()),
+            stretches(spans, rows), stretches(fresh, rows), pa.array([nodes[i] for i in rows], named),
+            pa.array([texts[i] if fresh[i] else None for i in rows], pa.binary()),
+        ], ["anchor", "part", "run", "back", "windows", "fresh", "nodes", "bytes"])
 
     def work(batches):
         keys, texts, windows = [], [], 0
         for batch in batches:
-            for anchor, part, run, text in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                # anchors may share a comparison, as equal windows have equal anchors; one anchor stays whole
+            for anchor, part, run, back, text in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                # anchors may share a comparison, as equal windows have equal anchors; one part of an anchor stays whole
                 if windows > _WINDOWS and keys and (anchor, part) != keys[-1][:2]:
                     yield flush(keys, texts)
                     keys, texts, windows = [], [], 0
-                keys.append((anchor, part, run))
+                keys.append((anchor, part, run, back))
                 texts.append(text)
                 windows += len(text) - length + 1
         if keys:
@@ -188,7 +225,47 @@ def _compare(length: int, keep_novel: bool):
     return work
 
 
-_COMPARED = "anchor long, run long, windows array<struct<a:int,b:int>>, bytes binary"
+_PAIRS = "array<struct<a:int,b:int>>"
+_COMPARED = f"anchor long, part long, run long, back int, windows {_PAIRS}, fresh {_PAIRS}, nodes array<struct<node:int,core:long>>, bytes binary"
+
+
+def _named_windows(length: int, width: int):
+    """Over ``(anchor, run, back, fresh, bytes, open)``: a row for each fresh window of an open node, named by its halves."""
+    half = length // 2
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                anchors, runs, places, leading, second = [], [], [], [], []
+                for anchor, run, back, fresh, raw, nodes in zip(*[c.to_pylist() for c in batch.slice(at, 1024).columns]):
+                    place = np.concatenate([np.arange(one["a"], one["b"] + 1) for one in fresh])
+                    place = place[np.isin((place - back) // width, nodes)]
+                    prefix = prefix_names(np.frombuffer(raw, np.uint8))
+                    anchors.append(np.full(len(place), anchor, np.int64))
+                    runs.append(np.full(len(place), run, np.int64))
+                    places.append(place.astype(np.int32))
+                    leading.append(span_names(prefix, place, place + half).view(np.int64))
+                    second.append(span_names(prefix, place + half, place + length).view(np.int64))
+                columns = [pa.array(np.concatenate(c)) for c in (anchors, runs, places, leading, second)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "run", "a", "leading", "second"])
+
+    return work
+
+
+def _across_parts(compared: DataFrame, length: int, width: int) -> DataFrame:
+    """``anchor, run, a, b``: windows that are new to their part and occur in another part of the anchor too."""
+    cut = compared.where("bytes is not null")
+    nodes = cut.select("anchor", "part", "run", F.explode("nodes").alias("n")).select("anchor", "part", "run", "n.node", "n.core")
+    met = nodes.groupBy("anchor", "core").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("anchor", "core")
+    open_ones = nodes.join(materialize(met), ["anchor", "core"]).groupBy("anchor", "run").agg(F.collect_list("node").alias("open"))
+    rows = cut.select("anchor", "run", "back", "fresh", "bytes").join(open_ones, ["anchor", "run"])
+    named = materialize(rows.select("anchor", "run", "back", "fresh", "bytes", "open").mapInArrow(
+        _named_windows(length, width), "anchor long, run long, a int, leading long, second long"
+    ))
+    # a part gives each of its windows once, so a count is one of parts
+    name = ["anchor", "leading", "second"]
+    again = named.groupBy(*name).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*name)
+    return named.join(again, name).select("anchor", "run", "a", F.col("a").alias("b"))
 
 
 def repeated_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -198,28 +275,29 @@ def repeated_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     live = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
     runs = materialize(every.join(live, "anchor", "left_semi"))
     counted = materialize(runs.groupBy("anchor", "run").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "more")).alias("copy")
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "more", "back")).alias("copy")
     ))
     several = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
     several = several.withColumn("parts", F.ceil(F.col("runs") / PART_RUNS))
     asked = counted.join(several, "anchor").select(
         "copy.row", F.struct(
-            "anchor", "run", F.pmod(F.xxhash64("run"), F.col("parts")).alias("part"), "copy.first", "copy.more", (F.col("parts") > 1).alias("cut"),
+            "anchor", "run", F.pmod(F.xxhash64("run"), F.col("parts")).alias("part"), "copy.first", "copy.more", "copy.back", (F.col("parts") > 1).alias("cut"),
         ).alias("one"),
     ).groupBy("row").agg(F.collect_list("one").alias("asked"))
     # the same columns as in the last join, so that texts are shuffled once for both
     texts = docs.select("row", "doc_id", "text").join(asked, "row")
-    fetched = texts.select("text", "asked", "row", "doc_id").mapInArrow(_fetch(length), "anchor long, run long, part long, bytes binary")
-    bucketed = fetched.select("anchor", "part", "run", "bytes").repartitionByRange("anchor", "part").sortWithinPartitions("anchor", "part", "run")
+    fetched = texts.select("text", "asked", "row", "doc_id").mapInArrow(
+        _fetch(length), "anchor long, run long, part long, back int, bytes binary"
+    )
+    bucketed = fetched.select("anchor", "part", "run", "back", "bytes").repartitionByRange("anchor", "part").sortWithinPartitions("anchor", "part", "run")
     largest = several.agg(F.max("parts")).first()[0] or 1
-    compared = bucketed.mapInArrow(_compare(length, largest > 1), _COMPARED)
+    width = _node_width(length, anchor)
+    compared = bucketed.mapInArrow(_compare(length, width), _COMPARED)
     if largest > 1:
         compared = materialize(compared)
-        again = compared.where("bytes is not null").join(several.where("parts > 1"), "anchor").select(
-            "anchor", F.lit(0).cast("long").alias("part"), "run", "bytes"
-        ).repartitionByRange("anchor", "part").sortWithinPartitions("anchor", "part", "run").mapInArrow(_compare(length, False), _COMPARED)
-        compared = compared.unionByName(again)
     windows = compared.select("anchor", "run", F.explode("windows").alias("w")).select("anchor", "run", "w.a", "w.b")
+    if largest > 1:
+        windows = windows.unionByName(_across_parts(compared, length, width))
     whole = counted.where("times > 1").select("anchor", "run", F.lit(0).alias("a"), F.col("copy.more").alias("b"))
     found = runs.join(windows.unionByName(whole), ["anchor", "run"]).select(
         "row", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + length).alias("end")

@@ -415,6 +415,42 @@ def test_repeated_strings(spark, tmp_path, monkeypatch, parts, windows, piece):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(((d, *e) for (d, _), e in zip(rows, expected)), key=str)
 
 
+def test_no_task_compares_an_anchor_with_many_runs_as_a_whole(spark, tmp_path, monkeypatch):
+    """A passage in all documents, each with its own words around it; some share a few of these with one other."""
+    monkeypatch.setattr(substrings, "PART_RUNS", 8)
+    plain = substrings._compare
+
+    def bounded(*settings):
+        work = plain(*settings)
+
+        def checked(batches):
+            batches, runs = list(batches), {}
+            for batch in batches:
+                for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    runs[key] = runs.get(key, 0) + 1
+            if max(runs.values(), default=0) > 40:
+                raise ValueError(f"{max(runs.values())} runs of an anchor in one comparison")
+            yield from work(batches)
+
+        return checked
+
+    monkeypatch.setattr(substrings, "_compare", bounded)
+    rng = random.Random(14)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    passage, rows = noise(90), []
+    for i in range(0, 300, 2):
+        left, right = noise(rng.randint(0, 30)), noise(rng.randint(0, 30))
+        rows += [(i + k, noise(60) + left + passage + right + noise(60)) for k in range(2)]
+    path = str(tmp_path / "docs")
+    table(spark, rows).repartition(3).write.parquet(path)
+    out = substrings.remove_repeats(spark.read.parquet(path), 40, 12).drop("kept")
+    expected = repeats([t.encode() for _, t in rows], 40)
+    assert sorted(map(tuple, out.collect())) == sorted((d, *e) for (d, _), e in zip(rows, expected))
+
+
 # --- language model
 
 
