@@ -3,10 +3,11 @@
 A page is parsed into blocks of text. Within its host it is paired with the neighbour in path order that shares the
 longer start of the path, or with both where they are equally near; the blocks of the two are aligned by a longest common subsequence, and blocks in common are
 what the site repeats on its pages, so they are deleted. Elements whose kind or name says that they are no article
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out in any case. Paragraphs and
-headings inside an article element stay although a neighbour has them too: a repeated sentence of the article is
-part of it. A page without an article element whose blocks are all shared, a copy under another URL, keeps its
-paragraphs.
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out in any case. An article element
+is evidence only for keeping what is repeated: its paragraphs and headings stay although a neighbour has them too, unless
+the neighbour has all of it and the page has more text of its own elsewhere (a card or teaser). All other text, that of
+a main element included, stays where no neighbour has it. A page whose blocks are all shared, a copy under another URL,
+keeps the paragraphs of its articles, else those of its main element, else what is visible.
 """
 
 from __future__ import annotations
@@ -49,7 +50,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 
-OTHER, BODY, PROSE, LOOSE = 0, 1, 2, 3  # left out by kind; visible; a paragraph of an article; other text of an article
+# Left out by kind; visible; a paragraph of an article; other text of an article; a paragraph of a main element.
+OTHER, BODY, PROSE, LOOSE, MAIN = range(5)
+KINDS = 8  # a block's mark is its kind and this times the number of its article on the page, from one
 
 
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -71,18 +74,23 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def page_blocks(page: str) -> list[tuple[str, int]]:
-    """The text blocks of a page in order, each with what it is."""
+    """The text blocks of a page in order, each with its mark."""
     blocks: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, inside an article, prose
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, left out, inside article or main, prose, number of the article
     parts: list[str] = []
-    at = 0
+    at = articles = 0
 
     def close():
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, out, article, prose = stack[-1] if stack else ("", False, False, False)
-            blocks.append((text, OTHER if out else (PROSE if prose else LOOSE) if article else BODY))
+            _, out, inside, prose, article = stack[-1] if stack else ("", False, False, False, 0)
+            if out:
+                blocks.append((text, OTHER))
+            elif article:
+                blocks.append((text, (PROSE if prose else LOOSE) + KINDS * article))
+            else:
+                blocks.append((text, MAIN if inside and prose else BODY))
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
@@ -114,11 +122,14 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] in _BLOCKS:
                     break
-        _, out, article, prose = stack[-1] if stack else ("", False, False, False)
-        leaves = _left_out(tag, token[4], article)
+        _, out, inside, prose, article = stack[-1] if stack else ("", False, False, False, 0)
+        leaves = _left_out(tag, token[4], inside)
         if leaves and not out:
             close()
-        stack.append((tag, out or leaves, article or tag in ("article", "main"), prose or tag in _PROSE))
+        if tag == "article" and not article:
+            articles += 1
+            article = articles
+        stack.append((tag, out or leaves, inside or tag in ("article", "main"), prose or tag in _PROSE, article))
     parts.append(page[at:])
     close()
     return blocks
@@ -275,17 +286,29 @@ def extract_text(pages: DataFrame) -> DataFrame:
     shared = shared_blocks(parsed.select("row", "host", "path", "names"))
     none = F.array().cast("array<boolean>")
     block = F.transform("texts", lambda t, i: F.struct(
-        t.alias("text"), F.get("kinds", i).alias("kind"), F.coalesce(F.get(F.coalesce("shared", none), i), F.lit(False)).alias("shared"),
+        t.alias("text"), (F.get("kinds", i) % KINDS).alias("kind"), F.floor(F.get("kinds", i) / KINDS).alias("article"),
+        F.coalesce(F.get(F.coalesce("shared", none), i), F.lit(False)).alias("shared"),
     ))
-    # only where a block's fate hangs on a neighbour do texts meet the flags; all others stay where they are
-    hangs = F.exists("kinds", lambda k: k == LOOSE) | ~F.exists("kinds", lambda k: k == PROSE)
+    # only where a block's fate hangs on a neighbour do texts meet the flags; paragraphs of one article and nothing else stay
+    hangs = F.exists("kinds", lambda k: (k != OTHER) & (k != PROSE + KINDS))
     settled = parsed.where(~hangs).withColumn("shared", none)
     open_ones = parsed.where(hangs).join(shared, "row", "left").select(*settled.columns)
-    blocks = settled.unionByName(open_ones).select("page_id", "url", block.alias("blocks"))
-    own = F.filter("blocks", lambda b: (b["kind"] == BODY) & ~b["shared"])
-    article = F.filter("blocks", lambda b: (b["kind"] == PROSE) | ((b["kind"] == LOOSE) & ~b["shared"]))
-    kept = F.when(F.size(article) > 0, article).when(F.size(own) > 0, own).otherwise(
-        F.filter("blocks", lambda b: b["kind"] == BODY)
-    )
+    blocks = settled.unionByName(open_ones).select("page_id", "url", F.filter(block, lambda b: b["kind"] != OTHER).alias("blocks"))
+
+    def size(some):
+        return F.aggregate(some, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+
+    def of_kind(kind):
+        return F.filter("blocks", lambda b: b["kind"] == kind)
+
+    blocks = blocks.withColumn("own", F.filter("blocks", lambda b: ~b["shared"])).withColumn("own_size", size("own"))
+    numbers = F.filter(F.array_distinct(F.transform("blocks", lambda b: b["article"])), lambda a: a > 0)
+    blocks = blocks.withColumn("articles", F.filter(numbers, lambda a: (
+        F.exists("own", lambda b: b["article"] == a) | (size(F.filter("blocks", lambda b: b["article"] == a)) >= F.col("own_size"))
+    )))
+    mine = F.filter("blocks", lambda b: ~b["shared"] | ((b["kind"] == PROSE) & F.array_contains("articles", b["article"])))
+    kept = F.when(F.size(mine) > 0, mine).when(F.size(of_kind(PROSE)) > 0, of_kind(PROSE)).when(
+        F.size(of_kind(MAIN)) > 0, of_kind(MAIN)
+    ).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return blocks.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

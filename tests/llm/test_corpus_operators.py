@@ -275,6 +275,26 @@ def test_html_text(spark, tmp_path):
     assert sorted(out, key=str) == sorted([(i, u, texts[i], len(texts[i])) for i, u, _ in rows], key=str)
 
 
+def test_differencing_judges_text_beside_articles(spark, tmp_path):
+    card = "<article><h3>Card</h3><p>teaser</p></article>"
+    rows = [
+        (1, "http://a.com/x/1", page(f"{card}<div>Long own words of the first page</div><div>Site name</div>")),
+        (2, "http://a.com/x/2", page(f"{card}<div>Long own words of the second page</div><div>Site name</div>")),
+        (3, "http://b.com/x/1", page("<main><p>All prices without tax</p><p>own one</p></main>")),
+        (4, "http://b.com/x/2", page("<main><p>All prices without tax</p><p>own two</p></main>")),
+        (5, "http://c.com/x/1", page("<article><p>A repeated sentence</p><p>own one</p></article><div>Site name</div>")),
+        (6, "http://c.com/x/2", page("<article><p>A repeated sentence</p><p>own two</p></article><div>Site name</div>")),
+        (7, "http://d.com/x/1", page("<div>1 May</div><article><p>A copy of one article</p></article>")),
+        (8, "http://d.com/x/2", page("<div>2 May</div><article><p>A copy of one article</p></article>")),
+    ]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    assert {r.page_id: r.text for r in html_text.extract_text(spark.read.parquet(path)).collect()} == {
+        1: "Long own words of the first page", 2: "Long own words of the second page", 3: "own one", 4: "own two",
+        5: "A repeated sentence\nown one", 6: "A repeated sentence\nown two", 7: "1 May\nA copy of one article", 8: "2 May\nA copy of one article",
+    }
+
+
 # --- URLs
 
 
