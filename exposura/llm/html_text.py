@@ -44,6 +44,10 @@ _NAMES = re.compile(
     r"pagination|pager|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# Headings and sections are named after what they are about, so there, and in all of an article, only these whole words count.
+_CLEAR_NAMES = frozenset(
+    "ad ads adbox advert advertisement sponsored comments commentlist disqus share sharing social newsletter breadcrumbs pagination".split()
+)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
@@ -62,8 +66,12 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and _NAMES.search(value):
-            return True
+        if name in ("class", "id"):
+            if in_article or tag == "section" or tag in _PROSE:
+                if (name == "class" or tag not in _PROSE) and not _CLEAR_NAMES.isdisjoint(value.lower().split()):
+                    return True
+            elif _NAMES.search(value):
+                return True
         if name == "role" and value.lower() in _ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):

@@ -295,6 +295,14 @@ def test_differencing_judges_text_beside_articles(spark, tmp_path):
     }
 
 
+def test_names_of_headings_and_sections_are_no_reason_to_leave_them_out():
+    inner = ("<h2 id='search-algorithms'>a</h2><section id='related-work'><p>b</p></section><h2 id='header-files'>c</h2><div class='post-header'>d</div>"
+             "<p class='alert'>e</p><h3 id='comments'>f</h3><div class='post ad'>g</div><section id='comments'><p>h</p></section>")
+    for outer, texts in (("article", "abcdef"), ("main", "abcdef"), ("div", "abcef")):
+        blocks = html_text.page_blocks(f"<{outer}>{inner}</{outer}><div id='related-links'>x</div>")
+        assert "".join(t for t, kind in blocks if kind != html_text.OTHER) == texts
+
+
 # --- URLs
 
 
