@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
-A text is scanned, then unwrapped: percent escapes, Unicode and byte escapes, base64 runs, and compressed data
-inside base64. Every unwrapped layer joins a worklist, is scanned and unwrapped in turn, until no layer gives a
+A text is scanned, then unwrapped: percent escapes, Unicode and byte escapes, base64 runs at all alignments and over
+line ends, and compressed data inside base64 or escapes. Of decoded bytes every stretch of text is a layer. Every unwrapped layer joins a worklist, is scanned and unwrapped in turn, until no layer gives a
 new one; a layer seen before at the same place of the text is not visited again. Each layer carries a map from its
 characters to those of the text, so a finding is reported at the place of the text it comes from.
 """
@@ -9,7 +9,6 @@ characters to those of the text, so a finding is reported at the place of the te
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -34,7 +33,20 @@ _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64_LEAST = 16
-_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{_BASE64_LEAST},}}={{0,2}}")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{_BASE64_LEAST},}}(?:\r?\n[A-Za-z0-9+/_-]+)*={{0,2}}")  # lines of a wrapped run together
+_MULTIBYTE = (
+    rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|"
+    rb"\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+)
+_UTF8 = re.compile(rb"(?:[\x00-\x7f]|" + _MULTIBYTE + rb")+")
+# Stretches of text in decoded bytes; no secret and no layer is shorter.
+_STRETCH = re.compile(rb"(?:[\t\n\r\x1b\x20-\x7e]|" + _MULTIBYTE + rb"){16,}")
+_HEADER = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])")
+# Escaped bytes may stand between bytes written as they are.
+_PERCENT_BYTES = re.compile(r"[!-~]+")
+_ESCAPED_BYTES = re.compile(r"[ -~]+")
+_UNITS = {"%": re.compile(r"%([0-9A-Fa-f]{2})|[!-~]"), "\\x": re.compile(r"\\x([0-9A-Fa-f]{2})|\\[nrt\\'\"]|[ -~]")}
+_SIMPLE = {"\\n": "\n", "\\r": "\r", "\\t": "\t"}
 # A compressed layer that opens to more than this is refused with an error rather than cut.
 LARGEST_LAYER = 1 << 28
 
@@ -77,18 +89,18 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The whole layer with every match decoded; None where nothing is decoded."""
     parts, starts, ends, at, changed = [], [], [], 0, False
     for match in pattern.finditer(layer.text):
-        text = decode(match.group())
-        if text is None:
+        pieces = decode(match.group())
+        if pieces is None:
             continue
         changed = True
         a, b = match.span()
-        parts += [layer.text[at:a], text]
-        first, last = layer.place(a, b)
-        starts += [layer.starts[at:a], np.full(len(text), first)]
-        ends += [layer.ends[at:a], np.full(len(text), last)]
-        if len(text) * 3 == b - a and layer.text[a] == "%":  # one character for each escape
-            own = layer.starts[a:b].reshape(-1, 3).min(axis=1), layer.ends[a:b].reshape(-1, 3).max(axis=1)
-            starts[-1], ends[-1] = own
+        parts.append(layer.text[at:a])
+        starts.append(layer.starts[at:a])
+        ends.append(layer.ends[at:a])
+        for text, first, last in pieces:  # places of each character in the run
+            parts.append(text)
+            starts.append(layer.starts[a + first])
+            ends.append(layer.ends[a + last - 1])
         at = b
     if not changed:
         return None
@@ -96,79 +108,122 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(parts), np.concatenate([*starts, layer.starts[at:]]), np.concatenate([*ends, layer.ends[at:]]))
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _widths(text: str) -> np.ndarray:
+    return np.ones(len(text), int) if text.isascii() else np.array([len(c.encode()) for c in text])
 
 
-def _escape(run: str) -> str | None:
-    try:
-        if run.startswith("\\x"):
-            return bytes.fromhex(run.replace("\\x", "")).decode("utf-8")
-        if run.startswith("\\u{"):
-            return chr(int(run[3:-1], 16))
-        if run.startswith("\\U"):
-            return chr(int(run[2:], 16))
-        units = bytes.fromhex(run.replace("\\u", ""))
-        return units.decode("utf-16-be")
-    except (UnicodeDecodeError, ValueError, OverflowError):
-        return None
+def _escaped_bytes(run: str, data: bytes, unit: int):
+    """Pieces ``(text, first and last-plus-one place of each character)``; bytes that are no text stay as they are."""
+    pieces, at = [], 0
+    for match in _UTF8.finditer(data):
+        text = match.group().decode()
+        kept = np.arange(at * unit, match.start() * unit)
+        last = match.start() + np.cumsum(_widths(text))
+        pieces += [(run[at * unit:match.start() * unit], kept, kept + 1), (text, (last - _widths(text)) * unit, last * unit)]
+        at = match.end()
+    kept = np.arange(at * unit, len(run))
+    return [*pieces, (run[at * unit:], kept, kept + 1)] if pieces else None
+
 
+def _percent(run: str):
+    return _escaped_bytes(run, bytes.fromhex(run.replace("%", "")), 3)
 
-def _readable(data: bytes) -> str | None:
+
+def _escape(run: str):
+    if run.startswith("\\x"):
+        return _escaped_bytes(run, bytes.fromhex(run.replace("\\x", "")), 4)
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+        if run.startswith("\\u{"):
+            text = chr(int(run[3:-1], 16))
+        elif run.startswith("\\U"):
+            text = chr(int(run[2:], 16))
+        else:
+            text = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+    except (ValueError, OverflowError):
         return None
-    return text if text and text.translate({9: None, 10: None, 13: None, 27: None}).isprintable() else None
+    return [(text, np.zeros(len(text), int), np.full(len(text), len(run)))]
 
 
-def _opened(data: bytes) -> bytes | None:
-    """The content of gzip or zlib data; None where it is neither."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
+def _opened(data: bytes) -> tuple[bytes, int] | None:
+    """The content of gzip (all members) or zlib data at the start, and its size as it is; None where it is neither."""
+    out, size = [], len(data)
+    while data[:2] == b"\x1f\x8b" or (not out and len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
         opener = zlib.decompressobj(wbits=47)
         try:
-            out = opener.decompress(data, LARGEST_LAYER)
+            part = opener.decompress(data, LARGEST_LAYER)
         except zlib.error:
-            return None
-        if opener.unconsumed_tail:
+            break
+        if opener.unconsumed_tail or sum(map(len, out)) + len(part) > LARGEST_LAYER:
             raise ValueError(f"a compressed layer opens to more than {LARGEST_LAYER} bytes")
-        return out if opener.eof else None
-    return None
+        if not opener.eof:
+            break
+        out.append(part)
+        data = opener.unused_data
+    return (b"".join(out), size - len(data)) if out else None
+
+
+def _contents(data: bytes):
+    """What compressed data that starts anywhere in ``data`` opens to, through all its layers, with its place in ``data``."""
+    work, seen = [(data, None)], set()
+    while work:
+        data, place = work.pop()
+        for match in _HEADER.finditer(data):
+            inner, size = _opened(data[match.start():]) or (b"", 0)
+            own = place or (match.start(), match.start() + size)
+            key = hashlib.blake2b(inner, digest_size=16).digest(), own
+            if inner and key not in seen:
+                seen.add(key)
+                work.append((inner, own))
+                yield inner, own
+
+
+def _content_layers(layer: _Layer, data: bytes, starts: np.ndarray, ends: np.ndarray):
+    """Layers of the compressed data in ``data``, whose bytes stand from ``starts`` to ``ends`` of the layer."""
+    for content, (a, b) in _contents(data):
+        first, last = layer.place(starts[a], ends[b - 1])
+        for match in _STRETCH.finditer(content):
+            text = match.group().decode()
+            yield _Layer(text, np.full(len(text), first), np.full(len(text), last))
 
 
 def _base64_layers(layer: _Layer):
     for match in _BASE64.finditer(layer.text):
-        run = match.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
         a, b = match.span()
-        text = _readable(data)
-        if text is not None:
-            widths = np.array([len(c.encode()) for c in text]) if not text.isascii() else np.ones(len(text), int)
-            last = np.cumsum(widths)
-            first_letter, last_letter = (last - widths) * 4 // 3, -(-last * 4 // 3)
-            yield _Layer(text, layer.starts[a + first_letter], layer.ends[a + last_letter - 1])
-            continue
-        opened = data
-        while (inner := _opened(opened)) is not None and inner != opened:
-            opened = inner
-            text = _readable(opened)
-            if text is not None:
-                first, last = layer.place(a, b)
-                yield _Layer(text, np.full(len(text), first), np.full(len(text), last))
-                break
+        letters = np.array([i for i in range(a, b) if layer.text[i] not in "\r\n="])
+        run = re.sub(r"[\r\n=]", "", match.group()).replace("-", "+").replace("_", "/")
+        for shift in range(4):  # a blob may stand behind other letters of the run
+            own = run[shift:len(run) - ((len(run) - shift) % 4 == 1)]
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+            for stretch in _STRETCH.finditer(data):
+                text = stretch.group().decode()
+                last = stretch.start() + np.cumsum(_widths(text))
+                first_letter, last_letter = (last - _widths(text)) * 4 // 3, -(-last * 4 // 3)
+                yield _Layer(text, layer.starts[letters[shift + first_letter]], layer.ends[letters[shift + last_letter - 1]])
+            at = np.arange(len(data))
+            yield from _content_layers(layer, data, letters[shift + at * 4 // 3], letters[shift + -(-(at + 1) * 4 // 3) - 1] + 1)
+
+
+def _escaped_contents(layer: _Layer):
+    for sign, runs in (("%", _PERCENT_BYTES), ("\\x", _ESCAPED_BYTES)):
+        for match in runs.finditer(layer.text) if sign in layer.text else ():
+            if sign not in match.group():
+                continue
+            units = [(m.end(), _byte(m)) for m in _UNITS[sign].finditer(match.group())]
+            ends = match.start() + np.array([end for end, _ in units])
+            data = b"".join(byte for _, byte in units)
+            yield from _content_layers(layer, data, np.r_[match.start(), ends[:-1]], ends)
+
+
+def _byte(unit: re.Match) -> bytes:
+    if unit[1]:
+        return bytes.fromhex(unit[1])
+    return _SIMPLE.get(unit[0], unit[0][-1:]).encode()
 
 
 def _unwrapped(layer: _Layer):
     """Layers inside a layer, one at a time."""
     yield from _base64_layers(layer)
+    yield from _escaped_contents(layer)
     for sign, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escape)):
         if sign in layer.text and (inner := _replaced(layer, pattern, decode)) is not None:
             yield inner

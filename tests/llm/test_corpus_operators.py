@@ -235,6 +235,24 @@ def test_an_encoded_secret_at_two_places(spark, pack):
     assert masked.count("[SECRET]") == 2 and blob[:24] not in masked
 
 
+BLOB = base64.b64encode(SECRET.encode()).decode()
+PACKED = gzip.compress(random.Random(3).randbytes(90).hex(" ").encode() + SECRET.encode())
+
+
+@pytest.mark.parametrize("coded", [
+    "https://h/p/" + BLOB, "/" + BLOB, "id-" + BLOB, "ab" + BLOB, base64.encodebytes(b"words " * 8 + SECRET.encode() + b" words" * 20).decode(),
+    base64.encodebytes(PACKED).decode(), "x/" + base64.b64encode(PACKED).decode(), *[base64.b64encode(f"{c} {SECRET}".encode()).decode() for c in "\u00a0\u3000\ufeff\0"],
+    base64.b64encode(b"\xff" + SECRET.encode()).decode(), "%ff" + "".join(f"%{b:02x}" for b in SECRET.encode()), "".join(f"\\x{b:02x}" for b in b"\xff" + SECRET.encode()),
+    "".join(f"%{b:02x}" for b in PACKED), urllib.parse.quote(PACKED), "".join(f"\\x{b:02x}" for b in PACKED), repr(PACKED),
+    base64.b64encode(gzip.compress(b"one member") + PACKED).decode(),
+])
+def test_secrets_in_layers_that_do_not_stand_alone(coded):
+    text = "start " + coded + " end"
+    base, found, _ = secrets.find_secrets(text)
+    assert not [s for s in base if s[1] == 0] and any(k == 0 and 6 <= a < b <= len(text) - 4 for a, k, b in found)
+    assert all(6 <= a < b <= len(text) - 4 for a, _, b in found)
+
+
 # --- pages
 
 
