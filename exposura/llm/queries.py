@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposura.llm.ann import nearest
 from exposura.llm.bpe import bpe_encode, ids_digest
+from exposura.llm.dataset_queries import ORACLES as DATASET_ORACLES, QUERIES as DATASET_QUERIES
 from exposura.llm.decontaminate import contained_items
 from exposura.llm.html_text import extract_text
 from exposura.llm.lm_scoring import score_texts
@@ -93,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
+    **DATASET_QUERIES,
 }
 
 # Words of a text, A-Z lower-cased, in DuckDB.
@@ -135,4 +137,4 @@ select n.doc_id, len(n.names)::bigint as n_shingles, min(r.other)::bigint as com
 from names n join reach r using (doc_id) group by n.doc_id, len(n.names)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_join": _JACCARD_SQL, "op2_decontamination": _CONTAINMENT_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": _JACCARD_SQL, "op2_decontamination": _CONTAINMENT_SQL, **DATASET_ORACLES}
