@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from exposura.llm.manifest import FANOUT, FIELDS, manifest
 from exposura.llm.sharding import shard_documents
 
 SHARDS = 16
@@ -13,6 +14,11 @@ def op11_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{folder}/documents.parquet"), [1.0] * SHARDS)
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    return manifest(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 def _crc_steps() -> list[int]:
     """CRC-32 of the sixteen half bytes."""
     steps = []
@@ -55,5 +61,70 @@ select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
 from sharded
 """
 
-QUERIES = {"op11_rendezvous_shards": op11_rendezvous_shards}
-ORACLES = {"op11_rendezvous_shards": _SHARDS_SQL}
+# Levels of each tree that the SQL spells out: enough for 16**5 rows of a source and as many sources.
+_LEVELS = 5
+
+
+def _row_digest_sql(columns: dict[str, str]) -> str:
+    parts = [f"coalesce(strlen(({c})::varchar)::varchar || ':' || ({c})::varchar, '-')" for c in columns.values()]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str) -> str:
+    """Levels of the trees of ``{name}0(tree, pos, n, digest)``, and the siblings of every node."""
+    steps = []
+    for k in range(_LEVELS):
+        steps.append(f"""{name}{k + 1} as (
+  select tree, pos // {FANOUT} as pos, (n + {FANOUT - 1}) // {FANOUT} as n,
+    case when n > 1 then sha256(string_agg(digest, '' order by pos)) else max(digest) end as digest
+  from {name}{k} group by tree, pos // {FANOUT}, n
+)""")
+        side = f"(partition by tree, pos // {FANOUT} order by pos rows between"
+        steps.append(f"""{name}_beside{k} as (
+  select tree, pos, coalesce(string_agg(digest, '') over {side} unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(digest, '') over {side} 1 following and unbounded following), '') as after
+  from {name}{k} where n > 1
+)""")
+    return ",\n".join(steps)
+
+
+def _walk_sql(name: str, start: str, tree: str, pos: str) -> str:
+    """The rows of ``start``, led up the trees of ``name``: ``folded`` and ``proof`` grow step by step."""
+    steps = []
+    for k in range(_LEVELS):
+        source = start if k == 0 else f"{name}_walk{k - 1}"
+        steps.append(f"""{name}_walk{k} as (
+  select w.* replace (
+    case when b.pos is null then folded else sha256(b.before || folded || b.after) end as folded,
+    proof || coalesce(b.before || b.after, '') as proof)
+  from {source} w left join {name}_beside{k} b on b.tree = w.{tree} and b.pos = w.{pos} // {FANOUT ** k}
+)""")
+    return ",\n".join(steps)
+
+
+_LOWERED = {c: "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if c == "text" else c for c in FIELDS}
+_MANIFEST_SQL = f"""
+with leaves as (
+  select doc_id, source, {_row_digest_sql({c: c for c in FIELDS})} as leaf,
+    case when {crc32_sql("doc_id::varchar")} % 5 = 0 then {_row_digest_sql(_LOWERED)} end as found
+  from documents
+),
+placed as (
+  select *, dense_rank() over (order by source nulls first) - 1 as tree, count(*) over (partition by source) as n,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos
+  from leaves
+),
+s0 as (select tree, pos, n, leaf as digest from placed),
+{_tree_sql("s")},
+t0 as (select -1 as tree, tree as pos, count(*) over () as n, digest from s{_LEVELS}),
+{_tree_sql("t")},
+start as (select *, coalesce(found, leaf) as folded, '' as proof, -1 as top from placed),
+{_walk_sql("s", "start", "tree", "pos")},
+{_walk_sql("t", f"s_walk{_LEVELS - 1}", "top", "tree")}
+select doc_id, leaf, s.digest as subroot, r.digest as root, sha256(proof) as proof_sha256, folded as folded_root,
+  folded = r.digest as verified
+from t_walk{_LEVELS - 1} w join s{_LEVELS} s on s.tree = w.tree join t{_LEVELS} r on r.tree = -1
+"""
+
+QUERIES = {"op11_rendezvous_shards": op11_rendezvous_shards, "op12_merkle_manifest": op12_merkle_manifest}
+ORACLES = {"op11_rendezvous_shards": _SHARDS_SQL, "op12_merkle_manifest": _MANIFEST_SQL}

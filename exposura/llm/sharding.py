@@ -16,11 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from exposura.functions.scale import running_totals
-from exposura.session import materialize
-
-# Rows of one slice of a shard, which one task numbers.
-SLICE_ROWS = 250_000
+from exposura.llm.ordering import with_place
 
 
 def key_text(*columns: Column) -> Column:
@@ -61,27 +57,14 @@ def assign_shards(
     return df.withColumns(added)
 
 
-def number_slots(
-    df: DataFrame, order: str, ties: Sequence[str] = (), shard: str = "shard", name: str = "slot", slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Add each row's place in its shard: 0, 1, … without gaps, by ``order``, nulls first, then by ``ties``.
-
-    Shards are cut into slices of about ``slice_rows`` rows along the order, numbered apart and shifted by the
-    rows before them. Rows that are equal in all of that are told apart by their place in the stored input,
-    so even one repeated row that fills most of a shard is cut. Pass narrow rows; they are stored once.
-    """
-    stored = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
-    placed = running_totals(stored, F.col(f"`{order}`"), {name: F.lit(1)}, [shard], slice_rows, [*ties, "_row"], stored=True)
-    return placed.withColumn(name, F.col(name).cast("long")).drop("_row")
-
-
 def shard_documents(
     docs: DataFrame, weights: Sequence[float], grown_by: float = 1.0, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Digest of a sharded text table, one row per row of ``docs``.
 
     Columns: the key, ``size`` (bytes of the text and one), ``text_crc32``, ``law``, ``shard``, ``slot``,
-    ``grown_shard``. A null text has no bytes and the check sum of none. Slots go by key, then by check sum and size.
+    ``grown_shard``. A null text has no bytes and the check sum of none. Slots count from 0 in each shard without gaps, by
+    key, nulls first, then by check sum and size; a shard of any size is numbered in slices.
     """
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     narrow = docs.select(
@@ -89,7 +72,7 @@ def shard_documents(
         F.lit("key").alias("law"),
     )
     sharded = assign_shards(narrow, [key], weights, grown_by)
-    return number_slots(sharded, key, ["text_crc32", "size"]).select(
+    return with_place(sharded, ["shard"], key, ["text_crc32", "size"], "slot").select(
         key, "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 
