@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from exposura.llm.conversations import DELETE_COST, INSERT_COST, KEY_CHARS, REROLE_COST, TRUNCATED_COST, audit_conversations, damage
 from exposura.llm.manifest import FANOUT, FIELDS, manifest
 from exposura.llm.sharding import shard_documents
 
@@ -19,6 +20,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_conversations(damage(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
 def _crc_steps() -> list[int]:
     """CRC-32 of the sixteen half bytes."""
     steps = []
@@ -126,5 +131,100 @@ select doc_id, leaf, s.digest as subroot, r.digest as root, sha256(proof) as pro
 from t_walk{_LEVELS - 1} w join s{_LEVELS} s on s.tree = w.tree join t{_LEVELS} r on r.tree = -1
 """
 
-QUERIES = {"op11_rendezvous_shards": op11_rendezvous_shards, "op12_merkle_manifest": op12_merkle_manifest}
-ORACLES = {"op11_rendezvous_shards": _SHARDS_SQL, "op12_merkle_manifest": _MANIFEST_SQL}
+def _choice_sql(cost: str, edit: str, state: int, when: str = "true") -> str:
+    return f"case when {when} then {{'c': {cost} + w.c[{state}], 'e': '{edit}' || w.e[{state}]}} end"
+
+
+def _best_sql(state: int) -> str:
+    """Cheapest edit of a row in a state (1 nothing yet, 2 after system, 3 after user, 4 after assistant) and what follows."""
+    onward = 4 if state == 3 else 3
+    initials = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}[state]
+    extra = f"(case when fault = 'truncated' then {TRUNCATED_COST} else 0 end)"
+    free = "fault not in ('blank', 'duplicate')"
+    return "list_min([" + ", ".join([
+        _choice_sql(str(DELETE_COST), "D", state),
+        *[_choice_sql(extra, "K", to, f"{free} and role[1] = '{initial}'") for initial, to in initials.items()],
+        _choice_sql(f"{extra} + {REROLE_COST}", "R", onward, free),
+    ]) + "])"
+
+
+def _inserted_sql(times: int, state: int) -> str:
+    return f"{{'c': {INSERT_COST * times} + b{state}.c, 'e': '{'I' * times}' || b{state}.e}}"
+
+
+_WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_REPAIR_SQL = f"""
+with recursive kinds as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind
+  from conversations
+),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+  from kinds where kind <> 0
+),
+ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role[1:{KEY_CHARS}], text[1:{KEY_CHARS}],
+    sha256(strlen(role)::varchar || ':' || role || text), copy) as i, rtrim(text, {_WHITE_SQL}) as filled
+  from damaged
+),
+faulty as (
+  select conv_id, turn, role, text, i, lead(role) over (partition by conv_id order by i) as next_role,
+    case when filled = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when filled[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from ordered
+),
+counts as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    count_if(fault = 'blank')::bigint as blank, count_if(fault = 'duplicate')::bigint as duplicate,
+    count_if(fault = 'truncated')::bigint as truncated,
+    count_if(next_role is not null and role[1] || next_role[1] not in ('su', 'ua', 'au'))::bigint as illegal
+  from faulty group by conv_id
+),
+walk(conv_id, i, c, e) as (
+  select conv_id, n + 1, [0, {2 * INSERT_COST}, {INSERT_COST}, 0], ['', 'II', 'I', ''] from counts
+  union all
+  select conv_id, i, [o1.c, o2.c, o3.c, o4.c], [o1.e, o2.e, o3.e, o4.e] from (
+    select conv_id, i, list_min([b1, {_inserted_sql(1, 3)}, {_inserted_sql(2, 4)}]) as o1,
+      list_min([b2, {_inserted_sql(1, 3)}, {_inserted_sql(2, 4)}]) as o2,
+      list_min([b3, {_inserted_sql(1, 4)}]) as o3, list_min([b4, {_inserted_sql(1, 3)}]) as o4
+    from (
+      select w.conv_id, f.i, {_best_sql(1)} as b1, {_best_sql(2)} as b2, {_best_sql(3)} as b3, {_best_sql(4)} as b4
+      from walk w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i - 1
+    )
+  )
+),
+audits as (select conv_id, c[1]::bigint as cost, e[1] as audit from walk where i = 1),
+edits as (
+  select conv_id, k, edit, count_if(edit <> 'I') over so_far as i, count_if(edit <> 'D') over so_far as o
+  from (select conv_id, unnest(range(1, len(audit) + 1)) as k, audit[k] as edit from audits)
+  window so_far as (partition by conv_id order by k)
+),
+written as (
+  select e.conv_id, k, o, edit, f.role, case when edit = 'I' then '' else f.text end as text,
+    max(case when o = 1 and edit = 'K' and f.role[1] = 's' then 1 else 0 end) over (partition by e.conv_id) as system
+  from edits e left join faulty f on f.conv_id is not distinct from e.conv_id and f.i = e.i where edit <> 'D'
+),
+digests as (
+  select conv_id, sha256(string_agg(case when edit = 'K' then role when (o - system) % 2 = 1 then 'user' else 'assistant' end
+    || ':' || text, chr(10) order by k)) as repaired_sha256
+  from written group by conv_id
+)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+  coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) a
+left join counts c on c.conv_id is not distinct from a.conv_id
+left join audits t on t.conv_id is not distinct from a.conv_id
+left join digests d on d.conv_id is not distinct from a.conv_id
+"""
+
+QUERIES = {
+    "op11_rendezvous_shards": op11_rendezvous_shards, "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLES = {
+    "op11_rendezvous_shards": _SHARDS_SQL, "op12_merkle_manifest": _MANIFEST_SQL, "op13_conversation_repair": _REPAIR_SQL,
+}
