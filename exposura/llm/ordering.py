@@ -22,7 +22,9 @@ def with_place(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str]
     equal in all of that are told apart by their place in the stored input, so even one repeated row that fills
     most of a group is cut. Pass narrow rows: they are stored. Null groups are one group.
     """
-    stored = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    # a struct of nulls is equal to itself, so rows of null groups find the totals of their slices again
+    group = {"_group": F.struct(*[F.col(f"`{c}`") for c in by])} if by else {}
+    stored = materialize(df.withColumns({**group, "_row": F.monotonically_increasing_id()}))
     rows = max(slice_rows, stored.count() // MOST_SLICES)
-    placed = running_totals(stored, F.col(f"`{order}`"), {name: F.lit(1)}, by, rows, [*ties, "_row"], stored=True)
-    return placed.withColumn(name, F.col(name).cast("long")).drop("_row")
+    placed = running_totals(stored, F.col(f"`{order}`"), {name: F.lit(1)}, list(group), rows, [*ties, "_row"], stored=True)
+    return placed.withColumn(name, F.col(name).cast("long")).drop("_row", "_group")
