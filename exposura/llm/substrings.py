@@ -9,7 +9,8 @@ share an anchor form a run, and only suffixes at anchors are sorted, under the n
    both occur more than once as a whole; nothing more needs to be known about them. Counts are combined before
    the shuffle, so a passage in a third of all documents is one row for each task.
 2. Anchors with several different runs are looked at byte by byte. One copy of each run fetches its bytes. The
-   rows are range-partitioned by anchor: Spark samples the splitters; each bucket is sorted by anchor and run.
+   suffixes are range-partitioned by their leading bytes: Spark samples the splitters; each bucket is sorted by
+   them, then by anchor and run. Suffixes of one anchor that a border parts are compared across it, see below.
    Within an anchor, windows are sorted by the names of their halves, the ties of the first key by the second, as
    in multikey quicksort, and neighbours are compared. An anchor with very many runs is cut into parts. Windows that
    a part has once meet those of other parts by name, as rows of an aggregation: first the bytes that ``NODE``
@@ -26,17 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from exposura.llm.text_kernel import mix, prefix_names, slices, span_names
+from exposura.llm.text_kernel import mix, prefix_names, released, slices, span_names
 from exposura.session import materialize
 
 LENGTH = 400
 ANCHOR = 128
-# Runs of one anchor that are compared in one task at a time.
-PART_RUNS = 4096
+# Runs of one anchor that are compared in one task at a time; a run has at most length - anchor + 1 windows.
+PART_RUNS = 1024
+# Leading bytes of a suffix that decide its range; never more than its anchor has.
+LEAD = 16
 # Adjoining windows that are looked up by their common bytes first.
 NODE = 16
-# Windows compared at a time, which bounds the memory of a bucket.
-_WINDOWS = 1_500_000
+# Windows compared at a time, which bounds the memory of a bucket: some 80 bytes for each.
+_WINDOWS = 300_000
 # A text is anchored piece by piece; pieces overlap so that no window is lost.
 _PIECE = 1 << 20
 
@@ -99,15 +102,15 @@ def find_runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                             pa.array(first - own[rows] + base[rows]), pa.array((at - first).astype(np.int32)), pa.array((stop - first).astype(np.int32)),
                         ], ["anchor", "run", "row", "first", "back", "more"])
 
-    return docs.select("row", "text").mapInArrow(work, "anchor long, run long, row long, first long, back int, more int")
+    return docs.select("row", "text").mapInArrow(released(work), "anchor long, run long, row long, first long, back int, more int")
 
 
-def _fetch(length: int):
+def _fetch(length: int, lead: int):
     """Bytes of the runs that a text has been asked for."""
     def work(batches):
         for batch in batches:
             texts, asked = batch.column(0), batch.column(1)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for text, wanted in zip(texts, asked):
                 raw = memoryview(text.as_buffer())
                 for one in wanted.as_py():
@@ -116,10 +119,11 @@ def _fetch(length: int):
                     out[2].append(one["part"])
                     out[3].append(one["back"] if one["cut"] else None)
                     out[4].append(bytes(raw[one["first"]:one["first"] + one["more"] + length]))
+                    out[5].append(bytes(raw[one["first"] + one["back"]:][:lead]))
             if out[0]:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "run", "part", "back", "bytes"]
+                    [pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "run", "part", "back", "bytes", "lead"]
                 )
 
     return work
@@ -260,7 +264,7 @@ def _across_parts(compared: DataFrame, length: int, width: int) -> DataFrame:
     open_ones = nodes.join(materialize(met), ["anchor", "core"]).groupBy("anchor", "run").agg(F.collect_list("node").alias("open"))
     rows = cut.select("anchor", "run", "back", "fresh", "bytes").join(open_ones, ["anchor", "run"])
     named = materialize(rows.select("anchor", "run", "back", "fresh", "bytes", "open").mapInArrow(
-        _named_windows(length, width), "anchor long, run long, a int, leading long, second long"
+        released(_named_windows(length, width)), "anchor long, run long, a int, leading long, second long"
     ))
     # a part gives each of its windows once, so a count is one of parts
     name = ["anchor", "leading", "second"]
@@ -287,12 +291,13 @@ def repeated_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     # the same columns as in the last join, so that texts are shuffled once for both
     texts = docs.select("row", "doc_id", "text").join(asked, "row")
     fetched = texts.select("text", "asked", "row", "doc_id").mapInArrow(
-        _fetch(length), "anchor long, run long, part long, back int, bytes binary"
+        released(_fetch(length, min(LEAD, anchor))), "anchor long, run long, part long, back int, bytes binary, lead binary"
     )
-    bucketed = fetched.select("anchor", "part", "run", "back", "bytes").repartitionByRange("anchor", "part").sortWithinPartitions("anchor", "part", "run")
+    order = ["lead", "anchor", "part"]
+    bucketed = fetched.repartitionByRange(*order).sortWithinPartitions(*order, "run").select("anchor", "part", "run", "back", "bytes")
     largest = several.agg(F.max("parts")).first()[0] or 1
     width = _node_width(length, anchor)
-    compared = bucketed.mapInArrow(_compare(length, width), _COMPARED)
+    compared = bucketed.mapInArrow(released(_compare(length, width)), _COMPARED)
     if largest > 1:
         compared = materialize(compared)
     windows = compared.select("anchor", "run", F.explode("windows").alias("w")).select("anchor", "run", "w.a", "w.b")
@@ -340,14 +345,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     Texts are UTF-8 bytes, a null text is empty; ``kept`` is what is left, as bytes, since a span may cut a character.
     Strings are judged on the input and never cross texts; a string that repeats within one text counts, overlaps
     included. Repeated rows are texts of their own and so remove each other from ``length`` bytes on; a doc_id may be
-    null. Other columns are ignored, an empty table gives an empty result.
+    null. Other columns are ignored, an empty table gives an empty result. ``docs`` is read more than once and its rows
+    are numbered by their place, so it has to be a stored table (or the result of ``materialize``).
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # a number for each row that stays the same when a task runs again: texts are stored once, with it
+    # a number for each row that stays the same when a stored table is read again
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
     spans = repeated_spans(numbered, length, anchor)
     joined = numbered.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
     out = joined.mapInArrow(
-        _cut, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        released(_cut), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     return out.drop("row")
