@@ -41,14 +41,15 @@ _MULTIBYTE = (
 _UTF8 = re.compile(rb"(?:[\x00-\x7f]|" + _MULTIBYTE + rb")+")
 # Stretches of text in decoded bytes; no secret and no layer is shorter.
 _STRETCH = re.compile(rb"(?:[\t\n\r\x1b\x20-\x7e]|" + _MULTIBYTE + rb"){16,}")
-_HEADER = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])")
 # Escaped bytes may stand between bytes written as they are.
 _PERCENT_BYTES = re.compile(r"[!-~]+")
 _ESCAPED_BYTES = re.compile(r"[ -~]+")
 _UNITS = {"%": re.compile(r"%([0-9A-Fa-f]{2})|[!-~]"), "\\x": re.compile(r"\\x([0-9A-Fa-f]{2})|\\[nrt\\'\"]|[ -~]")}
 _SIMPLE = {"\\n": "\n", "\\r": "\r", "\\t": "\t"}
-# A compressed layer that opens to more than this is refused with an error rather than cut.
-LARGEST_LAYER = 1 << 28
+# Compressed data is read in chunks. What it opens to is looked at in pieces that overlap, so that neither its size nor
+# that of the layers inside bounds anything; only an encoded layer longer than the overlap that lies over the border
+# of two pieces is seen in two parts.
+_CHUNK, _PIECE, _OVERLAP = 1 << 16, 1 << 21, 1 << 17
 
 _NO_BASE64 = np.ones(256, bool)
 _NO_BASE64[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = False
@@ -85,6 +86,28 @@ class _Layer:
         return digest, *(self.place(0, len(self.text)) if self.text else (0, 0))
 
 
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*b"\t\n\r\x1b", *range(0x20, 0x7F)]] = True
+
+
+def _stretches(data: bytes):
+    """The matches of ``_STRETCH``, looked for only where a run of bytes could be text."""
+    raw = np.frombuffer(data, np.uint8)
+    padded = np.r_[raw, np.zeros(3, np.uint8)]
+    follows = (padded & 0xC0) == 0x80
+    fits = _PLAIN[raw]
+    after = np.ones(len(raw), bool)
+    for k, least in ((1, 0xC2), (2, 0xE0), (3, 0xF0)):  # bytes behind the first of a character
+        after &= follows[k:k + len(raw)]
+        whole = np.flatnonzero(after & (raw >= least) & (raw < (0xE0, 0xF0, 0xF5)[k - 1]))
+        for j in range(k + 1):
+            fits[whole + j] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, fits, False]))
+    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if end - start >= 16:
+            yield from _STRETCH.finditer(data, start, end)
+
+
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The whole layer with every match decoded; None where nothing is decoded."""
     parts, starts, ends, at, changed = [], [], [], 0, False
@@ -144,57 +167,101 @@ def _escape(run: str):
     return [(text, np.zeros(len(text), int), np.full(len(text), len(run)))]
 
 
-def _opened(data: bytes) -> tuple[bytes, int] | None:
-    """The content of gzip (all members) or zlib data at the start, and its size as it is; None where it is neither."""
-    out, size = [], len(data)
-    while data[:2] == b"\x1f\x8b" or (not out and len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
-        opener = zlib.decompressobj(wbits=47)
+def _inflated(data: memoryview, start: int):
+    """Blocks of what the gzip or zlib stream at ``start`` opens to; returns its end, or None where it is broken."""
+    opener, at, rest = zlib.decompressobj(wbits=47), start, b""
+    while not opener.eof:
+        fed = rest or data[at:at + _CHUNK]
+        at += 0 if rest else len(fed)
         try:
-            part = opener.decompress(data, LARGEST_LAYER)
+            block = opener.decompress(fed, 16 * _CHUNK)
         except zlib.error:
+            return None
+        if not block and not len(fed):
+            return None
+        rest = opener.unconsumed_tail
+        if block:
+            yield block
+    return at - len(opener.unused_data)
+
+
+def _end(data: memoryview, start: int) -> int | None:
+    blocks = _inflated(data, start)
+    while True:
+        try:
+            next(blocks)
+        except StopIteration as done:
+            return done.value
+
+
+def _headers(data: bytes) -> list[int]:
+    """Where the first two bytes could begin gzip or zlib data."""
+    raw = np.frombuffer(data, np.uint8)
+    pairs = raw[:-1].astype(np.uint16) << 8 | raw[1:]
+    zlib_like = (raw[:-1] & 0x8F == 8) & (pairs % 31 == 0)
+    return np.flatnonzero(zlib_like | (pairs == 0x1F8B)).tolist()
+
+
+def _streams(data: memoryview, start: int) -> list[tuple[int, int]]:
+    """Starts and ends of the gzip members, or of the zlib stream, at ``start``; empty where it is neither."""
+    found, at = [], start
+    while at + 2 < len(data):
+        first, second = data[at], data[at + 1]
+        if (first, second) != (0x1F, 0x8B) and (found or first & 15 != 8 or (first * 256 + second) % 31):
             break
-        if opener.unconsumed_tail or sum(map(len, out)) + len(part) > LARGEST_LAYER:
-            raise ValueError(f"a compressed layer opens to more than {LARGEST_LAYER} bytes")
-        if not opener.eof:
+        if (end := _end(data, at)) is None:
             break
-        out.append(part)
-        data = opener.unused_data
-    return (b"".join(out), size - len(data)) if out else None
+        found.append((at, end))
+        at = end
+    return found
+
+
+def _pieces(data: memoryview, streams: list[tuple[int, int]]):
+    held = bytearray()
+    for start, _ in streams:
+        for block in _inflated(data, start):
+            held += block
+            while len(held) >= _PIECE:
+                yield bytes(held[:_PIECE])
+                del held[:_PIECE - _OVERLAP]
+    if held:
+        yield bytes(held)
 
 
-def _contents(data: bytes):
+def _contents(data: bytes, place: tuple[int, int] | None = None, seen: set | None = None):
     """What compressed data that starts anywhere in ``data`` opens to, through all its layers, with its place in ``data``."""
-    work, seen = [(data, None)], set()
-    while work:
-        data, place = work.pop()
-        for match in _HEADER.finditer(data):
-            inner, size = _opened(data[match.start():]) or (b"", 0)
-            own = place or (match.start(), match.start() + size)
-            key = hashlib.blake2b(inner, digest_size=16).digest(), own
-            if inner and key not in seen:
+    seen, view = set() if seen is None else seen, memoryview(data)
+    for start in _headers(data):
+        streams = _streams(view, start)
+        if not streams:
+            continue
+        own = place or (start, streams[-1][1])
+        for piece in _pieces(view, streams):
+            key = hashlib.blake2b(piece, digest_size=16).digest(), own
+            if key not in seen:
                 seen.add(key)
-                work.append((inner, own))
-                yield inner, own
+                yield piece, own
+                yield from _contents(piece, own, seen)
 
 
 def _content_layers(layer: _Layer, data: bytes, starts: np.ndarray, ends: np.ndarray):
     """Layers of the compressed data in ``data``, whose bytes stand from ``starts`` to ``ends`` of the layer."""
     for content, (a, b) in _contents(data):
         first, last = layer.place(starts[a], ends[b - 1])
-        for match in _STRETCH.finditer(content):
+        for match in _stretches(content):
             text = match.group().decode()
-            yield _Layer(text, np.full(len(text), first), np.full(len(text), last))
+            yield _Layer(text, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text)))
 
 
 def _base64_layers(layer: _Layer):
     for match in _BASE64.finditer(layer.text):
-        a, b = match.span()
-        letters = np.array([i for i in range(a, b) if layer.text[i] not in "\r\n="])
+        a = match.start()
+        letters = a + np.flatnonzero(~np.isin(np.frombuffer(match.group().encode(), np.uint8), tuple(b"\r\n=")))
         run = re.sub(r"[\r\n=]", "", match.group()).replace("-", "+").replace("_", "/")
         for shift in range(4):  # a blob may stand behind other letters of the run
             own = run[shift:len(run) - ((len(run) - shift) % 4 == 1)]
             data = base64.b64decode(own + "=" * (-len(own) % 4))
-            for stretch in _STRETCH.finditer(data):
+            for stretch in _stretches(data):
                 text = stretch.group().decode()
                 last = stretch.start() + np.cumsum(_widths(text))
                 first_letter, last_letter = (last - _widths(text)) * 4 // 3, -(-last * 4 // 3)

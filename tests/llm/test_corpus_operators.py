@@ -264,6 +264,33 @@ def lcs(a, b):
     return table_[-1][-1]
 
 
+def test_secrets_behind_a_very_long_layer(spark, monkeypatch):
+    secret = b" password = abcdefghijklmnop "
+    bomb = base64.b64encode(gzip.compress(bytes(300 << 20) + secret)).decode()
+    assert len(bomb) < 500_000
+    rows = [(1, "look: " + bomb), (2, "nothing here"), (3, "token=" + "b" * 20)]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert found == {1: [("assign", 6, 6 + len(bomb))], 2: [], 3: [("assign", 0, 26)]}
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(table(spark, rows)).collect()}
+    assert masked[1] == "look: [SECRET]"
+    monkeypatch.setattr(secrets, "_PIECE", 3000)  # borders of pieces hide nothing shorter than the overlap
+    monkeypatch.setattr(secrets, "_OVERLAP", 200)
+    rng = random.Random(2)
+    for _ in range(20):
+        filler = [prose(rng, rng.randint(50, 900)).encode() for _ in range(2)]
+        text = base64.b64encode(gzip.compress(filler[0] + secret + filler[1])).decode()
+        assert secrets.find_secrets(text)[1] == [(0, 0, len(text))]
+
+
+def test_stretches_of_text_in_bytes():
+    rng = random.Random(1)
+    for _ in range(300):
+        data = b"".join(rng.choice((
+            rng.randbytes(rng.randint(0, 30)), prose(rng, 3).encode(), bytes(rng.choice(b"\xe0\xed\xf0\xf4\x80\x9f\xa0\xbf\xc2A") for _ in range(30)),
+        )) for _ in range(rng.randint(0, 8)))
+        assert [m.span() for m in secrets._stretches(data)] == [m.span() for m in secrets._STRETCH.finditer(data)]
+
+
 def test_common_blocks_is_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(500):
@@ -423,6 +450,18 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in out)
 
 
+def test_toxicity_learns_pairs_of_words_that_say_nothing_alone(spark):
+    rng, rows, labels = random.Random(5), [], []
+    for i in range(2000):
+        first, second = rng.choice(["kor", "lum"]), rng.choice(["vex", "zam"])
+        words = [rng.choice(WORDS) for _ in range(rng.randint(5, 40))] + [first, second]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int((first, second) in (("kor", "vex"), ("lum", "zam")))))
+    out = toxicity.toxicity(table(spark, rows), table(spark, labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in out]) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     docs, none = table(spark, [(1, "a"), (2, None)]), table(spark, [], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.5}
