@@ -266,9 +266,9 @@ def lcs(a, b):
 
 def test_secrets_behind_a_very_long_layer(spark, monkeypatch):
     secret = b" password = abcdefghijklmnop "
-    bomb = base64.b64encode(gzip.compress(bytes(300 << 20) + secret)).decode()
+    bomb = base64.b64encode(gzip.compress(bytes(300 << 20) + secret)).decode().rstrip("=")
     assert len(bomb) < 500_000
-    rows = [(1, "look: " + bomb), (2, "nothing here"), (3, "token=" + "b" * 20)]
+    rows = [(1, "look: " + bomb), (2, "nothing here"), (3, "token=" + "z" * 20)]
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secrets.scan_secrets(table(spark, rows)).collect()}
     assert found == {1: [("assign", 6, 6 + len(bomb))], 2: [], 3: [("assign", 0, 26)]}
     masked = {r.doc_id: r.text for r in secrets.mask_secrets(table(spark, rows)).collect()}
@@ -278,7 +278,7 @@ def test_secrets_behind_a_very_long_layer(spark, monkeypatch):
     rng = random.Random(2)
     for _ in range(20):
         filler = [prose(rng, rng.randint(50, 900)).encode() for _ in range(2)]
-        text = base64.b64encode(gzip.compress(filler[0] + secret + filler[1])).decode()
+        text = base64.b64encode(gzip.compress(filler[0] + secret + filler[1])).decode().rstrip("=")
         assert secrets.find_secrets(text)[1] == [(0, 0, len(text))]
 
 
