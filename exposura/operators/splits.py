@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Hashable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from exposura.functions.checks import enforce, require_columns
 from exposura.functions.scale import values_at
+from exposura.session import stored_once
 
 SPLITS = ("train", "validation", "standard_test", "randomized_test")
 
@@ -39,6 +41,16 @@ def assign_splits(log: DataFrame, bounds: SplitBounds) -> DataFrame:
     )
 
 
+def stored_splits(raw: DataFrame, bounds: SplitBounds, made_of: Hashable) -> DataFrame:
+    """``assign_splits`` of a raw log, checked and written once as a table with one folder for each split.
+
+    A row outside all bounds raises while the table is written. Whoever reads one split afterwards lists and scans the files
+    of that split only, static filters and those found by a join alike, and its filters are pushed to the scan:
+    the row rule of ``assign_splits`` is no longer in the plan. ``made_of`` names the input and its state; see ``stored_once``.
+    """
+    return stored_once(raw.sparkSession, (made_of, bounds), lambda: assign_splits(raw, bounds), ["split"])
+
+
 def validate_splits(log: DataFrame) -> DataFrame:
     """One row with the evidence for each rule and ``valid``. Call :func:`require_valid_splits` to raise."""
     split, random = F.col("split"), F.col("is_random")
@@ -81,6 +93,14 @@ def random_domain_slices(log: DataFrame, bounds: SplitBounds) -> DataFrame:
     )
 
 
+def require_domain_slices(sliced: DataFrame) -> DataFrame:
+    """The rows of ``random_domain_slices``; a slice without any row raises, since nothing could be fitted or measured on it."""
+    found = {row["domain_slice"] for row in sliced.select("domain_slice").distinct().collect()}  # two names at most
+    if missing := sorted({"adaptation", "holdout"} - found):
+        raise ValueError(f"no randomized rows in the slices {missing}")
+    return sliced
+
+
 def temporal_cutoff(train: DataFrame, holdout_fraction: float) -> DataFrame:
     """One row ``cutoff_ms``: the last timestamp of the earlier share of the distinct timestamps."""
     if not 0 < holdout_fraction < 1:

@@ -218,35 +218,62 @@ def auc_ap(spark, folder):
     return prob.ranking_areas(v.probabilities(spark, folder))
 
 
-def _boot_sql(source: str, unit: str, value: str, samples: int) -> str:
-    draw = v.u("b", "j", "'42'")
+def _mix_sql(x: str) -> str:
+    """The splitmix64 finisher, one step in each subquery column."""
+    def times(value: str, factor: int) -> str:
+        return f"((({value})::uhugeint * {factor}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+    def folded(value: str, bits: int) -> str:
+        return f"list_transform([{value}], lambda y: xor(y, y >> {bits}))[1]"
+
+    return folded(times(folded(times(folded(x, 30), bootstrap._FIRST), 27), bootstrap._SECOND), 31)
+
+
+def _plus_sql(a: str, b: str) -> str:
+    return f"((({a})::uhugeint + ({b})::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+
+def _boot_sql(source: str, unit: str, value: str, samples: int, by: str = "") -> str:
+    """Replicate means of one slice of units per group, over ``source``."""
+    step = f"{bootstrap._STEP}::ubigint"
+    start = "0::ubigint"
+    for key in ("42::ubigint", "b::ubigint", "0::ubigint"):
+        start = _mix_sql(_plus_sql(f"xor({start}, {key})", step))
+    stepped = f"((j + 1)::uhugeint * {bootstrap._STEP}::uhugeint) % 18446744073709551616::uhugeint"
+    group = f"{by}, " if by else ""
+    over = f"partition by {by} " if by else ""
+    using = f"({group}i)"
     return f"""
-, vals as (select row_number() over (order by {unit}) - 1 as i, {value} as v from {source})
-, draws as (select b, cast(floor({draw} * (select count(*) from vals)) as bigint) as i
-  from (select unnest(range(0, {samples})) as b), (select i as j from vals))
-, reps as (select b, avg(v) as m from draws join vals using (i) group by b)
+, vals as (select {group}row_number() over ({over}order by {unit}) - 1 as i, count(*) over ({over.strip()}) as n, {value} as v from {source})
+, starts as (select b, {start} as start from (select unnest(range(0, {samples})) as b))
+, draws as (select {group}b, cast(floor(({_mix_sql(_plus_sql("start", stepped))} >> 11)::double / 9007199254740992::double * n) as bigint) as i
+  from starts, (select {group}i as j, n from vals))
+, reps as (select {group}b, avg(v) as m from draws join vals using {using} group by {group}b)
 """
 
 
 @query("bootstrap_user_metric", """
-, um as (select user_id, avg(ndcg) as value from per_group where k = 10 and model = 'popularity' and domain = 'standard' group by user_id)
-""" + _boot_sql("um", "user_id", "value", 500) + """
-select R6((select avg(value) from um)) as mean, R6(quantile_cont(m, 0.025)) as ci_low, R6(quantile_cont(m, 0.975)) as ci_high,
-  (select count(*) from um) as n_users from reps""")
+, um as (select model, domain, user_id, avg(ndcg) as value from per_group where k = 10 group by all)
+""" + _boot_sql("um", "user_id", "value", 500, "model, domain") + """
+, truth as (select model, domain, avg(value) as mean, count(*) as n_users from um group by all)
+select model, domain, R6(any_value(mean)) as mean, R6(quantile_cont(m, 0.025)) as ci_low, R6(quantile_cont(m, 0.975)) as ci_high,
+  any_value(n_users) as n_users from reps join truth using (model, domain) group by model, domain""")
 def bootstrap_user_metric(spark, folder):
-    per_group = _per_group(spark, folder, (10,)).where("model = 'popularity' and domain = 'standard'")
-    return bootstrap.bootstrap_user_metric(per_group)
+    return bootstrap.bootstrap_user_metric(_per_group(spark, folder, (10,)), by=["model", "domain"])
 
 
 @query("paired_bootstrap", """
-, um as (select user_id, model, avg(ndcg) as value from per_group where k = 10 and domain = 'standard' group by all)
-, diff as (select l.user_id, l.value - r.value as value from um l join um r using (user_id) where l.model = 'popularity' and r.model = 'dot')
-""" + _boot_sql("diff", "user_id", "value", 500) + """
-select R6((select avg(value) from diff)) as mean_difference, R6(quantile_cont(m, 0.025)) as ci_low,
-  R6(quantile_cont(m, 0.975)) as ci_high, (select count(*) from diff) as n_users from reps""")
+, um as (select domain, user_id, model, avg(ndcg) as value from per_group where k = 10 group by all)
+, diff as (
+  select domain, l.model as left_model, r.model as right_model, user_id, l.value - r.value as value
+  from um l join um r using (domain, user_id) where l.model < r.model)
+""" + _boot_sql("diff", "user_id", "value", 500, "domain, left_model, right_model") + """
+, truth as (select domain, left_model, right_model, avg(value) as mean, count(*) as n_users from diff group by all)
+select domain, left_model, right_model, R6(any_value(mean)) as mean_difference, R6(quantile_cont(m, 0.025)) as ci_low,
+  R6(quantile_cont(m, 0.975)) as ci_high, any_value(n_users) as n_users
+from reps join truth using (domain, left_model, right_model) group by domain, left_model, right_model""")
 def paired_bootstrap(spark, folder):
-    per_group = _per_group(spark, folder, (10,)).where("domain = 'standard'")
-    return bootstrap.paired_user_bootstrap(per_group.where("model = 'popularity'"), per_group.where("model = 'dot'"))
+    return bootstrap.paired_bootstrap_of_all(_per_group(spark, folder, (10,)), by=["domain"])
 
 
 @query("bootstrap_mean", ", truth as (select * from bandit where policy = 'random')" + _boot_sql("truth", "round_id", "reward", 200) + """

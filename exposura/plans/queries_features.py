@@ -221,4 +221,4 @@ g as (select domain, grp, k, any_value(n) as n,
 select domain, k, R6(avg(ndcg)) as ndcg, R6(avg(recall)) as recall, R6(avg(mrr)) as mrr, count(*) as eligible_groups,
   cast(sum(n) as bigint) as eligible_rows from g group by all""")
 def baseline(spark, folder):
-    return popularity_baseline(v.impressions(spark, folder), v.BOUNDS)
+    return popularity_baseline(v.split_log(spark, folder), v.BOUNDS)

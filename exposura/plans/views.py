@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from exposura.operators.contexts import ranking_contexts
 from exposura.operators.popularity import pair_score, popularity_score
-from exposura.session import materialize
-from exposura.operators.splits import SplitBounds, assign_splits, random_domain_slices
+from exposura.operators.splits import SplitBounds, random_domain_slices, stored_splits
+from exposura.session import file_stamp, stored_once
 
 BOUNDS = SplitBounds(
     train_end=20240114,
@@ -65,7 +65,9 @@ def impressions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_log(spark: SparkSession, folder: str) -> DataFrame:
-    return assign_splits(impressions(spark, folder), BOUNDS)
+    """The log with its splits: a stored table that is checked once for all queries of a session."""
+    made_of = ("events", folder, file_stamp(spark, f"{folder}/events.parquet"))
+    return stored_splits(impressions(spark, folder), BOUNDS, made_of)
 
 
 def train(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,20 +120,24 @@ def scored_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored rows of three models on both domains: popularity, inner product, a fixed pseudo-score.
+    """Rows of three models on both domains: popularity, inner product, a fixed pseudo-score; one folder for each model and domain.
 
-    All scores are computed side by side in one pass over the rows and turned into rows per model.
+    All scores are computed side by side in one pass over the rows and turned into rows per model. Reports share the
+    stored result, as they would share the files of a finished model run.
     """
-    rows = popularity_score(scored_parts(spark, folder), train(spark, folder)).withColumnRenamed("score", "_popularity")
-    both = pair_score(rows, user_vectors(spark, folder), item_vectors(spark, folder), name="_dot")
-    scores = F.array(*[
-        F.struct(F.lit(model).alias("model"), score.alias("score"))
-        for model, score in (
-            ("popularity", F.col("_popularity")), ("dot", F.col("_dot")), ("fixed", (F.col("event_id") % 97) / F.lit(97.0)),
-        )
-    ])
-    long = both.withColumn("_s", F.explode(scores)).select(*both.columns, "_s.*").drop("_popularity", "_dot")
-    return materialize(long)
+    def build() -> DataFrame:
+        rows = popularity_score(scored_parts(spark, folder), train(spark, folder)).withColumnRenamed("score", "_popularity")
+        both = pair_score(rows, user_vectors(spark, folder), item_vectors(spark, folder), name="_dot")
+        scores = F.array(*[
+            F.struct(F.lit(model).alias("model"), score.alias("score"))
+            for model, score in (
+                ("popularity", F.col("_popularity")), ("dot", F.col("_dot")), ("fixed", (F.col("event_id") % 97) / F.lit(97.0)),
+            )
+        ])
+        return both.withColumn("_s", F.explode(scores)).select(*both.columns, "_s.*").drop("_popularity", "_dot")
+
+    made_of = ("predictions", folder, *[file_stamp(spark, f"{folder}/{name}.parquet") for name in ("events", "embeddings")])
+    return stored_once(spark, made_of, build, ["model", "domain"])
 
 
 def impressions_big(spark: SparkSession, folder: str) -> DataFrame:

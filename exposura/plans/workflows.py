@@ -26,8 +26,11 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def popularity_baseline(log: DataFrame, bounds: SplitBounds, k_values: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """Split, fit popularity on train, score both test splits, evaluate by user and day: one job, two domains."""
-    split = assign_splits(log, bounds)
+    """Split, fit popularity on train, score both test splits, evaluate by user and day: one job, two domains.
+
+    A log that has its ``split`` already, such as the table of ``stored_splits``, is taken as it is.
+    """
+    split = log if "split" in log.columns else assign_splits(log, bounds)
     train = split.where("split = 'train'")
     test = split.where(F.col("split").isin("standard_test", "randomized_test")).withColumn(
         "domain", F.when(F.col("split") == "standard_test", "standard").otherwise("randomized")

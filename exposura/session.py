@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,10 +44,13 @@ def _own_folder() -> str:
 
 
 _STORED: list[str] = []
+# Tables that queries of one application share: what they are made of -> where they are, and their columns.
+_SHARED: dict[Hashable, tuple[str, StructType]] = {}
 
 
 def release_stored(spark: SparkSession) -> int:
     """Delete everything ``materialize`` has stored so far, once results that read it are written; returns how many."""
+    _SHARED.clear()
     count = len(_STORED)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _STORED:
@@ -54,6 +59,12 @@ def release_stored(spark: SparkSession) -> int:
     return count
 
 
+def _new_path(spark: SparkSession) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/exposura-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -61,7 +72,29 @@ def materialize(df: DataFrame) -> DataFrame:
     and later steps get a columnar scan with pruned columns and a known size. What is stored stays until
     ``release_stored``, because results are lazy and may still be read.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/exposura-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession)
     df.write.parquet(path)
-    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files behind a table, so that a changed table is told from the old one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(conf).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def stored_once(spark: SparkSession, made_of: Hashable, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
+    """The stored table of ``made_of``, built and written at its first use in this application, partitioned for pruning.
+
+    Checks inside the plan of ``build`` run while it is written; later reads are plain scans, so filters and column
+    lists of each query reach the files, and filters on ``partition_by`` decide which folders are listed at all.
+    """
+    key = (spark.sparkContext.applicationId, made_of)
+    if key not in _SHARED:
+        path, df = _new_path(spark), build()
+        df.write.partitionBy(*partition_by).parquet(path)
+        _SHARED[key] = path, df.schema
+    path, schema = _SHARED[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -185,3 +185,21 @@ def test_side_tables_refuse_another_column_order(spark, tmp_path):
     (tmp_path / "b.csv").write_text("age,user_id\n3,4\n")
     with pytest.raises(Exception):
         source.load_side_tables(spark, {"users": str(tmp_path)})["users"].collect()
+
+
+def test_stored_splits_are_checked_once_and_prune_folders(spark):
+    bounds = splits.SplitBounds(20220421, (20220422, 20220428), (20220429, 20220508), (20220422, 20220508), 20220428, 20220429)
+    data = [(i, i % 5, 1000 + i, 20220419 + i % 15 if i % 15 < 10 else 20220501, int(i % 15 > 5 and i % 2), i % 2) for i in range(60)]
+    schema = "user_id long, item_id long, timestamp_ms long, date int, is_random int, long_view int"
+    raw = spark.createDataFrame(data, schema)
+    stored = splits.stored_splits(raw, bounds, "pruned")
+    assert rows(stored) == rows(splits.assign_splits(raw, bounds)) and stored.columns == [*raw.columns, "split"]
+    plan = stored.where("split = 'train' and item_id = 3").select("user_id")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "EqualTo(item_id,3)" in plan
+    assert rows(splits.stored_splits(raw.limit(0), bounds, "pruned")) == rows(stored)  # the table of that name is there already
+    with pytest.raises(Exception, match="outside all split bounds"):
+        splits.stored_splits(raw.withColumn("date", F.lit(20300101)), bounds, "broken")
+    sliced = splits.random_domain_slices(stored, bounds)
+    assert splits.require_domain_slices(sliced) is sliced
+    with pytest.raises(ValueError, match="adaptation"):
+        splits.require_domain_slices(sliced.where("domain_slice = 'holdout'"))

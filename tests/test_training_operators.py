@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,46 @@ def test_bootstrap_covers_the_mean_and_repeats(spark):
     assert rows(large) == rows(bootstrap.bootstrap_means(df, "id", "v", 20))
 
 
+def test_draws_are_dealt_over_slices_without_losing_any():
+    for units, size in ((1, 10), (95, 10), (1000, 7), (40, 40)):
+        slices = range(-(-units // size))
+        dealt = np.array([bootstrap.draws_of_slice(200, units, size, part, 5) for part in slices])
+        assert (dealt >= 0).all() and (dealt.sum(axis=0) == units).all()
+        widths = np.array([min((part + 1) * size, units) - part * size for part in slices])
+        assert np.abs(dealt.mean(axis=1) - widths).max() < 6 * (widths.max() / 200) ** 0.5
+    places = bootstrap.draw_places(42, 3, 0, 20_000, 10)
+    assert places.min() == 0 and places.max() == 9 and np.abs(np.bincount(places) / 2000 - 1).max() < 0.1
+
+
+def test_bootstrap_of_groups_is_that_of_each_group_whatever_the_slices(spark):
+    data = [(g, i, float((i * 7 + len(g)) % 11) if i % 9 else None) for g in ("a", "bb", "ccc") for i in range(90 if g == "a" else 300)]
+    df = spark.createDataFrame(data, "g string, id long, v double").repartition(5)
+    whole = rows(bootstrap.bootstrap_means(df, "id", "v", 40, by=["g"]))
+    for g in ("a", "bb", "ccc"):
+        alone = rows(bootstrap.bootstrap_means(df.where(F.col("g") == g), "id", "v", 40))
+        assert alone == [r[1:] for r in whole if r[0] == g]
+    cut = bootstrap.bootstrap_means(df, "id", "v", 400, by=["g"], slice_units=16).groupBy("g").agg(
+        F.avg("replicate_mean"), F.stddev("replicate_mean"), F.count("*")).collect()
+    plain = {r["g"]: r for r in df.groupBy("g").agg(F.avg("v"), F.stddev("v"), F.count("v")).collect()}
+    for g, mean, spread, n in cut:
+        _, truth, deviation, count = plain[g]
+        assert n == 400 and abs(mean - truth) < 4 * deviation / count ** 0.5 / 20 + 0.05
+        assert spread == pytest.approx(deviation / count ** 0.5, rel=0.2)
+
+
+def test_paired_bootstrap_of_all_pairs(spark):
+    per_group = spark.createDataFrame(
+        [(m, d, u, 10, u * w) for m, w in (("x", 1.0), ("y", 2.0), ("z", 4.0)) for d in ("s", "r") for u in range(1, 40) if (m, u) != ("z", 7)],
+        "model string, domain string, user_id long, k int, ndcg double",
+    )
+    out = {(r.domain, r.left_model, r.right_model): r for r in bootstrap.paired_bootstrap_of_all(per_group, by=["domain"], samples=100).collect()}
+    assert sorted(out) == [(d, a, b) for d in ("r", "s") for a, b in (("x", "y"), ("x", "z"), ("y", "z"))]
+    assert out["s", "x", "y"].n_users == 39 and out["s", "x", "z"].n_users == 38
+    for (d, a, b), r in out.items():
+        one = bootstrap.paired_user_bootstrap(per_group.where(f"model = '{a}' and domain = '{d}'"), per_group.where(f"model = '{b}' and domain = '{d}'"), samples=100).first()
+        assert (r.mean_difference, r.ci_low, r.ci_high) == pytest.approx((one.mean_difference, one.ci_low, one.ci_high))
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     rng = random.Random(2)
