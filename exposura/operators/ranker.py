@@ -1,8 +1,9 @@
 """Learned ranking on MLlib: listwise row weights, linear ranker, calibrated probabilities.
 
-A pairwise objective looks at every positive-negative pair of a context. The pairs are never built
-here: the swap weights a row collects over all its opposite-label rows are prefix sums over the
-context's ranking, which gives one weighted training row per candidate.
+A pairwise objective looks at pairs of a context's rows with different labels. There are two ways to it. The pointwise
+one builds no pairs: the swap weights a row collects over all its opposite-label rows are prefix sums over
+the context's ranking, which gives one weighted training row per candidate. The pairwise one draws a bounded number of
+opponents for each row and learns from feature differences, so what all rows of a context share cancels out.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, Log
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from exposura.functions.columns import discount, ideal_gain
+from exposura.functions.columns import discount, ideal_gain, uniform_hash
 from exposura.operators.history import FEATURE_COLUMNS
 
 PROBABILITY_EDGE = 1e-6
@@ -89,6 +90,95 @@ class LinearRanker:
         return table.withColumn("importance", F.abs("weight") * F.col("deviation")).orderBy(F.desc("importance"), "feature")
 
 
+def _graded_gain(label: Column) -> Column:
+    return F.pow(F.lit(2.0), label) - 1
+
+
+def _bounded_discount(rank: Column, depth: int) -> Column:
+    return F.when(rank <= depth, discount(rank)).otherwise(F.lit(0.0))
+
+
+def pairwise_rows(
+    rows: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, keys: Sequence[str] = ("context_id",), opponents: int = 16,
+    pool: int = 64, depth: int = 200, seed: int = 42, sample_weight: str | None = None,
+) -> DataFrame:
+    """Pairs of a context's rows in which the first has the higher graded label, with what swapping them would change.
+
+    Columns: the keys, ``winner_item``, ``loser_item``, ``winner_label``, ``loser_label``, ``delta_ndcg``, ``pair_weight``
+    and ``d_<feature>``, winner minus loser. ``delta_ndcg`` is |difference of gains 2^label - 1| times |difference of the
+    discounts of the two retrieval ranks| over the ideal gain of the first ``depth`` ranks, beyond which discounts are 0.
+
+    Every row meets at most ``opponents`` of the rows below it, so a context with many rows gives many pairs, not their
+    square. Opponents are drawn by a keyed hash from the context's pool: the ``pool`` rows of each label with the
+    least hash, found as a bounded group limit before the shuffle. ``pair_weight`` scales each pair up to the rows its
+    draw stands for, so weights sum to what all pairs would on average. One row per context is joined back: a context
+    with a large share of all rows is split by the skew join. Items are unique within a context; contexts with one
+    label give no pairs.
+    """
+    keys = list(keys)
+    weight = F.col(sample_weight).cast("double") if sample_weight else F.lit(1.0)
+    work = rows.select(
+        *keys, "item_id", F.col("label").cast("int").alias("label"), F.col("retrieval_rank").alias("_rank"),
+        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), weight.alias("_w"),
+    )
+    key = [F.col(k) for k in keys]
+    least = Window.partitionBy(*keys, "label").orderBy(uniform_hash(*key, F.col("item_id"), "pool", seed), "item_id")
+    pooled = work.withColumn("_place", F.row_number().over(least)).where(F.col("_place") <= pool).groupBy(*keys).agg(
+        F.collect_list(F.struct("label", "item_id", "_rank", "_x")).alias("_pool")
+    )
+    levels = work.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("label", "n")), asc=False).alias("_levels")
+    )
+
+    def placed(state: Column, level: Column) -> Column:  # ranks of a label in the ideal order follow those of higher ones
+        last = F.least(state["at"] + level["n"], F.lit(depth))
+        ranks = F.when(last > state["at"], F.sequence(state["at"] + 1, last)).otherwise(F.array().cast("array<bigint>"))
+        gain = F.aggregate(ranks, F.lit(0.0), lambda total, rank: total + discount(rank)) * _graded_gain(level["label"])
+        return F.struct((state["at"] + level["n"]).alias("at"), (state["sum"] + gain).alias("sum"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0.0).alias("sum"))
+    contexts = pooled.join(levels, keys).where(F.size("_levels") > 1).select(
+        *keys, "_pool", "_levels", F.aggregate("_levels", start, placed, lambda s: s["sum"]).alias("_ideal")
+    )
+    met = work.join(contexts, keys).withColumn(
+        "_below", F.aggregate(F.filter("_levels", lambda v: v["label"] < F.col("label")), F.lit(0).cast("bigint"), lambda n, v: n + v["n"])
+    ).where(F.col("_below") > 0)
+    drawn = F.slice(F.array_sort(F.transform(
+        F.filter("_pool", lambda p: p["label"] < F.col("label")),
+        lambda p: F.struct(uniform_hash(*key, F.col("item_id"), p["item_id"], "pair", seed).alias("u"), p["item_id"].alias("item_id"), p.alias("p")),
+    )), 1, opponents)
+    pairs = met.withColumn("_drawn", drawn).withColumn("_each", F.col("_below") / F.size("_drawn")).select(
+        *keys, "item_id", "label", "_rank", "_x", "_w", "_ideal", "_each", F.explode("_drawn.p").alias("_o")
+    )
+    gap = F.abs(_bounded_discount(F.col("_rank"), depth) - _bounded_discount(F.col("_o._rank"), depth))
+    delta = (_graded_gain(F.col("label")) - _graded_gain(F.col("_o.label"))) * gap / F.col("_ideal")
+    return pairs.select(
+        *keys, F.col("item_id").alias("winner_item"), F.col("_o.item_id").alias("loser_item"), F.col("label").alias("winner_label"),
+        F.col("_o.label").alias("loser_label"), delta.alias("delta_ndcg"), (delta * F.col("_each") * F.col("_w")).alias("pair_weight"),
+        *[(F.col("_x")[i] - F.col("_o._x")[i]).alias(f"d_{f}") for i, f in enumerate(features)],
+    )
+
+
+def fit_pairwise_ranker(
+    rows: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, keys: Sequence[str] = ("context_id",), opponents: int = 16,
+    pool: int = 64, depth: int = 200, seed: int = 42, sample_weight: str | None = None, max_iter: int = 100, reg_param: float = 1e-4,
+) -> LinearRanker:
+    """Logistic regression without intercept on feature differences, each pair weighted by what its swap would change.
+
+    Half of the pairs, by a keyed hash, are turned round, so that both outcomes occur.
+    """
+    pairs = pairwise_rows(rows, features, keys, opponents, pool, depth, seed, sample_weight).where("pair_weight > 0")
+    turned = uniform_hash(*[F.col(k) for k in keys], F.col("winner_item"), F.col("loser_item"), "side", seed) < 0.5
+    sign = F.when(turned, -1.0).otherwise(1.0)
+    training = _assembled(
+        pairs.select(*[(sign * F.col(f"d_{f}")).alias(f) for f in features], (sign > 0).cast("double").alias("label"), "pair_weight"), features
+    )
+    estimator = LogisticRegression(
+        featuresCol="_features", weightCol="pair_weight", maxIter=max_iter, regParam=reg_param, fitIntercept=False
+    )
+    return LinearRanker(estimator.fit(training.select("label", "_features", "pair_weight")), tuple(features))
+
+
 def fit_linear_ranker(
     rows: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, sample_weight: str | None = None,
     max_iter: int = 100, reg_param: float = 1e-3,

@@ -11,7 +11,9 @@ from exposura.operators.bootstrap import POISSON_ONE_CDF
 from exposura.operators.probability import probability_metrics
 from exposura.operators.ranking_metrics import ranking_metrics
 from exposura.plans import views as v, workflows
-from exposura.plans.queries_retrieval import EXACT_SQL
+from exposura.operators.candidates import attach_labels
+from exposura.operators.popularity import popularity_score
+from exposura.plans.queries_retrieval import ATTACHED_SQL, EXACT_SQL, candidates_of
 from exposura.plans.registry import query
 from exposura.session import materialize
 from exposura.sources import bandit as bandit_source
@@ -322,6 +324,36 @@ def domain_classifier(spark, folder):
     )
 
 
+@query("pairwise_rows", ATTACHED_SQL + f"""
+, c as (
+  select a.context_id, a.item_id, cast(label_graded as int) as label, retrieval_rank as r, retrieval_score, coalesce(p.score, rate) as score
+  from attached a left join popularity p using (item_id), train_rate)
+, pool as (
+  select * from (select *, row_number() over (partition by context_id, label order by {v.u("context_id", "item_id", "'pool'", "'42'")}, item_id) as place from c)
+  where place <= 64)
+, ideal as (
+  select context_id, sum((power(2, label) - 1) / log2(pos + 1)) as g
+  from (select context_id, label, row_number() over (partition by context_id order by label desc) as pos from c) where pos <= 200 group by context_id)
+, below as (select a.context_id, a.label, sum(b.n) as n from (select context_id, label, count(*) as n from c group by all) a
+  join (select context_id, label, count(*) as n from c group by all) b on b.context_id = a.context_id and b.label < a.label group by all)
+, drawn as (
+  select w.context_id, w.item_id as winner_item, l.item_id as loser_item, w.label as winner_label, l.label as loser_label, w.r, l.r as lr,
+    w.retrieval_score - l.retrieval_score as d_retrieval_score, w.score - l.score as d_score,
+    row_number() over (partition by w.context_id, w.item_id order by {v.u("w.context_id", "w.item_id", "l.item_id", "'pair'", "'42'")}, l.item_id) as k
+  from c w join pool l on l.context_id = w.context_id and l.label < w.label)
+, weighed as (
+  select d.*, (power(2, winner_label) - power(2, loser_label)) / g
+      * abs(case when r <= 200 then 1 / log2(r + 1) else 0 end - case when lr <= 200 then 1 / log2(lr + 1) else 0 end) as delta,
+    count(*) over (partition by context_id, winner_item) as met
+  from drawn d join ideal using (context_id) where k <= 16)
+select w.context_id, winner_item, loser_item, winner_label, loser_label, R6(delta) as delta_ndcg, R6(delta * b.n / met) as pair_weight,
+  R6(d_retrieval_score) as d_retrieval_score, R6(d_score) as d_score
+from weighed w join below b on b.context_id = w.context_id and b.label = w.winner_label""")
+def pairwise_rows(spark, folder):
+    labelled = attach_labels(candidates_of(spark, folder), v.part(spark, folder, "standard_test"), "graded")
+    return ranker.pairwise_rows(popularity_score(labelled, v.train(spark, folder)), ("retrieval_score", "score"))
+
+
 @query("linear_ranker")
 def linear_ranker(spark, folder):
     model = ranker.fit_linear_ranker(_ranker_rows(spark, folder, "train"))

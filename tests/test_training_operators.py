@@ -1,10 +1,12 @@
 """Weights, off-policy estimates, negatives, fits and streams."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from exposura.operators import bootstrap, density, negatives, ope, ranker, weights as wt
 from exposura.sources import bandit as source, embeddings
@@ -272,3 +274,56 @@ def test_a_reward_model_needs_rounds_with_binary_rewards(spark):
         ope.logistic_reward_model(rounds, rounds, 2)
     with pytest.raises(ValueError, match="no rounds"):
         ope.logistic_reward_model(rounds.limit(0), rounds, 2)
+
+
+def _graded_contexts(spark, contexts=60, size=14):
+    """Labels go by x within a context; contexts with a high level of x have fewer positives, which misleads row by row."""
+    rng, data = random.Random(31), []
+    for c in range(contexts):
+        level = rng.uniform(-40, 40)
+        own = sorted(rng.gauss(0, 1) for _ in range(size))
+        top = 2 if level > 0 else 9
+        for i, x in enumerate(own):
+            label = 0 if i < size - top else 1 if i < size - 1 else 2
+            data.append((f"c{c}", c * 100 + i, label, rng.random(), level + x, rng.gauss(0, 1)))
+    frame = spark.createDataFrame(data, "context_id string, item_id long, label int, u double, x double, noise double")
+    order = Window.partitionBy("context_id").orderBy("u")
+    return frame.withColumn("retrieval_rank", F.row_number().over(order)).drop("u").repartition(6).persist()
+
+
+def test_pairwise_ranker_learns_an_order_that_holds_within_contexts_only(spark):
+    rows_ = _graded_contexts(spark)
+
+    def right(model):
+        scored = model.predict(rows_)
+        pairs = scored.alias("a").join(scored.alias("b"), (F.col("a.context_id") == F.col("b.context_id")) & (F.col("a.label") > F.col("b.label")))
+        return pairs.agg(F.avg((F.col("a.score") > F.col("b.score")).cast("double"))).first()[0]
+
+    assert right(ranker.fit_pairwise_ranker(rows_, ["x", "noise"])) > 0.95
+    assert right(ranker.fit_linear_ranker(rows_, ["x", "noise"])) < 0.6
+
+
+@pytest.mark.parametrize("opponents,pool", [(3, 4), (100, 100)])
+def test_pairwise_rows_are_bounded_and_stand_for_all_pairs(spark, opponents, pool):
+    frame = _graded_contexts(spark, 12)
+    pairs = ranker.pairwise_rows(frame, ["x"], opponents=opponents, pool=pool, depth=6).collect()
+    data = {}
+    for r in frame.collect():
+        data.setdefault(r.context_id, []).append(r)
+    met, total = {}, 0.0
+    for p in pairs:
+        met.setdefault((p.context_id, p.winner_item), []).append(p)
+    for context, own in data.items():
+        ideal = sum((2 ** y - 1) / math.log2(i + 2) for i, y in enumerate(sorted((r.label for r in own), reverse=True)[:6]))
+        at = {r.item_id: (r.label, 1 / math.log2(r.retrieval_rank + 1) if r.retrieval_rank <= 6 else 0.0, r.x) for r in own}
+        for w in own:
+            below = [r for r in own if r.label < w.label]
+            drawn = met.get((context, w.item_id), [])
+            assert len(drawn) == len({p.loser_item for p in drawn}) == min(opponents, len(below), sum(min(pool, n) for n in Counter(r.label for r in below).values()))
+            for p in drawn:
+                low = at[p.loser_item]
+                delta = (2 ** w.label - 2 ** low[0]) * abs(at[w.item_id][1] - low[1]) / ideal
+                assert (p.winner_label, p.loser_label) == (w.label, low[0]) and p.d_x == pytest.approx(w.x - low[2])
+                assert p.delta_ndcg == pytest.approx(delta) and p.pair_weight == pytest.approx(delta * len(below) / len(drawn))
+    flat = frame.withColumn("label", F.lit(1))
+    assert ranker.pairwise_rows(flat, ["x"]).collect() == [] and ranker.pairwise_rows(frame.limit(0), ["x"]).collect() == []
