@@ -183,9 +183,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     def gathered(place):
         """Places of each text's kept terms, and the labels; at most sample_rows, in an order of their own."""
-        rows = lists(place >= 0).orderBy("label", F.xxhash64("bins"), "bins").toArrow()
-        at = rows.column("bins").combine_chunks()
-        return np.split(place[at.flatten().to_numpy()], at.offsets.to_numpy()[1:-1]), rows.column("label").to_numpy()
+        rows = lists(place >= 0).select("label", "bins", F.xxhash64("bins").alias("name")).toArrow()
+        at, label = rows.column("bins").combine_chunks(), rows.column("label").to_numpy()
+        texts = np.split(place[at.flatten().to_numpy()], at.offsets.to_numpy()[1:-1])
+        order = np.lexsort((rows.column("name").to_numpy(), label))
+        return [texts[i] for i in order], label[order]
 
     counted = lists(None).select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("label").alias("toxic")
