@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from exposura.functions.checks import enforce, is_finite
-from exposura.functions.columns import uniform_hash
 from exposura.functions.scale import ROWS_PER_TASK, running_totals
 from exposura.session import materialize
 
@@ -188,29 +187,68 @@ def bootstrap_mean(rows: DataFrame, unit: str, value: str, samples: int = 200, s
     ).withColumn("bootstrap_samples", F.lit(samples))
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count by inverting the distribution function."""
-    count = F.lit(0)
-    for edge in POISSON_ONE_CDF:
-        count = count + (u >= F.lit(edge)).cast("int")
-    return count
+# Rows whose draws are one matrix, and groups that a task adds up before it hands them on.
+_CHUNK_ROWS, _HELD_GROUPS = 2048, 512
+
+
+def _poisson_counts(keys: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Rows by replicates: Poisson(1) counts by inverting the distribution function, keyed by (seed, row key, replicate)."""
+    with np.errstate(over="ignore"):
+        start = _mixed(np.full(1, seed, np.uint64) + np.uint64(_STEP))
+        start = _mixed((start ^ keys) + np.uint64(_STEP))
+        stream = _mixed(start[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(_STEP))
+    u = (stream >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return np.searchsorted(POISSON_ONE_CDF, u, side="right")
 
 
 def poisson_replicates(
     rows: DataFrame, unit: str, sums: Mapping[str, Column], by: Sequence[str] = (), samples: int = 200, seed: int = 42
 ) -> DataFrame:
-    """Weighted sums per replicate, each row entering replicate b Poisson(1) times.
+    """Weighted sums per replicate, each row entering replicate b Poisson(1) times: ``(*by, replicate, _n, *sums)``.
 
-    This stands in for drawing n rows with replacement: it needs no row index and no join, one map-side
-    aggregate carries everything, and only ``samples`` rows per group and task are shuffled.
+    This stands in for drawing n rows with replacement: it needs no row index and no join. Every task multiplies the matrix
+    of its rows' counts with their values and hands on one vector of replicates per group, so what is shuffled hangs on
+    tasks and groups, not on rows. Nulls count as 0. Rows of one unit share their draws.
     """
     if samples < 1:
         raise ValueError("a bootstrap needs at least one resample")
-    exploded = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
-    # the draw is a column of its own, so that the sixteen comparisons share one hash
-    weighted = exploded.withColumn("_u", uniform_hash(F.col(unit), F.col("replicate"), seed)).withColumn(
-        "_times", poisson_one(F.col("_u"))
-    )
-    return weighted.groupBy(*by, "replicate").agg(
-        F.sum("_times").alias("_n"), *[F.sum(F.col("_times") * value).alias(name) for name, value in sums.items()]
+    by, names = list(by), list(sums)
+    key = F.col(unit).cast("long") if isinstance(rows.schema[unit].dataType, T.IntegralType) else F.xxhash64(unit)
+    narrow = rows.select(
+        *by, F.coalesce(key, F.lit(0)).alias("_key"), F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in sums.values()]).alias("_v")
     )
+    kinds = [narrow.schema[c] for c in by]
+    schema = T.StructType([*kinds, T.StructField("replicate", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in ("_n", *names)]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types = None
+
+        def handed_on():
+            for group, total in held.items():
+                columns = [pa.array([value] * samples, kind) for value, kind in zip(group, types)]
+                columns.append(pa.array(np.arange(samples, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in total.T.copy()]], [*by, "replicate", "_n", *names])
+            held.clear()
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            keys = batch.column("_key").to_numpy().view(np.uint64)
+            values = np.column_stack([np.ones(batch.num_rows), batch.column("_v").flatten().to_numpy().reshape(batch.num_rows, -1)])
+            groups = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+            codes: dict[tuple, int] = {}
+            code = np.fromiter((codes.setdefault(g, len(codes)) for g in groups), np.int64, len(groups))
+            for start in range(0, batch.num_rows, _CHUNK_ROWS):
+                part = slice(start, start + _CHUNK_ROWS)
+                counts, own = _poisson_counts(keys[part], samples, seed), code[part]
+                for group, number in codes.items():
+                    some = own == number
+                    if some.any():
+                        total = counts[some].T.astype(float) @ values[part][some]
+                        held[group] = held[group] + total if group in held else total
+            if len(held) > _HELD_GROUPS:
+                yield from handed_on()
+        yield from handed_on()
+
+    partial = narrow.mapInArrow(work, schema)
+    return partial.groupBy(*by, "replicate").agg(*[F.sum(n).alias(n) for n in ("_n", *names)])

@@ -7,6 +7,7 @@ over the actions, where needed. Everything is row arithmetic followed by one agg
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from exposura.functions.checks import enforce, is_finite, require_columns
 from exposura.functions.columns import bind, uniform_hash
-from exposura.functions.scale import ROWS_PER_TASK, exact_percentiles, running_totals
+from exposura.functions.scale import ROWS_PER_TASK, exact_percentiles, running_totals, values_at
 from exposura.operators.bootstrap import poisson_replicates
+from exposura.session import materialize
 
 ESTIMATORS = ("dm", "ips", "snips", "dr")
 
@@ -63,24 +65,44 @@ def weight_report(rows: DataFrame, raw: str = "raw_weight", used: str = "weight"
     ).withColumns({"p95": packed["p95"], "p99": packed["p99"]})
 
 
-def _round_terms(rows: DataFrame) -> dict[str, Column]:
-    expected = F.aggregate(
+def _dm(rows: DataFrame) -> Column:
+    return F.aggregate(
         F.zip_with("target", "prediction", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(float("nan")))
     )
-    w, reward = F.col("weight"), F.col("reward").cast("double")
+
+
+def _round_terms(rows: DataFrame, clips: Sequence[float | None]) -> DataFrame:
+    """``rows`` with what a round adds to the estimates: ``_dm``, and ``_w{i}``, ``_wr{i}``, ``_dr{i}`` for each clip."""
+    reward = F.col("reward").cast("double")
     residual = reward - F.get("prediction", F.col("action").cast("int"))
-    return {"_dm": expected, "_wr": w * reward, "_w": w, "_ww": w * w, "_dr": expected + w * residual}
+    terms = rows.withColumn("_dm", _dm(rows))
+    for i, clip in enumerate(clips):
+        w = F.col("weight") if clip is None else F.least("weight", F.lit(float(clip)))
+        terms = terms.withColumns({f"_w{i}": w, f"_wr{i}": w * reward, f"_dr{i}": F.col("_dm") + w * residual})
+    return terms
+
+
+def _sum_names(clips: Sequence[float | None]) -> list[str]:
+    return ["_dm", *[f"_{kind}{i}" for i in range(len(clips)) for kind in ("w", "wr", "dr")]]
 
 
-def _estimates(n: Column) -> dict[str, Column]:
+def _estimates(n: Column, i: int) -> dict[str, Column]:
+    """The four estimators of clip ``i`` from sums over ``n`` rounds."""
     return {
         "dm": F.col("_dm") / n,
-        "ips": F.col("_wr") / n,
-        "snips": F.col("_wr") / F.greatest(F.col("_w"), F.lit(1e-12)),
-        "dr": F.col("_dr") / n,
+        "ips": F.col(f"_wr{i}") / n,
+        "snips": F.col(f"_wr{i}") / F.greatest(F.col(f"_w{i}"), F.lit(1e-12)),
+        "dr": F.col(f"_dr{i}") / n,
     }
 
 
+def _checked_clips(clips: Sequence[float | None]) -> list[float | None]:
+    for clip in clips:
+        if clip is not None and not 0 < clip < float("inf"):
+            raise ValueError(f"importance weights can only be clipped at a finite number above zero, not {clip}")
+    return list(clips)
+
+
 def _weighted_rounds(rows: DataFrame, clip: float | None) -> DataFrame:
     require_columns(rows, ["reward", "action", "pscore", "target", "prediction"], "bandit log")
     checked = enforce(
@@ -92,19 +114,42 @@ def _weighted_rounds(rows: DataFrame, clip: float | None) -> DataFrame:
     return importance_weights(checked, clip)
 
 
-def policy_value(rows: DataFrame, clip: float | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """The four estimates, effective sample size, mean and max weight, rounds; one row per ``by`` group."""
-    terms = _weighted_rounds(rows, clip)
+def policy_values(rows: DataFrame, clips: Sequence[float | None], by: Sequence[str] = ()) -> DataFrame:
+    """The four estimates, effective sample size, mean and max weight, rounds; a row per ``by`` group and clip, in one pass."""
+    clips = _checked_clips(clips)
+    terms = _round_terms(_weighted_rounds(rows, None), clips)
     sums = terms.groupBy(*by).agg(
-        *[F.sum(value).alias(name) for name, value in _round_terms(terms).items()],
-        F.max("weight").alias("weight_max"), F.count(F.lit(1)).alias("n_rounds"),
+        *[F.sum(name).alias(name) for name in _sum_names(clips)],
+        *[F.sum(F.col(f"_w{i}") * F.col(f"_w{i}")).alias(f"_ww{i}") for i in range(len(clips))],
+        *[F.max(f"_w{i}").alias(f"_max{i}") for i in range(len(clips))], F.count(F.lit(1)).alias("n_rounds"),
     )
     nonempty = enforce(sums, F.col("n_rounds") > 0, "cannot estimate a policy value from zero rounds")
     n = F.col("n_rounds")
-    return nonempty.select(
-        *by, *[value.alias(name) for name, value in _estimates(n).items()],
-        (F.col("_w") * F.col("_w") / F.greatest(F.col("_ww"), F.lit(1e-12))).alias("effective_sample_size"),
-        (F.col("_w") / n).alias("weight_mean"), "weight_max", F.lit(clip).cast("double").alias("clip"), "n_rounds",
+    each = F.array(*[
+        F.struct(
+            *[value.alias(name) for name, value in _estimates(n, i).items()],
+            (F.col(f"_w{i}") * F.col(f"_w{i}") / F.greatest(F.col(f"_ww{i}"), F.lit(1e-12))).alias("effective_sample_size"),
+            (F.col(f"_w{i}") / n).alias("weight_mean"), F.col(f"_max{i}").alias("weight_max"), F.lit(clip).cast("double").alias("clip"),
+        ) for i, clip in enumerate(clips)
+    ])
+    return nonempty.select(*by, "n_rounds", F.explode(each).alias("_e")).select(*by, "_e.*", "n_rounds")
+
+
+def policy_value(rows: DataFrame, clip: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``policy_values`` of one clip."""
+    return policy_values(rows, [clip], by)
+
+
+def _spread(replicates: DataFrame, clips: Sequence[float | None], by: Sequence[str]) -> DataFrame:
+    """``(*by, clip, estimator, lower_95, upper_95, bootstrap_standard_error)`` from sums per replicate."""
+    each = F.array(*[
+        F.struct(F.lit(i).alias("clip"), F.lit(name).alias("estimator"), value.alias("value"))
+        for i in range(len(clips)) for name, value in _estimates(F.col("_n"), i).items()
+    ])
+    long = replicates.where(F.col("_n") > 0).select(*by, F.explode(each).alias("_e")).select(*by, "_e.*")
+    return long.groupBy(*by, "clip", "estimator").agg(
+        F.percentile("value", F.lit(0.025)).alias("lower_95"), F.percentile("value", F.lit(0.975)).alias("upper_95"),
+        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("bootstrap_standard_error"),
     )
 
 
@@ -112,35 +157,26 @@ def bootstrap_policy_value(
     rows: DataFrame, clip: float | None = None, samples: int = 200, seed: int = 42, by: Sequence[str] = ()
 ) -> DataFrame:
     """Percentile interval and standard error per estimator from Poisson(1) replicates of the rounds."""
-    by = list(by)
-    terms = _weighted_rounds(rows, clip)
-    sums = {name: value for name, value in _round_terms(terms).items() if name != "_ww"}
-    narrow = terms.select(*by, "round_id", *[value.alias(name) for name, value in sums.items()])
-    replicates = poisson_replicates(narrow, "round_id", {name: F.col(name) for name in sums}, by, samples, seed)
-    each = replicates.select(
-        *by, F.explode(F.array(*[
-            F.struct(F.lit(name).alias("estimator"), value.alias("value")) for name, value in _estimates(F.col("_n")).items()
-        ])).alias("_e"),
-    ).select(*by, "_e.*")
-    return each.groupBy(*by, "estimator").agg(
-        F.percentile("value", F.lit(0.025)).alias("lower_95"),
-        F.percentile("value", F.lit(0.975)).alias("upper_95"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("bootstrap_standard_error"),
-    )
+    by, clips = list(by), _checked_clips([clip])
+    terms = _round_terms(_weighted_rounds(rows, None), clips)
+    replicates = poisson_replicates(terms, "round_id", {name: F.col(name) for name in _sum_names(clips)}, by, samples, seed)
+    return _spread(replicates, clips, by).drop("clip")
 
 
 def mean_reward_by_action(fit_rows: DataFrame, n_actions: int, by: Sequence[str] = ()) -> DataFrame:
     """Reward model without features: mean reward per action; actions never tried get the overall mean.
 
-    One row per ``by`` group with ``prediction`` over all actions.
+    One row per ``by`` group with ``prediction`` over all actions: the sums of each action are rows, not columns, and
+    meet in one array of ``n_actions`` entries at the end.
     """
-    action = F.col("action")
-    sums = fit_rows.groupBy(*by).agg(
-        F.avg("reward").alias("_overall"),
-        *[F.avg(F.when(action == a, F.col("reward"))).alias(f"_a{a}") for a in range(n_actions)],
+    sums = fit_rows.groupBy(*by, "action").agg(F.sum("reward").alias("_r"), F.count("reward").alias("_n")).groupBy(*by).agg(
+        F.collect_list(F.struct(F.col("action").cast("int").alias("action"), (F.try_divide("_r", "_n")).alias("mean"))).alias("_tried"),
+        F.try_divide(F.sum("_r"), F.sum("_n")).alias("_overall"),
     )
-    return sums.select(
-        *by, F.array(*[F.coalesce(F.col(f"_a{a}"), F.col("_overall")) for a in range(n_actions)]).alias("prediction")
+    tried = F.map_from_entries(F.filter("_tried", lambda t: t["action"].isNotNull()))
+    actions = F.sequence(F.lit(0), F.lit(n_actions - 1))
+    return sums.withColumn("_tried", tried).select(
+        *by, F.transform(actions, lambda a: F.coalesce(F.try_element_at("_tried", a), F.col("_overall"))).alias("prediction")
     )
 
 
@@ -203,37 +239,95 @@ def shuffled_halves(rounds: DataFrame, seeds: Sequence[int], min_rows: int = ROW
     ).drop("_u", "_place")
 
 
+REWARD_MODELS = ("mean", "logistic")
+
+
+def _modelled(halves: DataFrame, n_actions: int, seeds: Sequence[int], reward_model: str) -> DataFrame:
+    """The evaluate halves with the prediction of a reward model that saw the same seed's fit half only."""
+    evaluate = halves.where("half = 'evaluate'")
+    if reward_model == "mean":
+        model = mean_reward_by_action(halves.where("half = 'fit'"), n_actions, ["seed"])
+        return evaluate.join(F.broadcast(model), "seed")  # one row per seed
+    if reward_model != "logistic":
+        raise ValueError(f"reward models are {REWARD_MODELS}, not {reward_model!r}")
+    halves = materialize(halves)
+    parts = [
+        logistic_reward_model(halves.where((F.col("seed") == s) & (F.col("half") == "fit")), halves.where((F.col("seed") == s) & (F.col("half") == "evaluate")), n_actions)
+        for s in seeds
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ope_study(
     behavior: DataFrame, truth: DataFrame, n_actions: int, seeds: Sequence[int] = (42, 43, 44),
     fractions: Sequence[float] = (0.1, 0.25, 0.5, 1.0), clips: Sequence[float | None] = (None, 10.0, 50.0),
-    min_rows: int = ROWS_PER_TASK,
+    min_rows: int = ROWS_PER_TASK, reward_model: str = "mean", samples: int = 200, bootstrap_seed: int = 42,
 ) -> DataFrame:
-    """Estimator errors against the on-policy mean for every seed, sample fraction and clip.
+    """Estimates for every seed, sample fraction and clip: errors against the on-policy mean, intervals, weight report.
 
-    The reward model of a seed sees only that seed's fit half. All settings are grouping columns of a
-    single aggregate; a round is repeated once per fraction that contains it and per clip.
+    The reward model of a seed sees only that seed's fit half. Fractions are nested, so a round belongs to the smallest one
+    that holds it and sums of the larger ones add up afterwards; clips are columns of the same sums. No round is repeated
+    for a setting, in the estimates or in the replicates, whose draws all settings share.
     """
-    halves = shuffled_halves(behavior, seeds, min_rows)
-    model = mean_reward_by_action(halves.where("half = 'fit'"), n_actions, ["seed"])
-    settings = F.array(*[
-        F.struct(F.lit(float(f)).alias("fraction"), F.lit(c).cast("double").alias("clip_value"))
-        for f in sorted(set(fractions)) for c in clips
+    clips, fractions = _checked_clips(clips), sorted(set(fractions))
+    pool = uniform_policy(_modelled(shuffled_halves(behavior, seeds, min_rows), n_actions, seeds, reward_model), n_actions)
+    sizes = [F.greatest(F.lit(1), F.rint(F.col("pool_size") * F.lit(float(f))).cast("long")) for f in fractions]
+    bucket = F.coalesce(*[F.when(F.col("pool_position") < size, F.lit(i)) for i, size in enumerate(sizes)])
+    inside = _weighted_rounds(pool.withColumn("_bucket", bucket).where("_bucket is not null"), None)
+    names = _sum_names(clips)
+    terms = materialize(_round_terms(inside, clips).select("seed", "_bucket", "round_id", "weight", *names))
+
+    def nested(sums: DataFrame, *keys: str) -> DataFrame:
+        """Sums of buckets as sums of the fractions that hold them."""
+        added = [c for c in sums.columns if c not in ("seed", "_bucket", *keys)]
+        fold = {"_lo": F.min, "_hi": F.max}
+        held = sums.withColumn("_f", F.explode(F.sequence(F.col("_bucket"), F.lit(len(fractions) - 1))))
+        return held.groupBy("seed", "_f", *keys).agg(*[fold.get(c[:3], F.sum)(c).alias(c) for c in added])
+
+    squares = [F.sum(F.col(f"_w{i}") * F.col(f"_w{i}")).alias(f"_ww{i}") for i in range(len(clips))]
+    clipped = [F.count_if(F.col(f"_w{i}") < F.col("weight")).alias(f"_cut{i}") for i in range(len(clips))]
+    sums = nested(terms.groupBy("seed", "_bucket").agg(
+        *[F.sum(n).alias(n) for n in names], *squares, *clipped, F.min("weight").alias("_lo"), F.max("weight").alias("_hi"),
+        F.count(F.lit(1)).alias("n_rounds"),
+    ))
+    # order statistics of the raw weights; clipping keeps their order
+    places = {f"_p{p}": F.lit(p / 100) * (F.col("_n") - 1) for p in (95, 99)}
+    indices = {}
+    for name, at in places.items():
+        indices[f"{name}_a"], indices[f"{name}_b"] = F.floor(at), F.least(F.floor(at) + 1, F.col("_n") - 1)
+    raw = terms.select("seed", F.explode(F.sequence(F.col("_bucket"), F.lit(len(fractions) - 1))).alias("_f"), "weight")
+    points = values_at(raw, "weight", indices, ["seed", "_f"], min_rows)
+    replicates = poisson_replicates(terms, "round_id", {n: F.col(n) for n in names}, ["seed", "_bucket"], samples, bootstrap_seed)
+    spread = _spread(nested(replicates, "replicate"), clips, ["seed", "_f"])
+    intervals = spread.groupBy("seed", "_f", "clip").agg(*[
+        F.max(F.when(F.col("estimator") == e, F.col(c))).alias(f"{e}_{c}")
+        for e in ESTIMATORS for c in ("lower_95", "upper_95", "bootstrap_standard_error")
     ])
-    size = F.greatest(F.lit(1), F.rint(F.col("pool_size") * F.col("fraction")).cast("long"))
-    pool = (
-        uniform_policy(halves.where("half = 'evaluate'"), n_actions).join(F.broadcast(model), "seed")  # one row per seed
-        .select("*", F.explode(settings).alias("_s")).select("*", "_s.*").drop("_s")
-        .where(F.col("pool_position") < size)
-    )
-    weighted = _weighted_rounds(pool, None).withColumn(
-        "weight", F.when(F.col("clip_value").isNotNull(), F.least("weight", "clip_value")).otherwise(F.col("weight"))
-    )
-    group = ["seed", "fraction", "clip_value"]
-    sums = weighted.groupBy(*group).agg(
-        *[F.sum(v).alias(n) for n, v in _round_terms(weighted).items()], F.count(F.lit(1)).alias("n_rounds")
-    )
     on_policy = truth.agg(F.avg(F.col("reward").cast("double")).alias("v")).scalar()
-    estimates = sums.select(*group, "n_rounds", *[v.alias(n) for n, v in _estimates(F.col("n_rounds")).items()])
+    n = F.col("n_rounds")
+
+    def setting(i: int, clip: float | None) -> Column:
+        def cut(value: Column) -> Column:
+            return value if clip is None else F.least(value, F.lit(float(clip)))
+
+        def percentile(name: str) -> Column:
+            low, high = cut(F.col(f"{name}_a")), cut(F.col(f"{name}_b"))
+            return low + (high - low) * (places[name] - F.floor(places[name]))
+
+        mean = F.col(f"_w{i}") / n
+        return F.struct(
+            F.lit(i).alias("clip"), F.lit(clip).cast("double").alias("clip_value"),
+            *[value.alias(name) for name, value in _estimates(n, i).items()],
+            cut(F.col("_lo")).alias("weight_minimum"), mean.alias("weight_mean"),
+            F.sqrt(F.greatest(F.col(f"_ww{i}") / n - mean * mean, F.lit(0.0))).alias("weight_standard_deviation"),
+            percentile("_p95").alias("weight_p95"), percentile("_p99").alias("weight_p99"), cut(F.col("_hi")).alias("weight_maximum"),
+            (F.col(f"_w{i}") * F.col(f"_w{i}") / F.greatest(F.col(f"_ww{i}"), F.lit(1e-12))).alias("effective_sample_size"),
+            (F.col(f"_cut{i}") / n).alias("clipped_fraction"),
+        )
+
+    each = sums.join(points, ["seed", "_f"]).withColumn("_s", F.explode(F.array(*[setting(i, c) for i, c in enumerate(clips)])))
+    fraction = F.element_at(F.lit([float(f) for f in fractions]), F.col("_f") + 1)
+    estimates = each.select("seed", "_f", fraction.alias("fraction"), "n_rounds", "_s.*").join(intervals, ["seed", "_f", "clip"]).drop("_f", "clip")
     errors = {}
     for name in ESTIMATORS:
         errors[f"{name}_absolute_error"] = F.abs(F.col(name) - on_policy)

@@ -218,35 +218,16 @@ def auc_ap(spark, folder):
     return prob.ranking_areas(v.probabilities(spark, folder))
 
 
-def _mix_sql(x: str) -> str:
-    """The splitmix64 finisher, one step in each subquery column."""
-    def times(value: str, factor: int) -> str:
-        return f"((({value})::uhugeint * {factor}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
-
-    def folded(value: str, bits: int) -> str:
-        return f"list_transform([{value}], lambda y: xor(y, y >> {bits}))[1]"
-
-    return folded(times(folded(times(folded(x, 30), bootstrap._FIRST), 27), bootstrap._SECOND), 31)
-
-
-def _plus_sql(a: str, b: str) -> str:
-    return f"((({a})::uhugeint + ({b})::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
-
-
 def _boot_sql(source: str, unit: str, value: str, samples: int, by: str = "") -> str:
     """Replicate means of one slice of units per group, over ``source``."""
-    step = f"{bootstrap._STEP}::ubigint"
-    start = "0::ubigint"
-    for key in ("42::ubigint", "b::ubigint", "0::ubigint"):
-        start = _mix_sql(_plus_sql(f"xor({start}, {key})", step))
-    stepped = f"((j + 1)::uhugeint * {bootstrap._STEP}::uhugeint) % 18446744073709551616::uhugeint"
+    start = v.stream_start("42::ubigint", "b::ubigint", "0::ubigint")
     group = f"{by}, " if by else ""
     over = f"partition by {by} " if by else ""
     using = f"({group}i)"
     return f"""
 , vals as (select {group}row_number() over ({over}order by {unit}) - 1 as i, count(*) over ({over.strip()}) as n, {value} as v from {source})
 , starts as (select b, {start} as start from (select unnest(range(0, {samples})) as b))
-, draws as (select {group}b, cast(floor(({_mix_sql(_plus_sql("start", stepped))} >> 11)::double / 9007199254740992::double * n) as bigint) as i
+, draws as (select {group}b, cast(floor({v.stream_draw("start", "j")} * n) as bigint) as i
   from starts, (select {group}i as j, n from vals))
 , reps as (select {group}b, avg(v) as m from draws join vals using {using} group by {group}b)
 """

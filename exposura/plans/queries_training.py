@@ -101,22 +101,23 @@ select clip, R6(avg(dm)) as dm, R6(avg(w * reward)) as ips, R6(sum(w * reward) /
   R6(avg(dm + w * (reward - q))) as dr, R6(sum(w) * sum(w) / greatest(sum(w * w), 1e-12)) as effective_sample_size,
   R6(avg(w)) as weight_mean, R6(max(w)) as weight_max, count(*) as n_rounds from w group by clip""")
 def ope_estimates(spark, folder):
-    rows = _behavior(spark, folder)
-    result = None
-    for clip in (None, 1.0, 0.5):
-        part = ope.policy_value(rows, clip)
-        result = part if result is None else result.unionByName(part)
-    return result
+    return ope.policy_values(_behavior(spark, folder), (None, 1.0, 0.5))
 
 
-def _poisson_sql() -> str:
-    u = v.u("round_id", "b", "'42'")
+def _counts_sql(rounds: str) -> str:
+    """Poisson(1) counts ``n`` of every round in each of 200 replicates."""
+    counted = " + ".join(f"cast((u >= {edge!r}::double) as int)" for edge in POISSON_ONE_CDF)
     return f"""
-, draws as (select *, {u} as u from rounds, (select unnest(range(0, 200)) as b))
-, counted as (select *, {" + ".join(f"cast((u >= {edge!r}::double) as int)" for edge in POISSON_ONE_CDF)} as n from draws)
+, starts as (select round_id, {v.stream_start("42::ubigint", "round_id::ubigint")} as start from {rounds})
+, uniform as (select round_id, b, {v.stream_draw("start", "b")} as u from starts, (select unnest(range(0, 200)) as b))
+, counted as (select * from (select round_id, b, {counted} as n from uniform) where n > 0)"""
+
+
+def _poisson_sql() -> str:
+    return _counts_sql("rounds") + """
 , reps as (
   select b, sum(n * dm) / sum(n) as dm, sum(n * raw * reward) / sum(n) as ips, sum(n * raw * reward) / greatest(sum(n * raw), 1e-12) as snips,
-    sum(n * (dm + raw * (reward - q))) / sum(n) as dr from counted where n > 0 group by b)
+    sum(n * (dm + raw * (reward - q))) / sum(n) as dr from counted join rounds using (round_id) group by b)
 , long as (unpivot reps on dm, ips, snips, dr into name estimator value value)
 select estimator, R6(quantile_cont(value, 0.025)) as lower_95, R6(quantile_cont(value, 0.975)) as upper_95,
   R6(stddev_samp(value)) as bootstrap_standard_error from long group by estimator"""
@@ -154,18 +155,30 @@ STUDY_SQL = f"""
 , dm as (select seed, avg(r) as dm from model group by seed)
 , grid as (select fraction, clip_value from (select unnest([0.1::double, 0.25, 0.5, 1.0]) as fraction), (select unnest([null, 10.0::double, 50.0]) as clip_value))
 , pool as (
-  select s.*, fraction, clip_value, d.dm, m.r as q, case when clip_value is null then 0.1 / pscore else least(0.1 / pscore, clip_value) end as w
+  select s.*, fraction, clip_value, d.dm, m.r as q, 0.1 / pscore as raw, case when clip_value is null then 0.1 / pscore else least(0.1 / pscore, clip_value) end as w
   from shuffled s join dm d using (seed) join model m using (seed, action), grid
   where place >= n // 2 and place - n // 2 < greatest(1, cast(round_even((n - n // 2) * fraction, 0) as bigint)))
 , est as (
   select seed, fraction, clip_value, count(*) as n_rounds, avg(dm) as dm, avg(w * reward) as ips, sum(w * reward) / greatest(sum(w), 1e-12) as snips,
-    avg(dm + w * (reward - q)) as dr from pool group by all)
+    avg(dm + w * (reward - q)) as dr, min(w) as weight_minimum, avg(w) as weight_mean, stddev_pop(w) as weight_standard_deviation,
+    quantile_cont(w, 0.95) as weight_p95, quantile_cont(w, 0.99) as weight_p99, max(w) as weight_maximum,
+    sum(w) * sum(w) / greatest(sum(w * w), 1e-12) as effective_sample_size, avg(case when w < raw then 1 else 0 end) as clipped_fraction
+  from pool group by all)
+{_counts_sql("b")}
+, reps as (
+  select seed, fraction, clip_value, c.b, sum(c.n * dm) / sum(c.n) as dm, sum(c.n * w * reward) / sum(c.n) as ips,
+    sum(c.n * w * reward) / greatest(sum(c.n * w), 1e-12) as snips, sum(c.n * (dm + w * (reward - q))) / sum(c.n) as dr
+  from pool join counted c using (round_id) group by all)
+, spread as (select seed, fraction, clip_value, {", ".join(
+    f"R6(quantile_cont({e}, 0.025)) as {e}_lower_95, R6(quantile_cont({e}, 0.975)) as {e}_upper_95, R6(stddev_samp({e})) as {e}_bootstrap_standard_error"
+    for e in ope.ESTIMATORS)} from reps group by all)
 , t as (select avg(reward) as v from bandit where policy = 'random')
-select seed, fraction, clip_value, n_rounds, R6(dm) as dm, R6(ips) as ips, R6(snips) as snips, R6(dr) as dr,
-  R6(abs(dm - v)) as dm_absolute_error, R6(abs(dm - v) / greatest(abs(v), 1e-12)) as dm_relative_error,
-  R6(abs(ips - v)) as ips_absolute_error, R6(abs(ips - v) / greatest(abs(v), 1e-12)) as ips_relative_error,
-  R6(abs(snips - v)) as snips_absolute_error, R6(abs(snips - v) / greatest(abs(v), 1e-12)) as snips_relative_error,
-  R6(abs(dr - v)) as dr_absolute_error, R6(abs(dr - v) / greatest(abs(v), 1e-12)) as dr_relative_error from est, t"""
+select e.seed, e.fraction, e.clip_value, n_rounds, R6(dm) as dm, R6(ips) as ips, R6(snips) as snips, R6(dr) as dr,
+  {", ".join(f"R6({c}) as {c}" for c in ("weight_minimum", "weight_mean", "weight_standard_deviation", "weight_p95", "weight_p99",
+    "weight_maximum", "effective_sample_size", "clipped_fraction"))},
+  s.* exclude (seed, fraction, clip_value),
+  {", ".join(f"R6(abs({e} - v)) as {e}_absolute_error, R6(abs({e} - v) / greatest(abs(v), 1e-12)) as {e}_relative_error" for e in ope.ESTIMATORS)}
+from est e join spread s on s.seed = e.seed and s.fraction = e.fraction and s.clip_value is not distinct from e.clip_value, t"""
 
 
 @query("ope_study", STUDY_SQL)

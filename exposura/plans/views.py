@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from exposura.operators import bootstrap
 from exposura.operators.contexts import ranking_contexts
 from exposura.operators.popularity import pair_score, popularity_score
 from exposura.operators.splits import SplitBounds, random_domain_slices, stored_splits
@@ -183,6 +184,35 @@ def u(*parts: str) -> str:
     )
 
 
+def _times(a: str, b: str) -> str:
+    return f"((({a})::uhugeint * ({b})::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+
+def plus(a: str, b: str) -> str:
+    return f"((({a})::uhugeint + ({b})::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+
+def mixed(x: str) -> str:
+    """SQL text of the finisher of splitmix64."""
+    def folded(value: str, bits: int) -> str:
+        return f"list_transform([{value}], lambda y: xor(y, y >> {bits}))[1]"
+
+    return folded(_times(folded(_times(folded(x, 30), bootstrap._FIRST), 27), bootstrap._SECOND), 31)
+
+
+def stream_start(*keys: str) -> str:
+    """SQL text of the state that a stream of draws starts from."""
+    start = "0::ubigint"
+    for key in keys:
+        start = mixed(plus(f"xor({start}, {key})", f"{bootstrap._STEP}::ubigint"))
+    return start
+
+
+def stream_draw(start: str, place: str) -> str:
+    """SQL text of the uniform draw at ``place``, counted from 0, of a stream."""
+    return f"(({mixed(plus(start, _times(f'{place} + 1', str(bootstrap._STEP))))} >> 11)::double / 9007199254740992::double)"
+
+
 PRELUDE = """
 with impressions as (
   select *, case when is_random = 1 then 'random' when date <= 20240114 then 'standard_early' else 'standard_late' end as source_log

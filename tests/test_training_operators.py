@@ -327,3 +327,34 @@ def test_pairwise_rows_are_bounded_and_stand_for_all_pairs(spark, opponents, poo
                 assert p.delta_ndcg == pytest.approx(delta) and p.pair_weight == pytest.approx(delta * len(below) / len(drawn))
     flat = frame.withColumn("label", F.lit(1))
     assert ranker.pairwise_rows(flat, ["x"]).collect() == [] and ranker.pairwise_rows(frame.limit(0), ["x"]).collect() == []
+
+
+def test_poisson_replicates_do_not_hang_on_partitions_or_groups(spark):
+    frame = spark.range(3000).select("id", (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 7).cast("double").alias("x"), F.lit(1).alias("y"))
+    sums = {"sx": F.col("x"), "sy": F.col("y")}
+    whole = {r.replicate: r for r in bootstrap.poisson_replicates(frame.repartition(3), "id", sums, samples=60).collect()}
+    parts = bootstrap.poisson_replicates(frame.repartition(11), "id", sums, ["g"], 60).groupBy("replicate").agg(
+        F.sum("_n").alias("_n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy")).collect()
+    assert len(whole) == len(parts) == 60 and all((whole[r.replicate]._n, whole[r.replicate].sx, whole[r.replicate].sy) == (r._n, r.sx, r.sy) for r in parts)
+    sizes = np.array([r._n for r in whole.values()])
+    assert abs(sizes.mean() - 3000) < 30 and 30 < sizes.std() < 85  # about the square root of 3000
+    by_text = bootstrap.poisson_replicates(frame.withColumn("id", F.concat(F.lit("r"), "id")), "id", sums, samples=5).collect()
+    assert all(abs(r._n - 3000) < 300 for r in by_text)
+
+
+@pytest.mark.parametrize("model", ope.REWARD_MODELS)
+def test_study_of_one_setting_is_the_plain_estimate(spark, bandit, model):
+    behavior, truth = bandit.drop("target", "prediction").where("round_id < 2000"), bandit.where("round_id >= 2000")
+    study = ope.ope_study(behavior, truth, 3, seeds=(5, 6), fractions=(0.3, 1.0), clips=(None, 1.0), reward_model=model, samples=50)
+    found = {(r.seed, r.fraction, r.clip_value): r for r in study.collect()}
+    assert len(found) == 8
+    for (seed, fraction, clip), r in found.items():
+        halves = ope.shuffled_halves(behavior, [seed])
+        rounds = ope._modelled(halves, 3, [seed], model).where(F.col("pool_position") < round(1000 * fraction))
+        plain = ope.policy_value(ope.uniform_policy(rounds, 3), clip).first()
+        assert r.n_rounds == plain.n_rounds == round(1000 * fraction)
+        assert [r[e] for e in ope.ESTIMATORS] == pytest.approx([plain[e] for e in ope.ESTIMATORS])
+        assert (r.effective_sample_size, r.weight_mean, r.weight_maximum) == pytest.approx((plain.effective_sample_size, plain.weight_mean, plain.weight_max))
+        assert all(r[f"{e}_lower_95"] <= r[e] <= r[f"{e}_upper_95"] or abs(r[e] - r[f"{e}_lower_95"]) < 1e-9 for e in ope.ESTIMATORS)
+    with pytest.raises(ValueError, match="reward models"):
+        ope.ope_study(behavior, truth, 3, reward_model="forest")
