@@ -7,6 +7,8 @@ lookup, so no pool is ever built as a list and a very active user is spread over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from exposura.functions.checks import standard_only
@@ -329,28 +331,36 @@ def _catalog_triples(wanted: DataFrame, log: DataFrame, liked: DataFrame, u: Col
 
 
 def hard_negatives(train: DataFrame, users: DataFrame, items: DataFrame, k: int = 200) -> DataFrame:
-    """Per target the best-scored catalog item among the user's top ``k`` that is no earlier positive.
+    """Per target the best-scored catalog item that is neither the target nor an earlier positive of the user.
 
-    The top list of a user (at most ``k`` entries) travels as one array with the time each item first
-    became positive, and each target filters it in place. Targets whose whole list is known get none.
+    Users are searched ``k`` deep first. The top list of a user travels as one array with the time each item first became
+    positive, and each target filters it in place. Targets that find nothing, since their user likes the whole list, are
+    searched again twice as deep, they alone, until all are served or the catalog ends; a list never needs to be longer
+    than the user's positives and two more, so it ends below twice that. Every target of a user with a vector that has any
+    allowed item gets its row.
     """
-    outcomes = first_outcomes(standard_only(train, "hard negatives"))
+    outcomes = materialize(first_outcomes(standard_only(train, "hard negatives")))
     targets = outcomes.where(F.col("first_positive").isNotNull()).select("user_id", "item_id", F.col("first_positive").alias("timestamp_ms"))
-    active = users.join(targets.select("user_id").distinct(), "user_id", "left_semi")
-    top = exact_topk(active, items, k).join(
-        targets.select("user_id", "item_id", F.col("timestamp_ms").alias("since")), ["user_id", "item_id"], "left"
-    )
-    lists = top.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("retrieval_rank", "item_id", "since"))).alias("_top")
-    )
+    since = targets.select("user_id", "item_id", F.col("timestamp_ms").alias("since"))
     allowed = F.filter(
-        "_top",
+        F.coalesce("_top", F.array()),
         lambda e: (e["since"].isNull() | (e["since"] >= F.col("timestamp_ms"))) & (e["item_id"] != F.col("item_id")),
     )
-    return (
-        targets.join(lists, "user_id").withColumn("_pick", F.get(allowed, F.lit(0))).where(F.col("_pick").isNotNull())
-        .select(
-            "user_id", "item_id", "timestamp_ms",
-            F.col("_pick.item_id").alias("negative_item"), F.col("_pick.retrieval_rank").alias("negative_rank"),
+    pending, catalog, found = targets.join(users.select("user_id").distinct(), "user_id", "left_semi"), items.count(), []
+    while True:
+        active = users.join(pending.select("user_id").distinct(), "user_id", "left_semi")
+        lists = exact_topk(active, items, k).join(since, ["user_id", "item_id"], "left").groupBy("user_id").agg(
+            F.array_sort(F.collect_list(F.struct("retrieval_rank", "item_id", "since"))).alias("_top")
+        )
+        searched = materialize(
+            pending.join(lists, "user_id", "left").select("user_id", "item_id", "timestamp_ms", F.get(allowed, F.lit(0)).alias("_pick"))
         )
+        found.append(searched.where(F.col("_pick").isNotNull()))
+        pending = searched.where(F.col("_pick").isNull()).drop("_pick")
+        if k >= catalog or pending.isEmpty():
+            break
+        k = min(2 * k, catalog)
+    return reduce(DataFrame.unionByName, found).select(
+        "user_id", "item_id", "timestamp_ms",
+        F.col("_pick.item_id").alias("negative_item"), F.col("_pick.retrieval_rank").alias("negative_rank"),
     )

@@ -271,10 +271,11 @@ def ranking_triples(spark, folder):
 
 @query("hard_negatives", EXACT_SQL + OUTCOMES_SQL.split(", openings")[0] + """
 select t.user_id, t.item_id, t.first_positive as timestamp_ms, arg_min(e.item_id, e.retrieval_rank) as negative_item, min(e.retrieval_rank) as negative_rank
-from o t join exact e on e.user_id = t.user_id and e.retrieval_rank <= 200 left join o k on k.user_id = e.user_id and k.item_id = e.item_id
+from o t join exact e on e.user_id = t.user_id left join o k on k.user_id = e.user_id and k.item_id = e.item_id
 where t.first_positive is not null and (k.first_positive is null or k.first_positive >= t.first_positive) and e.item_id <> t.item_id group by all""")
 def hard_negatives(spark, folder):
-    return neg.hard_negatives(v.train(spark, folder), v.user_vectors(spark, folder), v.item_vectors(spark, folder))
+    """From 5 deep on, so that busy users are searched several times."""
+    return neg.hard_negatives(v.train(spark, folder), v.user_vectors(spark, folder), v.item_vectors(spark, folder), 5)
 
 
 @query("user_history", """

@@ -358,3 +358,28 @@ def test_study_of_one_setting_is_the_plain_estimate(spark, bandit, model):
         assert all(r[f"{e}_lower_95"] <= r[e] <= r[f"{e}_upper_95"] or abs(r[e] - r[f"{e}_lower_95"]) < 1e-9 for e in ope.ESTIMATORS)
     with pytest.raises(ValueError, match="reward models"):
         ope.ope_study(behavior, truth, 3, reward_model="forest")
+
+
+@pytest.mark.parametrize("depth", [1, 3, 100])
+def test_hard_negatives_serve_every_target_that_any_item_is_left_for(spark, depth):
+    rng = random.Random(12)
+    vectors = {i: [rng.gauss(0, 1) for _ in range(3)] for i in range(1, 13)}
+    users = {u: [rng.gauss(0, 1) for _ in range(3)] for u in range(1, 7)}
+    log = [(u, i, rng.randint(1, 60), int(rng.random() < 0.6), 0) for u in (1, 2, 3, 9) for i in range(1, 13)]
+    log += [(4, i, i, 1, 0) for i in range(1, 13)] + [(5, i, 7, 1, 0) for i in range(1, 12)]  # all of the catalog, all but one
+    train = spark.createDataFrame(log, "user_id long, item_id long, timestamp_ms long, long_view int, is_random int")
+    out = negatives.hard_negatives(
+        train, spark.createDataFrame(list(users.items()), "user_id long, embedding array<double>"),
+        spark.createDataFrame(list(vectors.items()), "item_id long, embedding array<double>"), depth,
+    ).collect()
+    first = {}
+    for u, i, t, y, _ in log:
+        if y and u in users:
+            first[u, i] = min(t, first.get((u, i), t))
+    expected = []
+    for (u, i), t in first.items():
+        order = sorted(vectors, key=lambda x: (-sum(a * b for a, b in zip(users[u], vectors[x])), x))
+        left = [(r, x) for r, x in enumerate(order, 1) if x != i and first.get((u, x), t) >= t]
+        expected += [(u, i, t, left[0][1], left[0][0])] if left else []
+    assert sorted(map(tuple, out)) == sorted(expected)
+    assert sum(r.user_id == 4 for r in out) == 11 and sum(r.user_id == 5 for r in out) == 11
