@@ -7,6 +7,7 @@ lookup, so no pool is ever built as a list and a very active user is spread over
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,9 +22,11 @@ from exposura.operators.retrieval import exact_topk
 from exposura.session import materialize
 
 STRATEGIES = ("exposed_mixed", "exposed", "popularity", "random")
-# Rejection rounds before the exact draw over what is left takes over.
-ATTEMPTS = 32
-_SUB_BLOCKS = 64
+# Draws by rejection before the exact draw over what is left takes over: one for all targets, then a few at a time.
+ATTEMPTS = 5
+_AT_A_TIME = 4
+# Children of a node of the rank index.
+_FANOUT = 16
 
 
 def first_outcomes(train: DataFrame) -> DataFrame:
@@ -159,7 +162,8 @@ def sample_negatives(
     exposed: uniform over the pool. Without a pool (or by strategy) the draw comes from the catalog:
     popularity picks a strictly earlier event of any user with probability n/(n+items), else a
     uniform item; random is always uniform. Earlier positives of the user and the target itself are
-    rejected. Draws that fail ``attempts`` times are made exactly, uniformly over what is allowed.
+    rejected, and only rejected targets are drawn for again. Draws that fail ``attempts`` times are made exactly, uniformly
+    over what is allowed, by a rank among the places that are free.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -172,15 +176,82 @@ def sample_negatives(
     )
     targets = materialize(pools.withColumn("source", source))
     from_pool = _from_pool(targets.where("source = 'exposed'"), outcomes, seed, attempts, **scale)
-    from_catalog = _from_catalog(targets.where("source <> 'exposed'"), log, outcomes, seed, attempts)
+    from_catalog = _from_catalog(targets.where("source <> 'exposed'"), log, outcomes, seed, attempts, **scale)
     return from_pool.unionByName(from_catalog)
 
 
 _TARGET = ["user_id", "item_id", "timestamp_ms", "source"]
 
 
-def _first_accepted(draws: DataFrame, accepted: Column) -> DataFrame:
-    return draws.where(accepted).groupBy(*_TARGET).agg(F.min_by("candidate", "attempt").alias("negative_item"))
+def _in_rounds(targets: DataFrame, drawn: Callable[[DataFrame], DataFrame], attempts: int) -> tuple[list[DataFrame], DataFrame]:
+    """Accepted draws and the targets still without one.
+
+    ``drawn`` turns targets with an ``attempt`` into candidates that are allowed. Every round is stored, and only targets
+    that all draws so far have failed are drawn for again, so the rows of a round are those of its targets or few times them.
+    """
+    found, pending, first = [], targets, 0
+    while first < attempts:
+        width = min(_AT_A_TIME if first else 1, attempts - first)
+        tried = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))))
+        found.append(materialize(drawn(tried).groupBy(*_TARGET).agg(F.min_by("candidate", "attempt").alias("negative_item"))))
+        pending = materialize(pending.join(found[-1].select(*_TARGET), _TARGET, "left_anti"))
+        first += width
+        if pending.isEmpty():
+            break
+    return found, pending
+
+
+def _ranked_place(pending: DataFrame, closings: DataFrame, total: Column, salt: str, seed: int, **scale) -> DataFrame:
+    """``_TARGET`` and ``_place``: a uniform draw over the places of a user's list that are free at the target's time.
+
+    Places are 0 to ``total`` - 1 without ``_own``, the target's own place (null: none), and without those that ``closings``
+    (user_id, _place, timestamp_ms) name before the target's time. The draw is a rank among free places in order; it is
+    turned into a place by going down a tree over places, ``_FANOUT`` children a node. At each level the closings under a
+    node are counted as of the target's time, per child, by the same running totals that serve a hot user; nothing is
+    paired with anything. The number of levels is the logarithm of the longest list.
+    """
+    start = pending.withColumns({"_total": total, "_node": F.lit(0).cast("long"), "_rank": F.lit(None).cast("long")})
+    work = materialize(start.select(*_TARGET, "_total", "_own", "_node", "_rank"))
+    longest = work.agg(F.max("_total")).first()[0] or 0
+    width = 1
+    while width < longest:
+        width *= _FANOUT
+    none = F.lit(0).cast("long")
+    while True:
+        width = max(1, width // _FANOUT)  # places under a child
+        child = F.floor(F.col("_place") / width)
+        marks = closings.select("user_id", "timestamp_ms", F.floor(child / _FANOUT).alias("_node"), *[
+            (child % _FANOUT == j).cast("long").alias(f"_c{j}") for j in range(_FANOUT)
+        ])
+        asked = work.select("*", *[none.alias(f"_c{j}") for j in range(_FANOUT)])
+        counted = earlier_totals(
+            asked.unionByName(marks, allowMissingColumns=True), ["user_id", "_node"], "timestamp_ms",
+            {f"_n{j}": F.col(f"_c{j}") for j in range(_FANOUT)}, **scale,
+        ).where(F.col("item_id").isNotNull())
+
+        def free(j: int) -> Column:
+            low = (F.col("_node") * _FANOUT + j) * width
+            inside = F.greatest(F.least(F.col("_total") - low, F.lit(width)), none)
+            own = F.coalesce((F.col("_own") >= low) & (F.col("_own") < low + width), F.lit(False)).cast("long")
+            return inside - F.col(f"_n{j}") - own
+
+        counted = counted.withColumn("_free", F.array(*[free(j) for j in range(_FANOUT)]))
+        left = F.aggregate("_free", none, lambda n, x: n + x)
+        rank = F.when(left <= 0, F.raise_error(F.lit("a user has no valid negative item left")).cast("long")).otherwise(
+            F.coalesce("_rank", F.floor(_draw(F.col("user_id"), F.col("item_id"), salt, seed) * left).cast("long"))
+        )
+        # the child that holds the rank, and the rank inside it
+        down = F.aggregate(
+            "_free", F.struct(none.alias("child"), rank.alias("rank"), F.lit(False).alias("done"), none.alias("at")),
+            lambda s, n: F.when(s["done"], s).when(s["rank"] >= n, F.struct(
+                s["child"].alias("child"), (s["rank"] - n).alias("rank"), F.lit(False).alias("done"), (s["at"] + 1).alias("at"),
+            )).otherwise(F.struct(s["at"].alias("child"), s["rank"].alias("rank"), F.lit(True).alias("done"), s["at"].alias("at"))),
+        )
+        work = materialize(counted.withColumn("_d", down).select(
+            *_TARGET, "_total", "_own", (F.col("_node") * _FANOUT + F.col("_d.child")).cast("long").alias("_node"), F.col("_d.rank").alias("_rank")
+        ))
+        if width == 1:
+            return work.select(*_TARGET, F.col("_node").alias("_place"))
 
 
 def _from_pool(targets: DataFrame, outcomes: DataFrame, seed: int, attempts: int, **scale) -> DataFrame:
@@ -191,37 +262,37 @@ def _from_pool(targets: DataFrame, outcomes: DataFrame, seed: int, attempts: int
             "_index", **scale,
         )
     )
-    draws = targets.select(*_TARGET, "opened", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt")).withColumn(
-        "_index", F.floor(_draw(user, item, "exposed", seed, F.col("attempt")) * F.col("opened")).cast("long")
-    )
     still_open = F.col("first_positive").isNull() | (F.col("first_positive") >= F.col("timestamp_ms"))
-    allowed = still_open & (F.col("candidate") != item)
-    quick = materialize(_first_accepted(draws.join(openings, ["user_id", "_index"]), allowed))
-    rest = targets.select(*_TARGET).join(quick.select(*_TARGET), _TARGET, "left_anti")
-    exact = (
-        rest.join(openings, "user_id").where((F.col("first_negative") < F.col("timestamp_ms")) & allowed)
-        .groupBy(*_TARGET)
-        .agg(F.min_by("candidate", F.struct(_draw(user, item, "pool", seed, F.col("candidate")), F.col("candidate"))).alias("negative_item"))
+
+    def drawn(tried: DataFrame) -> DataFrame:
+        at = F.floor(_draw(user, item, "exposed", seed, F.col("attempt")) * F.col("opened")).cast("long")
+        return tried.withColumn("_index", at).join(openings, ["user_id", "_index"]).where(still_open & (F.col("candidate") != item))
+
+    found, pending = _in_rounds(targets.select(*_TARGET, "opened"), drawn, attempts)
+    if pending.isEmpty():
+        return reduce(DataFrame.unionByName, found)
+    places = openings.select("user_id", F.col("candidate").alias("item_id"), F.col("_index").alias("_own"))
+    closings = openings.where(F.col("first_positive").isNotNull()).select(
+        "user_id", F.col("_index").alias("_place"), F.col("first_positive").alias("timestamp_ms")
+    )
+    own = pending.join(places, ["user_id", "item_id"], "left").withColumn(
+        "_own", F.when(F.col("_own") < F.col("opened"), F.col("_own"))
     )
-    return quick.unionByName(exact)
+    placed = _ranked_place(own, closings, F.col("opened"), "pool", seed, **scale)
+    exact = placed.withColumnRenamed("_place", "_index").join(openings, ["user_id", "_index"]).select(
+        *_TARGET, F.col("candidate").alias("negative_item")
+    )
+    return reduce(DataFrame.unionByName, [*found, exact])
 
 
-def event_index(log: DataFrame) -> DataFrame:
-    """``(_event, candidate)``: every event's place in time order, without one task per busy timestamp.
+def event_index(log: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
+    """``(_event, candidate)``: every event's place in time order, ties by user and item.
 
-    Events of one timestamp are cut into id blocks; their order inside a timestamp carries no meaning.
+    Events are cut into slices of about ``min_rows`` rows, wherever they lie; a busy timestamp is many slices.
     """
-    block = F.pmod(F.col("user_id") + F.col("item_id"), F.lit(_SUB_BLOCKS))
-    rows = log.select("timestamp_ms", "user_id", "item_id", block.alias("_block"))
-    blocks = rows.groupBy("timestamp_ms", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier_blocks = Window.partitionBy("timestamp_ms").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier_blocks), F.lit(0))).join(
-        prior_global_totals(log, log), "timestamp_ms"
-    ).select("timestamp_ms", "_block", (F.col("_offset") + F.col("prior_n")).alias("_offset"))
-    inside = Window.partitionBy("timestamp_ms", "_block").orderBy("user_id", "item_id")
-    return rows.withColumn("_r", F.row_number().over(inside)).join(offsets, ["timestamp_ms", "_block"]).select(
-        (F.col("_offset") + F.col("_r") - 1).alias("_event"), F.col("item_id").alias("candidate")
-    )
+    rows = log.select("timestamp_ms", "user_id", "item_id")
+    placed = running_totals(rows, F.col("timestamp_ms"), {"_event": F.lit(1).cast("long")}, min_rows=min_rows, ties=["user_id", "item_id"])
+    return placed.select("_event", F.col("item_id").alias("candidate"))
 
 
 def catalog_index(log: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
@@ -231,48 +302,32 @@ def catalog_index(log: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
     return materialize(slots.select("_slot", "candidate"))
 
 
-def _from_catalog(targets: DataFrame, log: DataFrame, outcomes: DataFrame, seed: int, attempts: int) -> DataFrame:
-    user, item = F.col("user_id"), F.col("item_id")
-    catalog = catalog_index(log)
-    size = catalog.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n = F.col("prior_events")
-    attempt = F.col("attempt")
-    by_event = (F.col("source") == "popularity") & (_draw(user, item, "kind", seed, attempt) < n / (n + size))
-    draws = (
-        targets.select(*_TARGET, "prior_events", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-        .withColumn("_u", _draw(user, item, "place", seed, attempt)).withColumn("_by_event", by_event)
-    )
-    from_events = draws.where("_by_event").withColumn("_event", F.floor(F.col("_u") * n).cast("long")).join(event_index(log), "_event")
-    from_items = draws.where("not _by_event").withColumn("_slot", F.floor(F.col("_u") * size).cast("long")).join(catalog, "_slot")
-    columns = [*_TARGET, "attempt", "candidate"]
+def _from_catalog(targets: DataFrame, log: DataFrame, outcomes: DataFrame, seed: int, attempts: int, **scale) -> DataFrame:
+    user, item, attempt, n = F.col("user_id"), F.col("item_id"), F.col("attempt"), F.col("prior_events")
+    min_rows = scale.get("min_rows", ROWS_PER_TASK)
+    catalog, events = catalog_index(log, min_rows), materialize(event_index(log, min_rows))
+    size = catalog.count()
     known = outcomes.where(F.col("first_positive").isNotNull()).select(
         "user_id", F.col("item_id").alias("candidate"), F.col("first_positive").alias("_since")
     )
-    drawn = from_events.select(*columns).unionByName(from_items.select(*columns)).join(known, ["user_id", "candidate"], "left")
-    allowed = (F.col("_since").isNull() | (F.col("_since") >= F.col("timestamp_ms"))) & (F.col("candidate") != item)
-    quick = materialize(_first_accepted(drawn, allowed))
-    # what every attempt missed: pick the r-th catalog slot that is not forbidden
-    rest = targets.select(*_TARGET).join(quick.select(*_TARGET), _TARGET, "left_anti")
-    slots = known.join(catalog, "candidate").select("user_id", "_slot", "_since", "candidate")
-    forbidden = rest.join(slots, "user_id").where(
-        (F.col("_since") < F.col("timestamp_ms")) | (F.col("candidate") == item)
-    )
-    placed = forbidden.withColumn(
-        "_free_before", F.col("_slot") - F.row_number().over(Window.partitionBy(*_TARGET).orderBy("_slot")) + 1
-    )
-    counts = forbidden.groupBy(*_TARGET).agg(F.count(F.lit(1)).alias("_f"))
-    left = size - F.col("_f")
-    wanted = counts.withColumn(
-        "_r", F.when(left <= 0, F.raise_error(F.lit("a user has no valid negative catalog item")).cast("long"))
-        .otherwise(F.floor(_draw(user, item, "rest", seed) * left))
-    )
-    exact = (
-        placed.join(wanted, _TARGET).groupBy(*_TARGET, "_r")
-        .agg(F.count_if(F.col("_free_before") <= F.col("_r")).alias("_shift"))
-        .withColumn("_slot", F.col("_r") + F.col("_shift")).join(catalog, "_slot")
-        .select(*_TARGET, F.col("candidate").alias("negative_item"))
-    )
-    return quick.unionByName(exact)
+    by_event = (F.col("source") == "popularity") & (_draw(user, item, "kind", seed, attempt) < n / (n + size))
+
+    def drawn(tried: DataFrame) -> DataFrame:
+        draws = tried.withColumn("_u", _draw(user, item, "place", seed, attempt)).withColumn("_by_event", by_event)
+        from_events = draws.where("_by_event").withColumn("_event", F.floor(F.col("_u") * n).cast("long")).join(events, "_event")
+        from_items = draws.where("not _by_event").withColumn("_slot", F.floor(F.col("_u") * size).cast("long")).join(catalog, "_slot")
+        columns = [*_TARGET, "attempt", "candidate"]
+        both = from_events.select(*columns).unionByName(from_items.select(*columns)).join(known, ["user_id", "candidate"], "left")
+        return both.where((F.col("_since").isNull() | (F.col("_since") >= F.col("timestamp_ms"))) & (F.col("candidate") != item))
+
+    found, pending = _in_rounds(targets.select(*_TARGET, "prior_events"), drawn, attempts)
+    if pending.isEmpty():
+        return reduce(DataFrame.unionByName, found)
+    closings = known.join(catalog, "candidate").select("user_id", F.col("_slot").alias("_place"), F.col("_since").alias("timestamp_ms"))
+    own = pending.join(catalog.select(F.col("candidate").alias("item_id"), F.col("_slot").alias("_own")), "item_id", "left")
+    placed = _ranked_place(own, closings, F.lit(size).cast("long"), "rest", seed, **scale)
+    exact = placed.withColumnRenamed("_place", "_slot").join(catalog, "_slot").select(*_TARGET, F.col("candidate").alias("negative_item"))
+    return reduce(DataFrame.unionByName, [*found, exact])
 
 
 def ranking_triples(train: DataFrame, seed: int = 42, **scale) -> DataFrame:

@@ -215,18 +215,21 @@ def negative_pools(spark, folder):
 
 
 SAMPLE_SQL = OUTCOMES_SQL + f"""
-, attempts as (select unnest(range(0, 32)) as attempt)
+, attempts as (select unnest(range(0, 5)) as attempt)
 , catalog as (select item_id as candidate, row_number() over (order by item_id) - 1 as slot from (select distinct item_id from train))
-, events_at as (select item_id as candidate, row_number() over (order by timestamp_ms, (user_id + item_id) % 64, user_id, item_id) - 1 as event from train)
+, events_at as (select item_id as candidate, row_number() over (order by timestamp_ms, user_id, item_id) - 1 as event from train)
 , sized as (select *, (select count(*) from catalog) as items from pools)
 , exposed_quick as (
   select t.user_id, t.item_id, t.timestamp_ms, arg_min(p.candidate, attempt) as negative_item
   from sized t, attempts a join openings p on p.user_id = t.user_id and p.idx = cast(floor({v.u("t.user_id", "t.item_id", "attempt", "'exposed'", "'42'")} * opened) as bigint)
   where pool_size > 0 and (p.first_positive is null or p.first_positive >= t.timestamp_ms) and p.candidate <> t.item_id group by all)
 , exposed_rest as (
-  select t.user_id, t.item_id, t.timestamp_ms, arg_min(p.candidate, {v.u("t.user_id", "t.item_id", "p.candidate", "'pool'", "'42'")}) as negative_item
-  from sized t anti join exposed_quick e using (user_id, item_id) join openings p on p.user_id = t.user_id
-  where pool_size > 0 and p.first_negative < t.timestamp_ms and (p.first_positive is null or p.first_positive >= t.timestamp_ms) and p.candidate <> t.item_id group by all)
+  select user_id, item_id, timestamp_ms, candidate as negative_item from (
+    select t.user_id, t.item_id, t.timestamp_ms, p.candidate, {v.u("t.user_id", "t.item_id", "'pool'", "'42'")} as u,
+      row_number() over (partition by t.user_id, t.item_id order by p.idx) - 1 as r, count(*) over (partition by t.user_id, t.item_id) as n
+    from sized t anti join exposed_quick e using (user_id, item_id) join openings p on p.user_id = t.user_id
+    where pool_size > 0 and p.first_negative < t.timestamp_ms and (p.first_positive is null or p.first_positive >= t.timestamp_ms) and p.candidate <> t.item_id)
+  where r = cast(floor(u * n) as bigint))
 , draws as (
   select t.*, attempt, {v.u("user_id", "item_id", "attempt", "'place'", "'42'")} as u,
     {v.u("user_id", "item_id", "attempt", "'kind'", "'42'")} < prior_events / (prior_events + items) as by_event from sized t, attempts where pool_size = 0)
@@ -237,9 +240,17 @@ SAMPLE_SQL = OUTCOMES_SQL + f"""
   select d.user_id, d.item_id, d.timestamp_ms, arg_min(d.candidate, attempt) as negative_item from drawn d
   left join o on o.user_id = d.user_id and o.item_id = d.candidate
   where (o.first_positive is null or o.first_positive >= d.timestamp_ms) and d.candidate <> d.item_id group by all)
+, catalog_rest as (
+  select user_id, item_id, timestamp_ms, candidate as negative_item from (
+    select t.user_id, t.item_id, t.timestamp_ms, c.candidate, {v.u("t.user_id", "t.item_id", "'rest'", "'42'")} as u,
+      row_number() over (partition by t.user_id, t.item_id order by c.slot) - 1 as r, count(*) over (partition by t.user_id, t.item_id) as n
+    from sized t anti join catalog_quick e using (user_id, item_id) cross join catalog c left join o on o.user_id = t.user_id and o.item_id = c.candidate
+    where pool_size = 0 and (o.first_positive is null or o.first_positive >= t.timestamp_ms) and c.candidate <> t.item_id)
+  where r = cast(floor(u * n) as bigint))
 select user_id, item_id, timestamp_ms, 'exposed' as source, negative_item from exposed_quick
 union all select user_id, item_id, timestamp_ms, 'exposed', negative_item from exposed_rest
-union all select user_id, item_id, timestamp_ms, 'popularity', negative_item from catalog_quick"""
+union all select user_id, item_id, timestamp_ms, 'popularity', negative_item from catalog_quick
+union all select user_id, item_id, timestamp_ms, 'popularity', negative_item from catalog_rest"""
 
 
 @query("sample_negatives", SAMPLE_SQL)
