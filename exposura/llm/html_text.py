@@ -37,16 +37,28 @@ _LEFT_OUT = frozenset(
 _RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp"
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|"
-    r"subscription|comments?|commentlist|disqus|respond|replies|reply|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|"
+# Names of what is no article, with words that may stand before and behind them in a class or an id. A name counts only as
+# a whole: "has-sidebar" or "header-fixed" say how a wrapper is laid out.
+_NAME = (
+    r"(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|"
+    r"subscription|comments?|commentlist|disqus|respond|replies|reply|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widgets?|"
     r"footer|header|masthead|related|recommend\w*|share|sharing|social|popup|modal|overlay|login|signup|search|toolbar|"
-    r"pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"pagination|pager|skip)"
 )
-# Headings and sections are named after what they are about, so there, and in all of an article, only these whole words count.
-_CLEAR_NAMES = frozenset(
-    "ad ads adbox advert advertisement sponsored comments commentlist disqus share sharing social newsletter breadcrumbs pagination".split()
+_PLACE = "(?:site|page|main|top|bottom|global|left|right|primary|secondary|blog|post|article|entry|user|reader|wp|block|mobile|sticky)"
+_PART = (
+    r"(?:box|bar|list|wrap|wrapper|container|section|area|block|inner|links?|items?|form|message|unit|slot|group|panel|content|"
+    r"thread|posts?|stories|articles|text|top|bottom|left|right|buttons?|icons?|media|\d+)"
+)
+_WHOLE_NAME = re.compile(rf"(?:{_PLACE}[-_]?)*{_NAME}(?:[-_]*(?:{_NAME}|{_PART}))*")
+# An article has headers and footers of its own.
+_OF_ARTICLES = re.compile(rf"(?:{_PLACE}[-_]?)*(?:header|footer|masthead|skip|search)(?:[-_]*{_PART})*")
+# Lists of comments and of other articles may hold article elements.
+_OF_OTHERS = re.compile(rf"(?:{_PLACE}[-_]?)*(?:comments?|commentlist|disqus|respond|replies|reply|related|recommend\w*)(?:[-_]*{_PART})*")
+# Headings and sections are named after what they are about, so their ids, and all names of paragraphs, count only if clear.
+_CLEAR_NAMES = re.compile(
+    rf"(?:ads?|adbox|advert|advertisement|sponsored|comments|commentlist|disqus|share|sharing|social|newsletter|breadcrumbs|pagination)"
+    rf"(?:[-_]{_PART})*"
 )
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -59,46 +71,59 @@ OTHER, BODY, PROSE, LOOSE, MAIN = range(5)
 KINDS = 8  # a block's mark is its kind and this times the number of its article on the page, from one
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+STAYS, LEFT, NAMED, NAMED_OTHERS = range(4)
+
+
+def _left_out(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is left out by its kind (LEFT) or only by its name, which its contents may overrule."""
     if tag in _LEFT_OUT or (tag == "header" and not in_article):
-        return True
+        return LEFT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return STAYS
+    found = STAYS
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            if in_article or tag == "section" or tag in _PROSE:
-                if (name == "class" or tag not in _PROSE) and not _CLEAR_NAMES.isdisjoint(value.lower().split()):
-                    return True
-            elif _NAMES.search(value):
-                return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value in _ROLES:
+            return LEFT
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return LEFT
+        if name == "style" and "display:none" in value.replace(" ", ""):
+            return LEFT
+        if name not in ("class", "id") or (name == "id" and tag in _PROSE):
+            continue
+        clear_only = tag in _PROSE or (name == "id" and tag == "section")
+        for token in value.split():
+            token = token.strip("-_")
+            if _CLEAR_NAMES.fullmatch(token) or (
+                not clear_only and _WHOLE_NAME.fullmatch(token) and not (in_article and _OF_ARTICLES.fullmatch(token))
+            ):
+                found = max(found, NAMED_OTHERS if _OF_OTHERS.fullmatch(token) else NAMED)
+    return found
 
 
 def page_blocks(page: str) -> list[tuple[str, int]]:
-    """The text blocks of a page in order, each with its mark."""
+    """The text blocks of a page in order, each with its mark.
+
+    An element that is left out by its name stays where it turns out to hold an article or a main element (unless it
+    is named a list of comments or of other articles), or, on a page without either, most of the text.
+    """
     blocks: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, left out, inside article or main, prose, number of the article
+    named: list[tuple[int, tuple[int, ...], int]] = []  # blocks that only names leave out: block, elements, mark if they stay
+    # tag, left out by kind, inside article or main, prose, number of the article, elements left out by name
+    stack: list[tuple[str, bool, bool, bool, int, tuple[int, ...]]] = []
     parts: list[str] = []
-    at = articles = 0
+    at = articles = elements = 0
+    others, holders, bodies = set(), set(), 0
 
     def close():
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, out, inside, prose, article = stack[-1] if stack else ("", False, False, False, 0)
-            if out:
-                blocks.append((text, OTHER))
-            elif article:
-                blocks.append((text, (PROSE if prose else LOOSE) + KINDS * article))
-            else:
-                blocks.append((text, MAIN if inside and prose else BODY))
+            _, out, inside, prose, article, names = stack[-1] if stack else ("", False, False, False, 0, ())
+            mark = (PROSE if prose else LOOSE) + KINDS * article if article else MAIN if inside and prose else BODY
+            if names and not out:
+                named.append((len(blocks), names, mark))
+            blocks.append((text, OTHER if out or names else mark))
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
@@ -116,7 +141,7 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
         if token[2]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if place is not None:
-                if any(one[1] or one[0] in _BLOCKS for one in stack[place:]):
+                if any(one[1] or one[5] or one[0] in _BLOCKS for one in stack[place:]):
                     close()
                 del stack[place:]
             continue
@@ -130,34 +155,96 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] in _BLOCKS:
                     break
-        _, out, inside, prose, article = stack[-1] if stack else ("", False, False, False, 0)
+        _, out, inside, prose, article, names = stack[-1] if stack else ("", False, False, False, 0, ())
         leaves = _left_out(tag, token[4], inside)
         if leaves and not out:
             close()
+        if leaves in (NAMED, NAMED_OTHERS):
+            elements += 1
+            names = (*names, elements)
+            if leaves == NAMED_OTHERS:
+                others.add(elements)
+        if tag in ("article", "main") and not out and others.isdisjoint(names):
+            bodies += 1
+            holders.update(names)
         if tag == "article" and not article:
             articles += 1
             article = articles
-        stack.append((tag, out or leaves, inside or tag in ("article", "main"), prose or tag in _PROSE, article))
+        stack.append((tag, out or leaves == LEFT, inside or tag in ("article", "main"), prose or tag in _PROSE, article, names))
     parts.append(page[at:])
     close()
+    if named and not bodies:
+        size = sum(len(text) for text, mark in blocks if mark != OTHER)
+        for element in {e for _, names, _ in named for e in names} - others:
+            held = sum(len(blocks[i][0]) for i, names, _ in named if element in names)
+            if held > size:
+                holders.add(element)
+    for i, names, mark in named:
+        if holders.issuperset(names):
+            blocks[i] = (blocks[i][0], mark)
     return blocks
 
 
-def common_blocks(a: list[int], b: list[int]) -> np.ndarray:
-    """Which entries of ``a`` lie on a longest common subsequence with ``b``.
 
-    One row of bits for each entry of ``a`` is kept, so memory is len(a) * len(b) / 8 bytes.
-    """
-    flags = np.zeros(len(a), bool)
+
+# Bits of rows that one alignment keeps at most; longer ones are split in two first.
+_KEPT_BITS = 1 << 26
+
+
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Rows of bits of the alignment of ``a`` and ``b``: zeros among the first j bits are the common length with b[:j]."""
     where: dict[int, int] = {}
     for j, value in enumerate(b):
         where[value] = where.get(value, 0) | (1 << j)
-    full = (1 << len(b)) - 1
-    rows, bits = [full], full
+    full = bits = (1 << len(b)) - 1
+    rows = [bits]
     for value in a:
         hit = bits & where.get(value, 0)
         bits = ((bits + hit) | (bits - hit)) & full
-        rows.append(bits)
+        if keep:
+            rows.append(bits)
+    return rows if keep else [bits]
+
+
+def _lengths(bits: int, count: int) -> np.ndarray:
+    """Zeros among the first 0, 1, … ``count`` bits."""
+    raw = np.frombuffer(bits.to_bytes(count // 8 + 1, "little"), np.uint8)
+    return np.r_[0, np.cumsum(1 - np.unpackbits(raw, bitorder="little")[:count].astype(np.int64))]
+
+
+def common_blocks(a: list[int], b: list[int]) -> np.ndarray:
+    """Which entries of ``a`` lie on a longest common subsequence with ``b``.
+
+    What the two share at their beginnings and ends is set aside. The rest keeps one row of bits for each entry of ``a``
+    up to ``_KEPT_BITS``; beyond that it is cut in two where the halves' common lengths add up to most, so memory stays
+    in proportion to the two lengths.
+    """
+    flags = np.zeros(len(a), bool)
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    flags[:head] = True
+    flags[len(a) - tail:] = True
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
+    if not a or not b:
+        return flags
+    if len(a) > 1 and len(a) * len(b) > _KEPT_BITS:
+        middle = len(a) // 2
+        before = _lengths(_rows(a[:middle], b, False)[0], len(b))
+        behind = _lengths(_rows(a[:middle - 1:-1], b[::-1], False)[0], len(b))[::-1]
+        cut = int(np.argmax(before + behind))
+        own = np.r_[common_blocks(a[:middle], b[:cut]), common_blocks(a[middle:], b[cut:])]
+    else:
+        own = _traced(a, b)
+    flags[head:head + len(a)] = own
+    return flags
+
+
+def _traced(a: list[int], b: list[int]) -> np.ndarray:
+    flags, rows = np.zeros(len(a), bool), _rows(a, b, True)
 
     def length(i, j):  # zeros among the first j bits
         return j - (rows[i] & ((1 << j) - 1)).bit_count()

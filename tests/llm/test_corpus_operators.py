@@ -300,6 +300,42 @@ def test_common_blocks_is_a_longest_common_subsequence():
         assert flags.sum() == lcs(a, b) and all(x in rest for x, f in zip(a, flags) if f)
 
 
+def test_common_blocks_in_little_memory(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(html_text, "_KEPT_BITS", 12)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        flags = html_text.common_blocks(a, b)
+        rest = iter(b)
+        assert flags.sum() == lcs(a, b) and all(x in rest for x, f in zip(a, flags) if f)
+
+
+def kept(body):
+    return [text for text, mark in html_text.page_blocks(page(body)) if mark != html_text.OTHER]
+
+
+@pytest.mark.parametrize("name", ["site has-sidebar", "header-fixed", "layout-no-sidebar", "sidebar-right", "content-sidebar with-banner", "page-header"])
+def test_names_of_wrappers_do_not_leave_out_the_article(name):
+    assert kept(f"<div class='{name}'><article><p>Main text.</p></article></div><div class='sidebar'>side</div>") == ["Main text."]
+    assert kept(f"<div class='{name}'><main><p>Main text.</p></main></div>") == ["Main text."]
+
+
+@pytest.mark.parametrize("part", [
+    "class='sidebar'", "class='comment-list'", "class='cookie-notice'", "class='related'", "id='comments'", "class='post-comments'",
+    "class='nav-links'", "class='ad_slot_3'", "class='share-buttons'", "class='x newsletter-box'",
+])
+def test_what_is_no_article_goes_inside_an_article_too(part):
+    inner = f"<div {part}><p>Other</p><article><p>A reader says one</p></article></div>" if "comment" in part or "related" in part else f"<div {part}><p>Other</p></div>"
+    assert kept(f"<article><p>Main text.</p>{inner}<p>End.</p></article>") == ["Main text.", "End."]
+    assert kept(f"<article><p>Main text.</p></article>{inner}") == ["Main text."]
+    assert kept("<article><section id='comments-section'><p>c</p></section><section id='search'><p>About searching</p></section></article>") == ["About searching"]
+
+
+def test_most_of_a_page_without_an_article_stays_whatever_its_name():
+    assert kept("<div class='sidebar'><p>All the words that this page has</p></div><p>short</p>") == ["All the words that this page has", "short"]
+    assert kept("<p>A few words</p><div class='comments'><p>Very many words of the readers</p></div>") == ["A few words"]
+
+
 def page(body):
     return f"<html><head><title>t</title></head><body><nav>menu</nav>{body}<footer>foot</footer></body></html>"
 
