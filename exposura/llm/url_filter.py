@@ -24,6 +24,7 @@ RULES = (
 )
 ORDER = 4
 HELD_OUT = 5  # one of so many labelled URLs calibrates
+HOT_GRAMS = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START, _STOP = "\u0002", "\u0003"
 
@@ -99,14 +100,14 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages(page_id, url)``: ``page_id, host, path, rule, verdict, score, threshold``.
 
     ``verdict`` is the rule's where one fits. Otherwise it is ``allow`` where the URL's score reaches the threshold;
-    ``score`` is null for URLs that a rule decides. A null URL, or one without ``://``, has an empty host and path and
-    is scored as an empty text. With no labelled URLs of one kind every score is compared with zero, and without
+    ``score`` is null for URLs that a rule decides. The models read whole URLs, query and fragment included. A null URL has
+    an empty host and path and is scored as an empty text; one without ``://`` has an empty host and path only. With no labelled URLs of one kind every score is compared with zero, and without
     any at all every score is zero. Equal URLs get equal scores; repeated rows give repeated rows; other columns are
     ignored; an empty table gives an empty result.
     """
     host, path = url_parts(F.col("url"))
-    parts = with_rule(pages.select("page_id", host.alias("host"), path.alias("path")))
-    text = F.concat("host", "path")
+    text = F.coalesce("url", F.lit(""))
+    parts = with_rule(pages.select("page_id", "url", host.alias("host"), path.alias("path")))
     keyed = parts.withColumns({"key_a": F.xxhash64(text), "key_b": F.xxhash64(F.lit("b"), text)})
     keys = ["key_a", "key_b"]
     distinct = materialize(keyed.select(*keys, "ruled", text.alias("text")).distinct())
@@ -119,9 +120,14 @@ def filter_urls(pages: DataFrame) -> DataFrame:
         _grams(distinct.where(F.col("ruled").isNull() | ~trains), *keys, "ruled")
         .groupBy(*keys, "ruled", "gram").agg(F.count(F.lit(1)).alias("times"))
     )
-    ratios = _log_ratios(materialize(counts), scored_grams.select("gram").distinct())
+    seen = materialize(scored_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("urls")))
+    ratios = materialize(_log_ratios(materialize(counts), seen.select("gram")).join(seen, "gram"))
+    # a gram of very many URLs is no join key; of those above one in HOT_GRAMS of all rows there are fewer than HOT_GRAMS
+    bound = scored_grams.count() // HOT_GRAMS
+    hot = F.broadcast(ratios.where(F.col("urls") > bound).select("gram", "ratio"))
+    rare = scored_grams.join(hot.select("gram"), "gram", "left_anti").join(ratios.where(F.col("urls") <= bound).select("gram", "ratio"), "gram")
     scores = materialize(
-        scored_grams.join(ratios, "gram").groupBy(*keys, "ruled")
+        scored_grams.join(hot, "gram").unionByName(rare).groupBy(*keys, "ruled")
         .agg((F.sum(F.col("times") * F.col("ratio")) / F.sum("times")).alias("score"))
     )
     rows = {r["ruled"]: r for r in scores.where("ruled is not null").groupBy("ruled").agg(

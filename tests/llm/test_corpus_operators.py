@@ -404,7 +404,7 @@ def url_verdicts(rows):
     return out
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     rng = random.Random(7)
     hosts = ["www.example.com", "a.example.com", "EXAMPLE.com", "shop.net", "news.org", "spam-farm.org", "com", "xcom", "casino.net", "example.com:80"]
     paths = ["/en/1", "/es/2?x=/en/", "/fr/3#a", "", "?q", "/EN/", "/en", "/de/page"]
@@ -413,13 +413,19 @@ def test_url_filter(spark):
     out = {r.page_id: r for r in url_filter.filter_urls(clashing(spark.createDataFrame(rows, "page_id long, url string"))).collect()}
     expected = url_verdicts(rows)
     assert [(i, out[i].host, out[i].path, out[i].rule) for i, *_ in rows] == [e[:4] for e in expected]
-    scores = model_scores([(h + p, v) for _, h, p, _, v in expected])
+    urls = {i: url or "" for i, url in rows}
+    scores = model_scores([(urls[i], e[4]) for i, e in zip(urls, expected)])
     for i, host, path, _, verdict in expected:
         if verdict:
             assert out[i].verdict == verdict and out[i].score is None
         else:
-            assert math.isclose(out[i].score, scores[host + path], rel_tol=1e-9, abs_tol=1e-12)
+            assert math.isclose(out[i].score, scores[urls[i]], rel_tol=1e-9, abs_tol=1e-12)
             assert out[i].verdict == ("allow" if out[i].score >= out[i].threshold else "block")
+    queries = [urls[i] for i, _, _, _, v in expected if not v and "?" in urls[i]]
+    assert len({scores[u] for u in queries}) == len(set(queries)) > 3  # what stands behind the path counts
+    monkeypatch.setattr(url_filter, "HOT_GRAMS", 10)  # the same when frequent grams are joined apart
+    again = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(again[i].verdict == out[i].verdict and (again[i].score is None or math.isclose(again[i].score, out[i].score)) for i in out)
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
     lone = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")).collect()
     assert lone[0].verdict == "allow" and lone[0].score == 0
