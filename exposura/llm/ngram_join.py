@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from exposura.llm.components import components
+from exposura.llm.ordering import join_unique
 from exposura.llm.text_kernel import distinct_per_row, mix, released, row_lists, shingle_names, slices, word_names
 from exposura.session import materialize
 
@@ -338,10 +339,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     profile = materialize(profiles(docs, counts, words, percent))
     known = profile.where("doc_id is not null and n_shingles > 0")
     same_set = known.groupBy("n_shingles", "name_a", "name_b").agg(F.min("doc_id").alias("leader"))
-    member = materialize(
-        known.select("doc_id", "n_shingles", "name_a", "name_b").join(same_set, ["n_shingles", "name_a", "name_b"])
-        .select("doc_id", "n_shingles", "leader")
-    )
+    sets = materialize(known.select("doc_id", "n_shingles", "name_a", "name_b"))
+    member = materialize(join_unique(sets, same_set, ["n_shingles", "name_a", "name_b"]).select("doc_id", "n_shingles", "leader"))
     leaders = member.where("doc_id = leader").select("doc_id", "n_shingles").distinct()
     leads = known.select("doc_id", "n_shingles", "lead").join(
         member.where("doc_id = leader").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"]
@@ -349,7 +348,12 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     sets_of_candidates = components(candidate_pairs(leads, percent))
     grouped = leaders.join(sets_of_candidates, leaders["doc_id"] == sets_of_candidates["id"]).select("doc_id", "n_shingles", "component")
     links = materialize(verified_links(docs, materialize(grouped), words, percent))
-    copies = member.where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    labels = components(links.unionByName(copies))
-    out = profile.select("doc_id", "n_shingles").join(labels, profile["doc_id"] == labels["id"], "left")
+    # copies follow their leader afterwards; only a doc_id with several sets ties leaders together
+    ids = materialize(member.select("doc_id", "leader").distinct())
+    least = ids.groupBy("doc_id").agg(F.min("leader").alias("least"), F.count(F.lit(1)).alias("sets"))
+    ties = join_unique(ids, least.where("sets > 1"), ["doc_id"]).where("leader != least")
+    labels = components(links.unionByName(ties.select(F.col("leader").alias("a"), F.col("least").alias("b"))))
+    led = materialize(least.select("doc_id", F.col("least").alias("id")))
+    found = join_unique(led, labels, ["id"], "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    out = join_unique(profile.select("doc_id", "n_shingles"), found, ["doc_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

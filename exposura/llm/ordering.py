@@ -28,3 +28,24 @@ def with_place(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str]
     rows = max(slice_rows, stored.count() // MOST_SLICES)
     placed = running_totals(stored, F.col(f"`{order}`"), {name: F.lit(1)}, list(group), rows, [*ties, "_row"], stored=True)
     return placed.withColumn(name, F.col(name).cast("long")).drop("_row", "_group")
+
+
+# Keys that hold more than one in so many rows are joined apart; there are fewer than that of them.
+HOT_KEYS = 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, keys: Sequence[str], how: str = "inner", hot_keys: int | None = None) -> DataFrame:
+    """``rows`` joined with ``unique``, which has at most one row for each of ``keys``; how: inner, left or left_semi.
+
+    Rows of a key with more than its ``1 / hot_keys`` of all rows stay where they are and meet their partner by broadcast:
+    fewer than ``hot_keys`` rows, whatever the size. All other rows are joined by shuffle. ``rows`` is read several times
+    and has to be a stored table.
+    """
+    keys, share = list(keys), hot_keys or HOT_KEYS
+    counts = rows.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.where(F.col("_n") > rows.count() // share).select(*keys))
+    if hot.isEmpty():
+        return rows.join(unique, keys, how)
+    few = F.broadcast(hot)
+    apart = rows.join(few, keys, "left_semi").join(F.broadcast(unique.join(few, keys, "left_semi")), keys, how)
+    return rows.join(few, keys, "left_anti").join(unique, keys, how).unionByName(apart)

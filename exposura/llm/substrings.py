@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from exposura.llm.ordering import join_unique
 from exposura.llm.text_kernel import mix, prefix_names, released, slices, span_names
 from exposura.session import materialize
 
@@ -277,13 +278,13 @@ def repeated_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     every = materialize(find_runs(docs, length, anchor))
     # most anchors occur once; their runs need no further look
     live = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    runs = materialize(every.join(live, "anchor", "left_semi"))
+    runs = materialize(join_unique(every, live, ["anchor"], "left_semi"))
     counted = materialize(runs.groupBy("anchor", "run").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "more", "back")).alias("copy")
     ))
     several = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
     several = several.withColumn("parts", F.ceil(F.col("runs") / PART_RUNS))
-    asked = counted.join(several, "anchor").select(
+    asked = join_unique(counted, several, ["anchor"]).select(
         "copy.row", F.struct(
             "anchor", "run", F.pmod(F.xxhash64("run"), F.col("parts")).alias("part"), "copy.first", "copy.more", "copy.back", (F.col("parts") > 1).alias("cut"),
         ).alias("one"),
