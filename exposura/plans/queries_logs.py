@@ -8,7 +8,7 @@ from exposura.functions.columns import primary_category
 from exposura.operators import audit, contexts, splits
 from exposura.plans import views as v
 from exposura.plans.registry import query
-from exposura.sources import artifacts, impressions as source
+from exposura.sources import artifacts, files, impressions as source
 
 LOG_COLUMNS = (
     "user_id", "item_id", "timestamp_ms", "date", "tab", "long_view", "is_click", "is_like", "is_follow", "is_comment",
@@ -28,14 +28,30 @@ def load_impressions(spark, folder):
     return result.select(*LOG_COLUMNS)
 
 
-@query("file_summary")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def _files_sql() -> str:
+    return " union all ".join(
+        f"select '{t}.parquet' as file, 'parquet' as kind, (select string_agg(column_name, ',') from (describe {t})) as header, "
+        f"(select count(*) from {t}) as records" for t in TABLES
+    )
+
+
+@query("file_summary", f"select * from ({_files_sql()})")
 def file_summary(spark, folder):
-    return source.file_summary(spark.read.parquet(f"{folder}/events.parquet"))
+    """Headers and record counts of all given tables, read off the files one by one."""
+    report = files.file_report(spark, folder)
+    return report.where(F.col("file").isin(*[f"{t}.parquet" for t in TABLES])).select(
+        "file", "kind", F.array_join("header", ",").alias("header"), "records"
+    )
 
 
 @query("artifact_manifest")
 def artifact_manifest(spark, folder):
-    return artifacts.artifact_manifest(spark, f"{folder}/*.parquet")
+    return artifacts.artifact_manifest(spark, folder)
 
 
 @query("split_manifest", "select user_id, item_id, timestamp_ms, date, is_random, source_log, split from split_log")

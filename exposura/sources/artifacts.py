@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from exposura.sources.files import file_report
+
 DOMAINS = ("standard", "randomized")
 
 
@@ -19,9 +21,8 @@ def write_metrics(metrics: DataFrame, path: str, file_format: str = "json") -> N
 
 
 def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, bytes and sha256 of every file under ``path``; files are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, bytes and sha256 of every file under ``path``; each is hashed in pieces by the task that reads it."""
+    return file_report(spark, path).select("path", "bytes", "sha256")
 
 
 def union_results(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Loading, splits, contexts and history rules on hand-made rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from exposura.functions.checks import require_unique, standard_only
 from exposura.functions.columns import primary_category
 from exposura.operators import audit, contexts, history, popularity, splits
-from exposura.sources import artifacts, impressions as source
+from exposura.sources import artifacts, files, impressions as source
 from tests.conftest import rows
 
 BOUNDS = splits.SplitBounds(20220421, (20220422, 20220428), (20220429, 20220508), (20220422, 20220508), 20220428, 20220429)
@@ -203,3 +205,31 @@ def test_stored_splits_are_checked_once_and_prune_folders(spark):
     assert splits.require_domain_slices(sliced) is sliced
     with pytest.raises(ValueError, match="adaptation"):
         splits.require_domain_slices(sliced.where("domain_slice = 'holdout'"))
+
+
+@pytest.mark.parametrize("piece", [8 << 20, 7])
+def test_files_are_reported_in_bounded_pieces(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(files, "PIECE", piece)
+    texts = {
+        "a.csv": 'user,"the item",x\n1,"two\nlines, and ""quotes""",3\n4,5,6', "b/c.csv": "u;v\n1;2\n\n", "empty.csv": "",
+        "d.jsonl": '{"a": 1}\n{"a": 2}\n', "e.bin": "\x00" * 100, "_SUCCESS": "", "head.tsv": "only\theader",
+    }
+    for name, text in texts.items():
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, newline="")
+    spark.range(5).selectExpr("id", "array(id) as `second one`").coalesce(1).write.parquet(str(tmp_path / "in" / "p"))
+    out = {name: files.read_file(str(tmp_path / "in" / name), 0) for name in texts if name != "_SUCCESS"}
+    for name, row in out.items():
+        assert row[2] == len(texts[name].encode()) and row[3] == hashlib.sha256(texts[name].encode()).hexdigest()
+    assert {n: r[4:] for n, r in out.items()} == {
+        "a.csv": ("csv", ["user", "the item", "x"], 2), "b/c.csv": ("csv", ["u;v"], 2), "empty.csv": ("csv", [], 0),
+        "d.jsonl": ("lines", None, 2), "e.bin": ("other", None, None), "head.tsv": ("csv", ["only", "header"], 0),
+    }
+    report = files.file_report(spark, str(tmp_path / "in")).collect()
+    assert {r.file for r in report if r.kind != "parquet"} == {n.rsplit("/")[-1] for n in out}
+    assert [(r.header, r.records) for r in report if r.kind == "parquet"] == [(["id", "second one"], 5)]
+    assert spark.read.format(files.FORMAT).load(str(tmp_path / "in")).rdd.getNumPartitions() == len(report)
+    (tmp_path / "none").mkdir()
+    assert files.file_report(spark, str(tmp_path / "none")).collect() == []
+    assert files.file_report(spark, "file:" + str(tmp_path / "in" / "a.csv")).first().records == 2
