@@ -423,13 +423,49 @@ def stream_log_audit(spark, folder):
 
 
 @query("stream_quarantine", """
-select is_random, source_log, count(*) as rows from impressions where source_log <> 'random' or is_random = 1 group by all""")
+select case when is_random = expected then 'valid' else 'rejected' end as sink, is_random, expected as expected_random, count(*) as rows
+from (select is_random, cast(event_id % 3 = 0 as int) as expected from impressions) group by all""")
 def stream_quarantine(spark, folder):
-    """Valid rows that a drained stream wrote past the policy check."""
+    """Both sinks of a drained stream. Logs announce every third event as random, also before the random policy began."""
     path, schema = _stream_source(spark, folder)
     stream = log_stream.read_log_stream(spark, path, schema)
-    good = log_stream.drain_valid(stream.withColumn("expected_random", (F.col("source_log") == "random").cast("int")))
-    return good.groupBy("is_random", "source_log").agg(F.count(F.lit(1)).alias("rows"))
+    parts = log_stream.drain_parts(stream.withColumn("expected_random", (F.col("event_id") % 3 == 0).cast("int")))
+    return parts.groupBy("sink", "is_random", "expected_random").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("stream_sessions", f"""
+, g as (
+  select user_id, timestamp_ms, long_view,
+    case when timestamp_ms - lag(timestamp_ms) over w <= {v.GAP_MINUTES} * 60000 then 0 else 1 end as starts
+  from impressions window w as (partition by user_id order by timestamp_ms, item_id))
+, s as (select *, sum(starts) over (partition by user_id order by timestamp_ms rows unbounded preceding) as session from g)
+select user_id, min(timestamp_ms) as started_ms, max(timestamp_ms) as ended_ms, count(*) as rows, cast(sum(long_view) as bigint) as positives
+from s group by user_id, session""")
+def stream_sessions(spark, folder):
+    """Sessions of a drained stream; the SQL states the batch rule."""
+    path, schema = _stream_source(spark, folder)
+    return log_stream.run_to_table(log_stream.streaming_sessions(log_stream.read_log_stream(spark, path, schema), v.GAP_MINUTES), "complete")
+
+
+@query("stream_distinct_counts", """
+select source_log, rows, users, items, true as users_close, true as items_close
+from (select source_log, count(*) as rows, count(distinct user_id) as users, count(distinct item_id) as items from impressions group by all)""")
+def stream_distinct_counts(spark, folder):
+    """Daily sketches of a drained stream, merged per log, beside exact counts: within five standard errors, 8 %."""
+    path, schema = _stream_source(spark, folder)
+    stream = log_stream.read_log_stream(spark, path, schema)
+    daily = log_stream.run_to_table(log_stream.streaming_sketches(stream, ["source_log", "date"]), "complete")
+    exact = v.impressions(spark, folder).groupBy("source_log").agg(
+        F.count_distinct("user_id").alias("exact_users"), F.count_distinct("item_id").alias("exact_items")
+    )
+
+    def close(name):
+        return F.abs(F.col(name) - F.col(f"exact_{name}")) <= 0.08 * F.col(f"exact_{name}")
+
+    return log_stream.merged_counts(daily, ["source_log"]).join(exact, "source_log").select(
+        "source_log", "rows", F.col("exact_users").alias("users"), F.col("exact_items").alias("items"),
+        close("users").alias("users_close"), close("items").alias("items_close"),
+    )
 
 
 def _stream_source(spark, folder):

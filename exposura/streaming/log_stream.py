@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -44,15 +45,43 @@ def start_quarantine(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def streaming_sessions(log: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Event-time sessions per user.
+# Of 2**12 registers: a standard error of about 1.6 %.
+SKETCH_BITS = 12
 
-    The boundary differs from the batch rule by one instant: a gap of exactly the limit ends a session here.
+
+def streaming_sketches(log: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+    """Rows and sketches of the distinct users and items of every group, such as a day; state is one row per group.
+
+    Sketches of groups merge without their rows: see ``merged_counts``.
+    """
+    return log.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg("user_id", F.lit(SKETCH_BITS)).alias("users"),
+        F.hll_sketch_agg("item_id", F.lit(SKETCH_BITS)).alias("items"),
+    )
+
+
+def merged_counts(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and estimated distinct users and items of groups of sketches, or of all of them."""
+    return sketches.groupBy(*by).agg(
+        F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"),
+        F.hll_sketch_estimate(F.hll_union_agg("items")).alias("items"),
+    )
+
+
+def streaming_sessions(log: DataFrame, max_gap_minutes: int = 30, delay: str = "1 hour") -> DataFrame:
+    """Event-time sessions per user by the batch rule: a gap longer than the limit ends a session, one of exactly it does not.
+
+    Session windows that touch are merged, so a window as long as the limit is right. In append mode a session is written
+    once the watermark has passed it.
     """
+    if max_gap_minutes <= 0:
+        raise ValueError("a session needs a gap above zero")
     timed = log.withColumn("ts", F.timestamp_millis("timestamp_ms"))
-    return timed.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("long_view").alias("positives")
-    ).select("user_id", F.col("session.start").alias("started"), F.col("session.end").alias("ended"), "rows", "positives")
+    window = F.session_window("ts", f"{max_gap_minutes} minutes")
+    return timed.withWatermark("ts", delay).groupBy("user_id", window.alias("session")).agg(
+        F.min("timestamp_ms").alias("started_ms"), F.max("timestamp_ms").alias("ended_ms"),
+        F.count(F.lit(1)).alias("rows"), F.sum("long_view").alias("positives"),
+    ).drop("session")
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
@@ -67,8 +96,12 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{folder}/result")
 
 
-def drain_valid(log: DataFrame) -> DataFrame:
-    """Run the quarantine over what is there now and return the rows that passed."""
+def drain_parts(log: DataFrame) -> DataFrame:
+    """Run the quarantine over what is there now; all rows of both sinks, told apart by ``sink`` (valid, rejected)."""
     folder = f"{shared_folder(log.sparkSession)}/exposura-stream-{uuid.uuid4().hex}"
     start_quarantine(log, f"{folder}/good", f"{folder}/bad", f"{folder}/state").awaitTermination()
-    return log.sparkSession.read.parquet(f"{folder}/good")
+    parts = [
+        log.sparkSession.read.schema(log.schema).parquet(f"{folder}/{name}/*").withColumn("sink", F.lit(sink))
+        for name, sink in (("good", "valid"), ("bad", "rejected"))
+    ]
+    return parts[0].unionByName(parts[1])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from exposura.operators import bootstrap, density, negatives, ope, ranker, weights as wt
+from exposura.operators import bootstrap, contexts, density, negatives, ope, ranker, weights as wt
 from exposura.sources import bandit as source, embeddings
 from exposura.streaming import log_stream
 from tests.conftest import rows
@@ -255,6 +255,25 @@ def test_stream_quarantine_and_sessions(spark, tmp_path):
     assert rows(spark.table("sessions"), "user_id", "rows") == [(1, 2), (2, 1), (2, 1)]
 
 
+def test_stream_sessions_are_the_batch_sessions(spark, tmp_path):
+    limit, rng = 30 * 60_000, random.Random(4)
+    data, at = [], 0
+    for i in range(120):
+        at += rng.choice((limit, limit + 1, limit - 1, 5, 0))  # a gap of exactly the limit does not end a session
+        data.append((i % 3 and 1, i, at, i % 2))
+    frame = spark.createDataFrame(data, "user_id long, item_id long, timestamp_ms long, long_view int")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = log_stream.read_log_stream(spark, f"{tmp_path}/in", frame.schema)
+    found = log_stream.run_to_table(log_stream.streaming_sessions(stream, 30), "complete")
+    batch = contexts.ranking_contexts(frame, 30, 10_000).groupBy("user_id", "context_id").agg(
+        F.min("timestamp_ms").alias("started_ms"), F.max("timestamp_ms").alias("ended_ms"), F.count("*").alias("rows"), F.sum("long_view").alias("positives")
+    ).drop("context_id")
+    assert rows(found, *batch.columns) == rows(batch) and found.count() > 10
+    daily = log_stream.run_to_table(log_stream.streaming_sketches(stream, ["long_view"]), "complete")
+    total = log_stream.merged_counts(daily).first()
+    assert total.rows == 120 and total.users == 2 and abs(total["items"] - 120) <= 6
+
+
 def test_every_category_level_keeps_its_own_weight(spark):
     """More levels than any fixed list would hold; nulls count as the most frequent level, unseen levels have no effect."""
     schema = "user_id long, item_id long, timestamp_ms long, tab int"
