@@ -14,8 +14,9 @@ from exposura.functions.columns import l2_normalize, uniform_hash
 from exposura.operators.contexts import context_starts, ranking_contexts
 from exposura.operators.popularity import pair_score
 
-# Rows of one side that a single task holds as a dense matrix, and the score tile it works on.
+# Rows and cells of one side that a single task holds as a dense matrix, and the score tile it works on.
 MAX_BLOCK_ROWS = 262_144
+MAX_BLOCK_CELLS = 16_777_216
 MIN_CHUNK_ROWS = 1_024
 TILE_CELLS = 8_000_000
 
@@ -62,8 +63,9 @@ def topk_within(
 
     def blocks(table: DataFrame, name: str, minimum: Column) -> DataFrame:
         rows = F.count(F.lit(1))
+        cells = rows * F.coalesce(F.max(F.size("_vector")), F.lit(1))
         return table.groupBy(*keys).agg(
-            F.greatest(F.ceil(rows / max_block_rows), F.least(minimum, F.ceil(rows / MIN_CHUNK_ROWS)))
+            F.greatest(F.ceil(rows / max_block_rows), F.ceil(cells / MAX_BLOCK_CELLS), F.least(minimum, F.ceil(rows / MIN_CHUNK_ROWS)))
             .cast("int").alias(name)
         )
 

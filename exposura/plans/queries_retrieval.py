@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from exposura.operators import candidates as cand, popularity as pop, ranker, ranking_metrics as rm, retrieval
+from exposura.operators import candidates as cand, inverted_lists, popularity as pop, ranker, ranking_metrics as rm, retrieval
 from exposura.plans import views as v, workflows
 from exposura.plans.queries_features import AGGREGATES_SQL, PRIOR_SQL
 from exposura.plans.registry import query
@@ -323,6 +323,47 @@ def ann_recall(spark, folder):
     return retrieval.retrieval_recall(exact, found, 50)
 
 
+LISTS, LIST_ITERATIONS, PROBES = 16, 2, (1, 2, 4, 8, 12, 16)
+
+
+def _lists_sql() -> str:
+    """K-means of the item vectors, spelled out step by step, and every vector's lists by nearness."""
+    def nearest(rows: str, centroids: str) -> str:
+        return f"""select r.{rows[:4]}_id, c.list_id, row_number() over (partition by r.{rows[:4]}_id order by
+    list_dot_product(r.embedding, c.centroid) - list_dot_product(c.centroid, c.centroid) / 2 desc, c.list_id) as list_rank
+  from {rows} r, {centroids} c"""
+
+    steps = f"""
+, c0 as (select row_number() over (order by u, item_id) - 1 as list_id, embedding as centroid
+  from (select *, {v.u("item_id", "'list'", "'42'")} as u from item_vectors) order by u, item_id limit {LISTS})"""
+    for i in range(LIST_ITERATIONS):
+        steps += f"""
+, a{i} as (select * from ({nearest("item_vectors", f"c{i}")}) where list_rank = 1)
+, m{i} as (select list_id, list(x order by p) as mean from (
+    select list_id, p, avg(embedding[p]) as x from a{i} join item_vectors using (item_id), (select unnest(range(1, 65)) as p) group by list_id, p) group by list_id)
+, c{i + 1} as (select list_id, coalesce(mean, centroid) as centroid from c{i} left join m{i} using (list_id))"""
+    return steps + f"""
+, held as (select * from ({nearest("item_vectors", f"c{LIST_ITERATIONS}")}) where list_rank = 1)
+, asked as ({nearest("user_vectors", f"c{LIST_ITERATIONS}")})"""
+
+
+@query("ann_sweep", EXACT_SQL + _lists_sql() + f"""
+, sizes as (select list_id, count(*) as size from held group by list_id)
+, probes as (select unnest({list(PROBES)}) as nprobe)
+, cost as (select nprobe, count(distinct user_id) as queries, cast(sum(coalesce(size, 0)) as bigint) as rows_scanned
+  from probes join asked on list_rank <= nprobe left join sizes using (list_id) group by nprobe)
+, seen as (
+  select nprobe, e.user_id, e.item_id, e.retrieval_rank, row_number() over (partition by nprobe, e.user_id order by e.retrieval_rank) as r
+  from exact e join held h on h.item_id = e.item_id join asked a on a.user_id = e.user_id and a.list_id = h.list_id join probes on a.list_rank <= nprobe)
+, hits as (select nprobe, sum(case when r <= 50 and retrieval_rank <= 50 then 1 else 0 end) / 50.0::double / count(distinct user_id) as recall from seen group by nprobe)
+select nprobe, queries, rows_scanned, R6(recall) as recall_at_k, R6(rows_scanned / (queries * (select count(*) from item_vectors))) as share
+from cost join hits using (nprobe)""")
+def ann_sweep(spark, folder):
+    users, items = v.user_vectors(spark, folder), v.item_vectors(spark, folder)
+    centroids = inverted_lists.fit_lists(items, LISTS, LIST_ITERATIONS)
+    return inverted_lists.ann_sweep(users, items, centroids, retrieval.exact_topk(users, items, 50), 50, PROBES)
+
+
 @query("replicate_corpus", f"""
 , copies as (
   select item_id + replica * (select max(item_id) + 1 from item_vectors) as new_id, replica, embedding

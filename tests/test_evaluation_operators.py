@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exposura.operators import candidates as cand, popularity as pop, probability as prob, ranking_metrics as rm, reports, rerank, retrieval
+from exposura.operators import candidates as cand, inverted_lists, popularity as pop, probability as prob, ranking_metrics as rm, reports, rerank, retrieval
 from exposura.plans import workflows
 from tests.conftest import rows
 
@@ -205,3 +205,30 @@ def test_terciles_are_cut_in_each_group_and_empty_cohorts_stay(spark):
     report = reports.user_cohort_report(lists, train, (5,), by=["domain"]).collect()
     assert sorted((r.domain, r.cohort) for r in report) == [(d, c) for d in "ab" for c in ("high", "low", "medium")]
     assert all(r.eligible_groups == 0 and r.ndcg is None and r.users == 2 for r in report if r.cohort != "low")
+
+
+def test_inverted_lists_trade_recall_for_rows(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 1, (12, 8))
+    items = centers[rng.integers(0, 12, 600)] + rng.normal(0, 0.15, (600, 8))
+    users = centers[rng.integers(0, 12, 40)] + rng.normal(0, 0.15, (40, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(users)], "user_id long, embedding array<double>")
+    centroids = inverted_lists.fit_lists(frame, 12, 6)
+    assert np.allclose(centroids, inverted_lists.fit_lists(frame.repartition(2), 12, 6))
+    exact = retrieval.exact_topk(asked, frame, 10)
+    sweep = {r.nprobe: r for r in inverted_lists.ann_sweep(asked, frame, centroids, exact, 10, (1, 4, 12, 99)).collect()}
+    assert sorted(sweep) == [1, 4, 12] and all(r.queries == 40 for r in sweep.values())
+    assert sweep[12].recall_at_k == 1 and sweep[12].rows_scanned == 40 * 600 and sweep[12].share == 1
+    assert sweep[4].recall_at_k >= 0.9 and sweep[4].share < 0.6 and sweep[1].rows_scanned < sweep[4].rows_scanned
+    found = inverted_lists.search_lists(asked, frame, centroids, 10, 4)
+    assert retrieval.retrieval_recall(exact, found, 10).first().recall_at_k == pytest.approx(sweep[4].recall_at_k)
+    whole = inverted_lists.search_lists(asked, frame, centroids, 10, 12)
+    assert rows(whole.select("user_id", "item_id", "retrieval_rank")) == rows(exact.select("user_id", "item_id", "retrieval_rank"))
+    own = inverted_lists.nearest_lists(frame, centroids).collect()
+    for r in own[:50]:
+        assert r.list_id == int(((np.array(r.embedding) - centroids) ** 2).sum(axis=1).argmin()) and r.list_rank == 1
+    few = frame.limit(3)
+    assert len(inverted_lists.fit_lists(few, 12)) == 3
+    with pytest.raises(ValueError, match="no items"):
+        inverted_lists.fit_lists(frame.limit(0), 4)
