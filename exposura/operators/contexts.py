@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -121,3 +122,26 @@ def context_starts(rows: DataFrame) -> DataFrame:
     """The earliest row of every context: candidates are fetched as of the context's beginning."""
     first = Window.partitionBy("context_id").orderBy("timestamp_ms", "item_id")
     return rows.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1).drop("_first")
+
+
+def window_size_report(
+    log: DataFrame, sizes: Sequence[int] = (10, 20, 50), max_gap_minutes: int = 30, min_rows: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Contexts, rows and contexts with a positive among two rows or more, for each window size, from one session pass.
+
+    Rows are added up over stretches as long as the sizes' greatest common divisor; windows are made of those.
+    """
+    if not sizes or min(sizes) < 1:
+        raise ValueError("window sizes are above zero")
+    unit = gcd(*sizes)
+    session = F.regexp_replace("context_id", ":[^:]*$", "")  # user and session; the window number is dropped
+    stretches = ranking_contexts(log, max_gap_minutes, unit, min_rows=min_rows).groupBy(
+        session.alias("session"), F.floor(F.col("session_position") / unit).alias("part")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("long_view").alias("p"))
+    windows = stretches.withColumn("window_size", F.explode(F.array(*[F.lit(s) for s in sorted(set(sizes))]))).groupBy(
+        "window_size", "session", F.floor(F.col("part") * unit / F.col("window_size")).alias("window")
+    ).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    return windows.groupBy("window_size").agg(
+        F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("rows"),
+        F.count_if((F.col("n") >= 2) & (F.col("p") > 0)).alias("eligible_contexts"),
+    )

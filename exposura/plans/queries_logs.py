@@ -263,17 +263,7 @@ per as (select window_size, context_id, count(*) as n, sum(long_view) as p from
 select window_size, count(*) as contexts, cast(sum(n) as bigint) as rows, count(*) filter (n >= 2 and p > 0) as eligible_contexts from per group by window_size""")
 def context_window_sensitivity(spark, folder):
     log = v.split_log(spark, folder).where("split = 'standard_test'")
-    result = None
-    for size in (10, 20, 50):
-        per = contexts.ranking_contexts(log, v.GAP_MINUTES, size).groupBy("context_id").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("long_view").alias("p")
-        )
-        row = per.agg(
-            F.lit(size).alias("window_size"), F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("rows"),
-            F.count_if((F.col("n") >= 2) & (F.col("p") > 0)).alias("eligible_contexts"),
-        )
-        result = row if result is None else result.unionByName(row)
-    return result
+    return contexts.window_size_report(log, (10, 20, 50), v.GAP_MINUTES)
 
 
 @query("sample_contexts", f"""

@@ -39,9 +39,10 @@ def bandit_audit(rounds: DataFrame, n_actions: int) -> DataFrame:
 
 
 def checked_bandit(rounds: DataFrame, n_actions: int) -> DataFrame:
-    """The rounds themselves; a row that breaks a rule raises when it is read."""
+    """The rounds themselves; a row that breaks a rule, or whose context is wider than another's, raises when it is read."""
     require_columns(rounds, REQUIRED, "bandit feedback")
-    result = rounds
+    narrowest = rounds.agg(F.min(F.size("context")).alias("n")).scalar()
+    result = enforce(rounds, F.size("context") == narrowest, "bandit feedback: contexts of more than one width")
     for name, violated in _rules(n_actions).items():
         result = enforce(result, ~violated, f"bandit feedback: {name}")
     return result

@@ -233,3 +233,14 @@ def test_files_are_reported_in_bounded_pieces(spark, tmp_path, monkeypatch, piec
     (tmp_path / "none").mkdir()
     assert files.file_report(spark, str(tmp_path / "none")).collect() == []
     assert files.file_report(spark, "file:" + str(tmp_path / "in" / "a.csv")).first().records == 2
+
+
+def test_window_sizes_from_one_session_pass(spark):
+    data = [(u, i, i * 1000 + (i // 17) * 10_000_000, int((u + i) % 9 == 0)) for u in range(4) for i in range(60)]
+    log = spark.createDataFrame(data, "user_id long, item_id long, timestamp_ms long, long_view int")
+    found = {r.window_size: tuple(r) for r in contexts.window_size_report(log, (4, 10, 6)).collect()}
+    for size in (4, 6, 10):
+        per = contexts.ranking_contexts(log, 30, size).groupBy("context_id").agg(F.count("*").alias("n"), F.sum("long_view").alias("p")).collect()
+        assert found[size] == (size, len(per), 240, sum(r.n >= 2 and r.p > 0 for r in per))
+    with pytest.raises(ValueError):
+        contexts.window_size_report(log, (5, 0))

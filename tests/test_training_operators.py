@@ -402,3 +402,10 @@ def test_hard_negatives_serve_every_target_that_any_item_is_left_for(spark, dept
         expected += [(u, i, t, left[0][1], left[0][0])] if left else []
     assert sorted(map(tuple, out)) == sorted(expected)
     assert sum(r.user_id == 4 for r in out) == 11 and sum(r.user_id == 5 for r in out) == 11
+
+
+def test_contexts_of_two_widths_are_refused(spark):
+    rounds = spark.createDataFrame([(0, [0.0], 0, 1.0, 0.5), (1, [0.0, 1.0], 1, 1.0, 0.5)], BANDIT)
+    with pytest.raises(Exception, match="more than one width"):
+        source.checked_bandit(rounds, 3).collect()
+    assert source.checked_bandit(rounds.limit(1), 3).count() == 1
