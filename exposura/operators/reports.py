@@ -108,9 +108,12 @@ def item_cohorts(train: DataFrame, min_rows: int = ROWS_PER_TASK) -> DataFrame:
 
 
 def item_cohort_report(
-    predictions: DataFrame, train: DataFrame, k_values: Sequence[int] = (5, 10, 20), by: Sequence[str] = ()
+    predictions: DataFrame, train: DataFrame, k_values: Sequence[int] = (5, 10, 20), by: Sequence[str] = (), min_items: int = 0
 ) -> DataFrame:
-    """Traffic, recommendation share and recall per item popularity cohort, one row per cohort and k."""
+    """Traffic, recommendation share and recall per item popularity cohort, one row per cohort and k.
+
+    ``small`` marks cohorts of fewer than ``min_items`` items.
+    """
     by = list(by)
     top_k = max(k_values)
     work = predictions.join(item_cohorts(train), "item_id", "left").withColumns(
@@ -164,7 +167,8 @@ def item_cohort_report(
         for k in k_values
     ]
     return full.select(
-        *by, F.col("item_cohort").alias("cohort"), "catalog_items", "rows", "interaction_share", "positive_rate",
+        *by, F.col("item_cohort").alias("cohort"), "catalog_items", (F.col("catalog_items") < min_items).alias("small"), "rows",
+        "interaction_share", "positive_rate",
         "recommended_share", "average_training_exposure", F.explode(F.array(*at_k)).alias("_m"),
     ).select("*", "_m.*").drop("_m")
 
@@ -256,6 +260,23 @@ def js_calibration(recommendations: DataFrame, profiles: DataFrame, k: int = 10,
     ).withColumn("k", F.lit(k))
 
 
+def item_age_report(rows: DataFrame, train: DataFrame, edges_days: Sequence[int] = (1, 3, 7)) -> DataFrame:
+    """Items, rows and positive rate by the age of the row's item: days since its first training row, ``unseen`` without one.
+
+    Ages fall into ``<a``, ``<b``, … of the ascending edges, and ``older``. Rows from before an item's first training row count
+    as its youngest.
+    """
+    first = train.groupBy("item_id").agg(F.min("timestamp_ms").alias("_first"))
+    days = F.floor((F.col("timestamp_ms") - F.col("_first")) / 86_400_000)
+    name = F.lit("older")
+    for edge in sorted(edges_days, reverse=True):
+        name = F.when(days < edge, f"<{edge}").otherwise(name)
+    aged = rows.join(first, "item_id", "left").withColumn("age", F.when(F.col("_first").isNull(), "unseen").otherwise(name))
+    return aged.groupBy("age", "item_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("long_view").alias("_p")).groupBy("age").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("_n").alias("rows"), (F.sum("_p") / F.sum("_n")).alias("positive_rate")
+    )
+
+
 def history_depth_report(rows: DataFrame, train: DataFrame, low_below: int = 20) -> DataFrame:
     """Users, rows and positive rate by training-history depth: zero, low, mature."""
     depth = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_history"))

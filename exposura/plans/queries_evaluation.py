@@ -139,12 +139,21 @@ def item_cohorts(spark, folder):
     count(distinct (context_id, item_id)) filter (long_view = 1) as pairs from work group by model, domain, cohort)
 , at_k as (select model, domain, cohort, k, count(*) filter (rank <= k) as at_k,
     count(distinct (context_id, item_id)) filter (long_view = 1 and rank <= k) as hits from work, ks group by model, domain, cohort, k)
-select model, domain, cohort, catalog_items, rows, R6(rows / sum(rows) over w) as interaction_share, R6(positive_rate) as positive_rate,
+select model, domain, cohort, catalog_items, catalog_items < 12 as small, rows, R6(rows / sum(rows) over w) as interaction_share, R6(positive_rate) as positive_rate,
   R6(shown / greatest(sum(shown) over w, 1)) as recommended_share, R6(coalesce(exposure, 0)) as average_training_exposure, k,
   R6(at_k / sum(at_k) over w) as recommendation_share_at_k, R6(hits / greatest(pairs, 1)) as positive_recall_at_k
 from traffic join at_k using (model, domain, cohort) window w as (partition by model, domain, k)""")
 def item_cohort_report(spark, folder):
-    return reports.item_cohort_report(v.predictions(spark, folder), v.train(spark, folder), by=BY)
+    return reports.item_cohort_report(v.predictions(spark, folder), v.train(spark, folder), by=BY, min_items=12)
+
+
+@query("item_age_cohorts", """
+, f as (select item_id, min(timestamp_ms) as first from train group by item_id)
+, a as (select item_id, long_view, (timestamp_ms - first) // 86400000 as days from tests left join f using (item_id))
+select case when days is null then 'unseen' when days < 7 then '<7' when days < 14 then '<14' when days < 28 then '<28' else 'older' end as age,
+  count(distinct item_id) as items, count(*) as rows, R6(avg(long_view)) as positive_rate from a group by 1""")
+def item_age_cohorts(spark, folder):
+    return reports.item_age_report(v.scored_parts(spark, folder), v.train(spark, folder), (7, 14, 28))
 
 
 @query("history_depth_cohorts", """
