@@ -22,9 +22,10 @@ from exposura.operators.retrieval import exact_topk
 from exposura.session import materialize
 
 STRATEGIES = ("exposed_mixed", "exposed", "popularity", "random")
-# Draws by rejection before the exact draw over what is left takes over: one for all targets, then a few at a time.
+# Draws by rejection before the exact draw over what is left takes over: one for all targets, then four times as many as
+# before at a time, for ever fewer targets.
 ATTEMPTS = 5
-_AT_A_TIME = 4
+_MOST_AT_A_TIME = 16
 # Children of a node of the rank index.
 _FANOUT = 16
 
@@ -191,7 +192,7 @@ def _in_rounds(targets: DataFrame, drawn: Callable[[DataFrame], DataFrame], atte
     """
     found, pending, first = [], targets, 0
     while first < attempts:
-        width = min(_AT_A_TIME if first else 1, attempts - first)
+        width = min(max(1, 4 * first), _MOST_AT_A_TIME, attempts - first)
         tried = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))))
         found.append(materialize(drawn(tried).groupBy(*_TARGET).agg(F.min_by("candidate", "attempt").alias("negative_item"))))
         pending = materialize(pending.join(found[-1].select(*_TARGET), _TARGET, "left_anti"))
