@@ -142,6 +142,19 @@ def test_exact_topk_in_many_blocks_equals_brute_force(spark):
         retrieval.exact_topk(q, c, 0)
 
 
+def test_profile_vectors_do_not_broadcast_computed_vectors(spark, tmp_path):
+    spark.range(500).select(F.col("id").alias("item_id"), (F.col("id") % 7).cast("string").alias("kind")).write.parquet(str(tmp_path / "items"))
+    items = retrieval.hash_vectors(spark.read.parquet(str(tmp_path / "items")), "item_id", ["kind"], 8)
+    liked = spark.createDataFrame([(1, 3), (1, 3), (1, 4), (2, 10)], "user_id long, item_id long")
+    profiles = retrieval.profile_vectors(liked, items, dimension=8)
+    assert "BroadcastExchange" not in profiles._jdf.queryExecution().executedPlan().toString()
+    vectors = {r.item_id: np.array(r.embedding) for r in items.collect()}
+    found = {r.user_id: (r.positives, np.array(r.embedding)) for r in profiles.collect()}
+    mean = 2 * vectors[3] + vectors[4]
+    assert found[1][0] == 3 and np.allclose(found[1][1], mean / np.linalg.norm(mean))
+    assert found[2][0] == 1 and np.allclose(found[2][1], vectors[10])
+
+
 def test_popularity_weight_flips_the_top_item(spark):
     users = spark.createDataFrame([(1, [1.0, 0.0])], "user_id long, embedding array<float>")
     items = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.8, 0.0])], "item_id long, embedding array<float>")
