@@ -42,10 +42,10 @@ def _files_sql() -> str:
 
 @query("file_summary", f"select * from ({_files_sql()})")
 def file_summary(spark, folder):
-    """Headers and record counts of all given tables, read off the files one by one."""
-    report = files.file_report(spark, folder)
-    return report.where(F.col("file").isin(*[f"{t}.parquet" for t in TABLES])).select(
-        "file", "kind", F.array_join("header", ",").alias("header"), "records"
+    """Headers and record counts of all given tables, read off the files one by one; a table may be a folder of files."""
+    report = files.table_report(files.file_report(spark, folder), folder)
+    return report.where(F.col("table").isin(*[f"{t}.parquet" for t in TABLES])).select(
+        F.col("table").alias("file"), "kind", F.array_join("header", ",").alias("header"), "records"
     )
 
 

@@ -13,7 +13,7 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMAT = "file_report"
@@ -126,3 +126,18 @@ def file_report(spark: SparkSession, path: str) -> DataFrame:
     """
     spark.dataSource.register(FileReport)
     return spark.read.format(FORMAT).load(path)
+
+
+def table_report(report: DataFrame, path: str) -> DataFrame:
+    """One row per table of the folder ``path``: table, files, bytes, kind, header, records.
+
+    A table is a file right in the folder, or a sub-folder with all files below it. Kind and header are those of its first
+    file by path; records are null if a file of the table has none to tell.
+    """
+    base = file_system(path)[1].rstrip("/") + "/"
+    inner = F.substring("path", F.locate(base, F.col("path")) + len(base), F.length("path"))
+    counted = F.when(F.count("records") == F.count(F.lit(1)), F.sum("records"))
+    return report.groupBy(F.substring_index(inner, "/", 1).alias("table")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.min_by("kind", "path").alias("kind"),
+        F.min_by("header", "path").alias("header"), counted.alias("records"),
+    )

@@ -235,6 +235,19 @@ def test_files_are_reported_in_bounded_pieces(spark, tmp_path, monkeypatch, piec
     assert files.file_report(spark, "file:" + str(tmp_path / "in" / "a.csv")).first().records == 2
 
 
+def test_a_table_that_is_a_folder_of_files_is_one_row(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "in" / "many.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "in" / "one.parquet"))
+    (tmp_path / "in" / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "in" / "x.bin").write_text("?")
+    for path in (str(tmp_path / "in"), f"file:{tmp_path}/in/"):
+        report = files.table_report(files.file_report(spark, path), path)
+        assert rows(report, "table", "files", "kind", "records") == [
+            ("many.parquet", 3, "parquet", 10), ("one.parquet", 1, "parquet", 4), ("x.bin", 1, "other", None), ("x.csv", 1, "csv", 1)
+        ]
+        assert {tuple(r.header) for r in report.where("kind = 'parquet'").collect()} == {("id",)}
+
+
 def test_window_sizes_from_one_session_pass(spark):
     data = [(u, i, i * 1000 + (i // 17) * 10_000_000, int((u + i) % 9 == 0)) for u in range(4) for i in range(60)]
     log = spark.createDataFrame(data, "user_id long, item_id long, timestamp_ms long, long_view int")
