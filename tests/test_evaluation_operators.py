@@ -142,6 +142,27 @@ def test_exact_topk_in_many_blocks_equals_brute_force(spark):
         retrieval.exact_topk(q, c, 0)
 
 
+def test_top_lists_are_bounded_while_items_stream(spark):
+    rng = np.random.default_rng(3)
+    asked, vectors = rng.normal(size=(6, 3)), rng.integers(-2, 3, (900, 3)).astype(float)
+    vectors *= (1 + np.arange(900) // 30)[:, None]  # later items beat all earlier ones
+    vectors[5] = np.nan
+    top, most = retrieval._TopLists(asked, 4), 0
+    for start in range(0, 900, 30):
+        top.add(vectors[start:start + 30], np.arange(start, start + 30))
+        most = max(most, top.count)
+    assert most <= 6 * 4 * 2
+    row, item, score, rank = top.cut()
+    for q in range(6):
+        scores = np.where(np.isnan(vectors[:, 0]), -np.inf, np.nan_to_num(asked[q] @ vectors.T))
+        best = sorted(range(900), key=lambda i: (-scores[i], i))[:4]
+        assert item[row == q].tolist() == best and rank[row == q].tolist() == [1, 2, 3, 4] and np.allclose(score[row == q], scores[best])
+    q = spark.createDataFrame([(1, [1.0])], "user_id long, embedding array<double>")
+    assert "CoGroup" not in retrieval.exact_topk(q, q.withColumnRenamed("user_id", "item_id"), 1)._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="differ in length"):
+        retrieval.exact_topk(q, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "item_id long, embedding array<double>"), 1).collect()
+
+
 def test_profile_vectors_do_not_broadcast_computed_vectors(spark, tmp_path):
     spark.range(500).select(F.col("id").alias("item_id"), (F.col("id") % 7).cast("string").alias("kind")).write.parquet(str(tmp_path / "items"))
     items = retrieval.hash_vectors(spark.read.parquet(str(tmp_path / "items")), "item_id", ["kind"], 8)
