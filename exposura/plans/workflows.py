@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from exposura.functions.columns import finite_or_zero
 from exposura.functions.scale import running_totals
-from exposura.operators.candidates import retrieval_metrics
-from exposura.operators.contexts import context_starts
+from exposura.operators.candidates import user_list_metrics
 from exposura.operators.history import ranker_features
 from exposura.operators.popularity import popularity_score
 from exposura.operators.ranker import LinearRanker, fit_linear_ranker
@@ -88,9 +87,8 @@ def hybrid_sweep(
     """Retrieval metrics for every popularity weight in one job.
 
     A (user, weight) pair is a query whose extra coordinate is the weight, so all weights share one
-    search over the catalog. The search result is stored before it is evaluated.
+    search over the catalog. The users' lists are stored before they are evaluated; contexts never carry copies of them.
     """
-    starts = context_starts(contexts)
     known = users.join(contexts.select("user_id").distinct(), "user_id", "left_semi")
     queries = weighted_queries(
         known.select("*", F.explode(F.lit([float(w) for w in weights])).alias("popularity_weight")), F.col("popularity_weight")
@@ -98,11 +96,8 @@ def hybrid_sweep(
     top = exact_topk(queries, with_popularity(items, prior), candidate_k, query_col="query").join(
         queries.select("query", "user_id", "popularity_weight"), "query"
     )
-    candidates = materialize(
-        starts.select("context_id", "user_id").join(top, "user_id")
-        .select("popularity_weight", "context_id", "user_id", "item_id", "retrieval_score", "retrieval_rank")
-    )
-    return retrieval_metrics(candidates, contexts, k_values, by=["popularity_weight"])
+    lists = materialize(top.select("popularity_weight", "user_id", "item_id", "retrieval_rank"))
+    return user_list_metrics(lists, contexts, k_values, by=["popularity_weight"])
 
 
 def select_hybrid_weight(sweep: DataFrame, recall_k: int = 200) -> DataFrame:

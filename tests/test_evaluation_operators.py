@@ -142,6 +142,39 @@ def test_exact_topk_in_many_blocks_equals_brute_force(spark):
         retrieval.exact_topk(q, c, 0)
 
 
+def test_user_lists_give_the_metrics_of_their_contexts(spark):
+    rng = random.Random(5)
+    shown = spark.createDataFrame(
+        [(f"{u}:{c}", u, rng.randint(0, 9), rng.randint(0, 1), c) for u in range(6) for c in range(3) for _ in range(4)],
+        "context_id string, user_id long, item_id long, long_view int, timestamp_ms long",
+    )
+    lists = spark.createDataFrame(  # user 5 has no list, user 4 a short one under one weight only
+        [(w, u, i, r + 1) for w in (0.0, 0.5) for u in range(5) if u < 4 or w
+         for r, i in enumerate(rng.sample(range(10), 2 if u == 4 else 6))],
+        "popularity_weight double, user_id long, item_id long, retrieval_rank int",
+    )
+    contexts = shown.select("context_id", "user_id").distinct().join(lists, "user_id")
+    for by in ([], ["popularity_weight"]):
+        wanted, got = lists.where("popularity_weight = 0.5") if not by else lists, contexts.where("popularity_weight = 0.5") if not by else contexts
+        expected = cand.retrieval_metrics(got, shown, (1, 3, 6), by)
+        found = cand.user_list_metrics(wanted, shown, (1, 3, 6), by).select(*expected.columns)
+        order = [*by, "k"]
+        for a, b in zip(expected.orderBy(*order).collect(), found.orderBy(*order).collect(), strict=True):
+            assert a.asDict() == pytest.approx(b.asDict())
+
+
+def test_hybrid_sweep_stores_lists_of_users_not_of_contexts(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(workflows, "materialize", lambda df: stored.append(df.count()) or df)
+    users = spark.createDataFrame([(1, [1.0, 0.0])], "user_id long, embedding array<float>")
+    items = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.8, 0.0])], "item_id long, embedding array<float>")
+    prior = spark.createDataFrame([(10, 0.0), (11, 1.0)], "item_id long, prior double")
+    contexts = spark.createDataFrame([(f"1:{c}", 1, c, 10, 1) for c in range(9)], "context_id string, user_id long, timestamp_ms long, item_id long, long_view int")
+    sweep = workflows.hybrid_sweep(contexts, users, items, prior, (0.0, 0.5), 2, (1, 2))
+    assert rows(sweep, "popularity_weight", "k", "evaluated_contexts", "recall") == [(0.0, 1, 9, 1.0), (0.0, 2, 9, 1.0), (0.5, 1, 9, 0.0), (0.5, 2, 9, 1.0)]
+    assert stored == [2 * 2]
+
+
 def test_top_lists_are_bounded_while_items_stream(spark):
     rng = np.random.default_rng(3)
     asked, vectors = rng.normal(size=(6, 3)), rng.integers(-2, 3, (900, 3)).astype(float)
