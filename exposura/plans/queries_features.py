@@ -9,6 +9,7 @@ from exposura.operators import history, popularity as pop
 from exposura.plans import views as v
 from exposura.plans.registry import query
 from exposura.plans.workflows import popularity_baseline
+from exposura.session import materialize
 
 
 @query("popularity", "select item_id, exposures, positives, R6(score) as score from popularity")
@@ -81,7 +82,8 @@ select timestamp_ms, count(*) as rows, cast(sum(hist_item_exposure) as bigint) a
   R6(avg((ip + 20 * g) / (hist_item_exposure + 20))) as item_rate, R6(avg((up + 20 * g) / (hist_user_exposure + 20))) as user_rate
 from rates group by timestamp_ms""")
 def historical_features_ties(spark, folder):
-    return history.historical_features(v.impressions_big(spark, folder)).groupBy("timestamp_ms").agg(
+    log = materialize(v.impressions_big(spark, folder))  # a join that counting, windows and the prior would each run again
+    return history.historical_features(log).groupBy("timestamp_ms").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("hist_item_exposure").alias("item_exposure"),
         F.sum("hist_user_exposure").alias("user_exposure"), F.avg("hist_item_reward_rate").alias("item_rate"),
         F.avg("hist_user_long_view_rate").alias("user_rate"),

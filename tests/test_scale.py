@@ -172,3 +172,12 @@ def test_stored_intermediates_can_be_released(spark):
     folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert os.path.isdir(folder) and kept.count() == 5
     assert session.release_stored(spark) == 1 and not os.path.exists(folder)
+
+
+def test_history_is_not_shuffled_to_a_small_prior(spark):
+    data = [(i, i % 11, i % 7, (i % 5) * 1000, i % 2) for i in range(400)]  # many rows at few moments
+    log = session.materialize(spark.createDataFrame(data, "event_id long, user_id long, item_id long, timestamp_ms long, long_view int"))
+    features = history.historical_features(log)
+    assert features.count() == 400
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(timestamp_ms" not in plan and "BroadcastHashJoin [timestamp_ms" in plan
