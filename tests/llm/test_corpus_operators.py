@@ -578,6 +578,33 @@ def test_no_task_compares_an_anchor_with_many_runs_as_a_whole(spark, tmp_path, m
     assert sorted(map(tuple, out.collect())) == sorted((d, *e) for (d, _), e in zip(rows, expected))
 
 
+def test_repeated_strings_when_later_scans_are_split_otherwise(spark, tmp_path):
+    """Spark cuts files by the cores it has at the time, so an executor that joins or leaves changes the parts of a scan."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(90)]
+    rows += [(100 + i, f"{prose(rng, 5)} {t}") for i, t in rows[::3]]
+    path = str(tmp_path / "docs")
+    table(spark, rows).repartition(5).write.parquet(path)
+    cut = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(cut)
+    out = substrings.remove_repeats(spark.read.parquet(path), 40, 12).drop("kept")
+    spark.conf.set(cut, "512b")
+    try:
+        found = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set(cut, before)
+    expected = repeats([t.encode() for _, t in rows], 40)
+    assert found == sorted((d, *e) for (d, _), e in zip(rows, expected))
+
+
+def test_repeated_strings_of_a_table_that_is_not_stored(spark):
+    rng = random.Random(16)
+    rows = corpus(rng, 30)
+    out = substrings.remove_repeats(table(spark, rows).repartition(3), 40, 12).drop("kept")
+    expected = repeats([(t or "").encode() for _, t in rows], 40)
+    assert sorted(map(tuple, out.collect())) == sorted((d, *e) for (d, _), e in zip(rows, expected))
+
+
 # --- language model
 
 
