@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from exposura.session import materialize
+from exposura.session import discard, materialize
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round sends every node's larger partners to its smallest partner, then every node and its smaller
     partners likewise; it ends when a round changes nothing. The number of rounds grows with the logarithm
-    of the longest path. Each round is written to the shared folder, so a lost executor costs one round.
+    of the longest path. Each round is written to the shared folder, so a lost executor costs one round; the round
+    before it is deleted then.
     Links with a null end and links of a node with itself are left out; no links give no rows.
     """
     links = materialize(
@@ -41,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         )
         following = materialize(small)
         now = _summary(following)
+        discard(links)
         links = following
         if now == before:
             break

@@ -9,9 +9,11 @@ bounds that follow from the two set sizes rule it out:
    order takes n-grams of seldom-used count buckets first, so that passages that many documents share are
    hardly ever among the leading ones.
 2. Rows of these leading n-grams are range-partitioned and sorted by (n-gram, set size, document). A row meets
-   the next ``WINDOW`` rows of its n-gram, and the meetings of a pair are counted. Larger groups, and groups cut
-   by a partition's edge, are chained row by row instead, which keeps them connected. So a group never costs
-   more than a constant per row, and every pair that links is connected through candidate pairs.
+   the next ``WINDOW`` rows of its n-gram, and the meetings of a pair are counted. In wide groups, which are larger
+   or cut by a batch's edge, rows do not meet. A few more leading n-grams are taken than 1. asks for, so a pair that
+   links shares that many more; it was met in other groups, or both its documents stand in several wide groups. Only
+   documents that do are tied to the others of those groups. So a group never costs more than a constant per row,
+   every pair that links is connected through candidate pairs, and a common n-gram or two connect nothing else.
 3. Inside each connected set of candidates the product is computed exactly, in blocks of bounded size; only
    blocks whose set sizes can reach the threshold meet. A block returns each document with the smallest one it
    is linked with through the block, so rows out never exceed rows in.
@@ -25,13 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from exposura.llm.components import components
-from exposura.llm.ordering import join_unique
+from exposura.llm.ordering import drop_few, join_few, join_unique
 from exposura.llm.text_kernel import distinct_per_row, mix, released, row_lists, shingle_names, slices, word_names
-from exposura.session import materialize
+from exposura.session import discard, materialize
 
 WORDS = 4
 PERCENT = 85
@@ -40,6 +41,8 @@ BUCKET_BITS = 18
 _CHUNK = 1024
 # Neighbours a leading n-gram's row is compared with.
 WINDOW = 32
+# One leading n-gram more for so many n-grams of a document, and the most of these.
+MORE_PER, MOST_MORE = 32, 7
 # Bounds of a block of the product: documents, and n-grams of all of them.
 BLOCK_ROWS = 2048
 BLOCK_CELLS = 1_000_000
@@ -89,6 +92,27 @@ def bucket_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return out
 
 
+def _more(n):
+    """Leading n-grams of a set of ``n`` beyond the least number; a set never has more of them than a larger one."""
+    if isinstance(n, np.ndarray):
+        return np.minimum(n // MORE_PER, MOST_MORE)
+    return F.least(F.floor(n / MORE_PER), F.lit(MOST_MORE))
+
+
+def _share(n: Column, percent: int) -> Column:
+    return F.ceil(percent * n / 100)
+
+
+def _wide_needed(n: Column, percent: int) -> Column:
+    """In so many wide groups a set of ``n`` stands that links with one it was not met with: what its smallest partner has."""
+    return 1 + _more(_share(n, percent))
+
+
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets that link are of the same class or of two neighbouring ones."""
+    return F.floor(F.log(n) / (1.0001 * math.log(100 / percent)))  # a hair wide, for sizes exactly at the bound
+
+
 def profiles(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """Per row of ``docs``: set size, two names of the whole set, and its leading shingles in order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32).clip(max=2**32 - 1))
@@ -105,7 +129,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     sums.append((running[starts + sizes] - running[starts]).view(np.int64))
                 order = np.lexsort((names, order_of[_buckets(names)], owner))
                 place = np.arange(len(names)) - starts[owner]
-                lead = sizes - -(-percent * sizes // 100) + 1
+                lead = sizes - -(-percent * sizes // 100) + 1 + _more(sizes)  # all, where that is more than there are
                 keep = place < lead[owner]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, rows), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
@@ -118,22 +142,20 @@ def profiles(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
 
 
 def _compare(percent: int):
-    """A function for ``mapInArrow`` over sorted rows ``(shingle, n, doc)``: pairs, chain links and edge rows.
+    """A function for ``mapInArrow`` over sorted rows ``(shingle, n, doc)``: pairs of a batch, and rows of its wide groups.
 
-    A pair's ``hits`` counts the leading shingles it was met at; a chain link has none.
+    A pair's ``hits`` counts the leading shingles it was met at. A group is wide if it has more than ``WINDOW`` rows or
+    may go on outside the batch; its rows come out as they are.
     """
-    names = ["a", "b", "n_a", "n_b", "hits", "part", "side", "shingle", "n", "doc"]
+    names = ["a", "b", "n_a", "n_b", "hits", "shingle", "n", "doc"]
 
-    def pairs(a, b, n_a, n_b, chain):
+    def pairs(a, b, n_a, n_b):
         swap = a > b
-        a, b, n_a, n_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)
-        order = np.lexsort((chain, n_b, n_a, b, a))
-        rows = np.stack([a, b, n_a, n_b, chain])[:, order]
+        rows = np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)])
+        rows = rows[:, np.lexsort(rows[::-1])]
         rows = rows[:, rows[0] != rows[1]]
         starts = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]) if rows.shape[1] else np.zeros(0, int)
-        hits = np.diff(np.r_[starts, rows.shape[1]])
-        rows = rows[:, starts]
-        return table([*rows[:4], np.where(rows[4] == 1, 0, hits)], len(starts))
+        return table([*rows[:, starts], np.diff(np.r_[starts, rows.shape[1]])], len(starts))
 
     def table(columns, count, first=0):
         out = [pa.nulls(count, pa.int64())] * len(names)
@@ -141,79 +163,72 @@ def _compare(percent: int):
         return pa.RecordBatch.from_arrays(out, names)
 
     def work(batches):
-        part = TaskContext.get().partitionId()
-        held = None  # the last rows, so that a group cut by a batch is seen whole
-        first_row = last_row = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            if rows.shape[1] == 0:
+            shingle, n, doc = (batch.column(i).to_numpy() for i in range(3))
+            count = len(shingle)
+            if count == 0:
                 continue
-            if first_row is None:
-                first_row = rows[:, 0].copy()
-            last_row = rows[:, -1].copy()
-            carried = 0 if held is None else held.shape[1]
-            rows = rows if held is None else np.concatenate([held, rows], axis=1)
-            shingle, n, doc = rows
-            count = rows.shape[1]
-            # chain what the window cannot hold: groups longer than it, and groups at an edge of partition or batch
             wide = np.zeros(count, bool)
             if count > WINDOW:
                 wide[:count - WINDOW] = shingle[:count - WINDOW] == shingle[WINDOW:]
                 wide = np.isin(shingle, shingle[wide])
-            wide |= (shingle == first_row[0]) | (shingle == shingle[-1]) | (shingle == shingle[max(0, carried - 1)])
+            wide |= (shingle == shingle[0]) | (shingle == shingle[-1])
             left, right = [], []
             for step in range(1, min(WINDOW, count - 1) + 1):
                 a, b = slice(0, count - step), slice(step, count)
                 close = (shingle[a] == shingle[b]) & (100 * n[a] >= percent * n[b]) & ~wide[a]
                 if not close.any():  # nor can there be any further on, rows being sorted
                     break
-                close[:max(0, carried - step)] = False  # both ends seen in an earlier batch
                 at = np.flatnonzero(close)
                 left.append(at)
                 right.append(at + step)
-            next_to = (shingle[:-1] == shingle[1:]) & wide[:-1] & (100 * n[:-1] >= percent * n[1:])
-            next_to[:max(0, carried - 1)] = False  # a group at the end of a batch was chained there
-            at = np.flatnonzero(next_to)
-            chain = np.r_[np.zeros(sum(map(len, left)), int), np.ones(len(at), int)]
-            left, right = np.concatenate([*left, at]), np.concatenate([*right, at + 1])
-            if len(left):
-                yield pairs(doc[left], doc[right], n[left], n[right], chain)
-            held = rows[:, -WINDOW:]
-        if first_row is not None:
-            ends = np.stack([first_row, last_row], axis=1)
-            yield table([[part, part], [0, 1], *ends], 2, first=5)
+            if left:
+                left, right = np.concatenate(left), np.concatenate(right)
+                yield pairs(doc[left], doc[right], n[left], n[right])
+            yield table([shingle[wide], n[wide], doc[wide]], int(wide.sum()), first=5)
 
     return work
 
 
+def _wide_links(wide: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the documents of ``wide(shingle, n, doc)`` which may link without having been met.
+
+    Inside a wide group each is tied to the smallest document of its size class, and that to the one of the next class.
+    """
+    often = wide.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= _wide_needed(F.col("n"), percent))
+    rows = materialize(wide.join(often, ["doc", "n"], "left_semi").select("shingle", "doc", _size_class(F.col("n"), percent).alias("size_class")))
+    heads = materialize(rows.groupBy("shingle", "size_class").agg(F.min("doc").alias("head")))
+    above = heads.select("shingle", (F.col("size_class") - 1).alias("size_class"), F.col("head").alias("next_head"))
+    return join_unique(rows, heads, ["shingle", "size_class"]).select(F.col("doc").alias("a"), F.col("head").alias("b")).unionByName(
+        heads.join(above, ["shingle", "size_class"]).select(F.col("head").alias("a"), F.col("next_head").alias("b"))
+    )
+
+
 def candidate_pairs(leads: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of ids that connect every two documents that link. ``leads``: doc_id, n_shingles, lead.
 
-    A pair met at ``hits`` leading shingles, in groups that were compared in full, overlaps in no more than
-    ``hits`` and what lies behind the leading part of the larger set; below the needed overlap it is discarded.
-    If the two also share a leading shingle of a chained group, the chain connects them anyway.
+    What two sets share of their leading shingles, and what lies behind the leading part of one of them, is all they
+    overlap in. A pair that links shares so many leading shingles as the smaller set has beyond the least number, and one
+    more. So if it shares fewer in wide groups than ``_wide_needed``, it was met, and with these its ``hits`` and what lies
+    behind reach the needed overlap; otherwise ``_wide_links`` connects it.
     """
     rows = leads.select(F.explode("lead").alias("shingle"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("doc"))
     ordered = rows.repartitionByRange("shingle", "n", "doc").sortWithinPartitions("shingle", "n", "doc")
     found = materialize(ordered.mapInArrow(
-        _compare(percent),
-        "a long, b long, n_a long, n_b long, hits long, part long, side long, shingle long, n long, doc long",
+        _compare(percent), "a long, b long, n_a long, n_b long, hits long, shingle long, n long, doc long"
     ))
-    pairs = found.where("part is null").groupBy("a", "b", "n_a", "n_b").agg(
-        F.sum("hits").alias("hits"), F.min("hits").alias("least")  # a chain link has no hits
-    )
-    behind = F.expr(f"greatest(ceil({percent} * n_a / 100), ceil({percent} * n_b / 100)) - 1")
-    needed = F.expr(f"{percent} * (n_a + n_b) / {100 + percent}")
-    # half a shingle of slack for the division; a chain link stays in any case
-    kept = pairs.where((F.col("least") == 0) | (F.col("hits") + behind >= needed - 0.5)).select("a", "b")
-    # two rows for each partition: the last row of one against the first of the next
-    line = Window.orderBy("part", "side")
-    at_edges = found.where("part is not null").select(
-        "*", *[F.lag(c).over(line).alias(f"last_{c}") for c in ("shingle", "n", "doc")]
-    ).where(f"side = 0 and shingle = last_shingle and 100 * last_n >= {percent} * n").select(
-        F.least("doc", "last_doc").alias("a"), F.greatest("doc", "last_doc").alias("b")
-    )
-    return kept.unionByName(at_edges).distinct()
+    pairs = found.where("a is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits"))
+    def behind(n: Column) -> Column:
+        return F.greatest(_share(n, percent) - 1 - _more(n), F.lit(0))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    unmet = _wide_needed(F.greatest(n_a, n_b), percent) - 1
+    needed = percent * (n_a + n_b) / (100 + percent)
+    # half a shingle of slack for the division
+    kept = pairs.where(F.col("hits") + unmet + F.greatest(behind(n_a), behind(n_b)) >= needed - 0.5).select("a", "b")
+    wide = found.where("doc is not null").select("shingle", "n", "doc")
+    links = materialize(kept.unionByName(_wide_links(wide, percent)).distinct())
+    discard(found)
+    return links
 
 
 def block_links(docs: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +289,7 @@ def _product(percent: int):
 
 def verified_links(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` inside each candidate set. ``grouped``: doc_id, n_shingles, component."""
-    ratio = 1.0001 * math.log(100 / percent)  # a hair wide, for sizes exactly at the bound
-    classed = grouped.withColumn("size_class", F.floor(F.log(F.col("n_shingles")) / ratio))
+    classed = grouped.withColumn("size_class", _size_class(F.col("n_shingles"), percent))
     totals = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("cells"))
     small = (F.col("rows") <= BLOCK_ROWS) & (F.col("cells") <= BLOCK_CELLS)
     totals = materialize(totals.withColumn("small", small))
@@ -307,7 +321,7 @@ def verified_links(docs: DataFrame, grouped: DataFrame, words: int, percent: int
         F.transform(seq(F.coalesce("cuts_below", F.lit(0))), lambda x: key(cls - 1, x, cls, F.col("cut"))),
     )
     routes = alone.unionByName(placed.select("doc_id", F.explode(parts).alias("part")))
-    wanted = routes.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
+    wanted = materialize(routes.groupBy("doc_id").agg(F.collect_set("part").alias("parts")))
 
     def sets(batches):
         for batch in batches:
@@ -317,7 +331,7 @@ def verified_links(docs: DataFrame, grouped: DataFrame, words: int, percent: int
                     row_lists(names.view(np.int64), owner, rows, pa.int64()),
                 ], ["doc", "parts", "names"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    texts = join_few(docs.select("doc_id", "text"), wanted, "doc_id")
     rows = texts.select("doc_id", "text", "parts").mapInArrow(released(sets), "doc long, parts array<string>, names array<long>")
     rows = rows.select("doc", F.explode("parts").alias("part"), "names")
     return rows.groupBy("part").applyInPandas(_product(percent), "a long, b long")
@@ -342,10 +356,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     sets = materialize(known.select("doc_id", "n_shingles", "name_a", "name_b"))
     member = materialize(join_unique(sets, same_set, ["n_shingles", "name_a", "name_b"]).select("doc_id", "n_shingles", "leader"))
     leaders = member.where("doc_id = leader").select("doc_id", "n_shingles").distinct()
-    leads = known.select("doc_id", "n_shingles", "lead").join(
-        member.where("doc_id = leader").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"]
-    )
-    sets_of_candidates = components(candidate_pairs(leads, percent))
+    followers = materialize(member.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("leader")).alias("follows")).where("follows"))
+    sizes = materialize(profile.select("doc_id", "n_shingles"))
+    candidates = candidate_pairs(drop_few(known.select("doc_id", "n_shingles", "lead"), followers, "doc_id"), percent)
+    discard(profile, sets)
+    sets_of_candidates = components(candidates)
     grouped = leaders.join(sets_of_candidates, leaders["doc_id"] == sets_of_candidates["id"]).select("doc_id", "n_shingles", "component")
     links = materialize(verified_links(docs, materialize(grouped), words, percent))
     # copies follow their leader afterwards; only a doc_id with several sets ties leaders together
@@ -355,5 +370,5 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     labels = components(links.unionByName(ties.select(F.col("leader").alias("a"), F.col("least").alias("b"))))
     led = materialize(least.select("doc_id", F.col("least").alias("id")))
     found = join_unique(led, labels, ["id"], "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    out = join_unique(profile.select("doc_id", "n_shingles"), found, ["doc_id"], "left")
+    out = join_unique(sizes, found, ["doc_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
