@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from exposura.llm.bpe import bpe_encode, ids_digest
 from exposura.llm.decontaminate import decontaminate
 from exposura.llm.ngram_join import ngram_join
+from exposura.llm.ordering import drop_few
 from exposura.llm.queries import vocabulary_path
 from exposura.llm.secrets import mask_secrets
 from exposura.llm.toxicity import fit_toxicity, score_toxicity
-from exposura.session import materialize
+from exposura.session import discard, materialize
 
 # Near copies: five words and a similarity of 0.8.
 WORDS, PERCENT = 5, 80
@@ -30,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     links = ngram_join(docs.select("doc_id", "text"), WORDS, PERCENT)
     dropped = links.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(materialize(dropped), "doc_id", "left_anti").select(*docs.columns)
+    kept = drop_few(docs, materialize(dropped), "doc_id")
     repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
@@ -69,7 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        discard(*stored)  # what the stage before kept
+        stored = [docs]
     return docs

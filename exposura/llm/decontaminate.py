@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from exposura.llm.ordering import drop_few
 from exposura.llm.text_kernel import distinct_per_row, mix, released, row_lists, shingle_names, slices, word_names
 from exposura.session import materialize
 
@@ -193,5 +194,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark; rows with a null doc_id stay."""
-    hit = contained_items(docs, benchmark, percent).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    return drop_few(docs, materialize(contained_items(docs, benchmark, percent).select("doc_id").distinct()), "doc_id")
