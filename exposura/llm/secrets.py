@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 import zlib
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ _SIMPLE = {"\\n": "\n", "\\r": "\r", "\\t": "\t"}
 # that of the layers inside bounds anything; only an encoded layer longer than the overlap that lies over the border
 # of two pieces is seen in two parts.
 _CHUNK, _PIECE, _OVERLAP = 1 << 16, 1 << 21, 1 << 17
+# Shorter data is searched by patterns, longer data as an array.
+_SHORT = 1 << 10
 
 _NO_BASE64 = np.ones(256, bool)
 _NO_BASE64[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = False
@@ -88,10 +91,18 @@ class _Layer:
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*b"\t\n\r\x1b", *range(0x20, 0x7F)]] = True
+# Bytes that stand in no text become 0, others 1; no stretch is without a run of 16 of these.
+_COULD_BE_TEXT = bytes(b >= 0x80 or bool(_PLAIN[b]) for b in range(256))
+_SIXTEEN = b"\1" * 16
 
 
 def _stretches(data: bytes):
     """The matches of ``_STRETCH``, looked for only where a run of bytes could be text."""
+    if _SIXTEEN not in data.translate(_COULD_BE_TEXT):
+        return
+    if len(data) < _SHORT:
+        yield from _STRETCH.finditer(data)
+        return
     raw = np.frombuffer(data, np.uint8)
     padded = np.r_[raw, np.zeros(3, np.uint8)]
     follows = (padded & 0xC0) == 0x80
@@ -194,8 +205,22 @@ def _end(data: memoryview, start: int) -> int | None:
             return done.value
 
 
+def _zlib_header(first: int) -> bytes:
+    seconds = b"".join(re.escape(bytes([b])) for b in range(256) if (first * 256 + b) % 31 == 0)
+    return re.escape(bytes([first])) + b"[" + seconds + b"]"
+
+
+_HEADER = re.compile(b"|".join([rb"\x1f\x8b", *[_zlib_header(first) for first in range(0x08, 0x80, 0x10)]]), re.DOTALL)
+
+
 def _headers(data: bytes) -> list[int]:
     """Where the first two bytes could begin gzip or zlib data."""
+    if len(data) < _SHORT:
+        found, match = [], _HEADER.search(data)
+        while match:
+            found.append(match.start())
+            match = _HEADER.search(data, found[-1] + 1)
+        return found
     raw = np.frombuffer(data, np.uint8)
     pairs = raw[:-1].astype(np.uint16) << 8 | raw[1:]
     zlib_like = (raw[:-1] & 0x8F == 8) & (pairs % 31 == 0)
@@ -255,17 +280,23 @@ def _content_layers(layer: _Layer, data: bytes, starts: np.ndarray, ends: np.nda
 
 def _base64_layers(layer: _Layer):
     for match in _BASE64.finditer(layer.text):
-        a = match.start()
-        letters = a + np.flatnonzero(~np.isin(np.frombuffer(match.group().encode(), np.uint8), tuple(b"\r\n=")))
+        letters = None  # where the letters of the run stand, once something is found in it
         run = re.sub(r"[\r\n=]", "", match.group()).replace("-", "+").replace("_", "/")
         for shift in range(4):  # a blob may stand behind other letters of the run
             own = run[shift:len(run) - ((len(run) - shift) % 4 == 1)]
             data = base64.b64decode(own + "=" * (-len(own) % 4))
-            for stretch in _stretches(data):
+            stretches, headers = list(_stretches(data)), _headers(data)
+            if not stretches and not headers:
+                continue
+            if letters is None:
+                letters = match.start() + np.flatnonzero(~np.isin(np.frombuffer(match.group().encode(), np.uint8), tuple(b"\r\n=")))
+            for stretch in stretches:
                 text = stretch.group().decode()
                 last = stretch.start() + np.cumsum(_widths(text))
                 first_letter, last_letter = (last - _widths(text)) * 4 // 3, -(-last * 4 // 3)
                 yield _Layer(text, layer.starts[letters[shift + first_letter]], layer.ends[letters[shift + last_letter - 1]])
+            if not headers:
+                continue
             at = np.arange(len(data))
             yield from _content_layers(layer, data, letters[shift + at * 4 // 3], letters[shift + -(-(at + 1) * 4 // 3) - 1] + 1)
 
@@ -273,11 +304,16 @@ def _base64_layers(layer: _Layer):
 def _escaped_contents(layer: _Layer):
     for sign, runs in (("%", _PERCENT_BYTES), ("\\x", _ESCAPED_BYTES)):
         for match in runs.finditer(layer.text) if sign in layer.text else ():
-            if sign not in match.group():
+            run = match.group()
+            if sign not in run:
+                continue
+            if sign == "%":
+                data = unquote_to_bytes(run) if _PERCENT.search(run) else run.encode()
+            else:
+                data = b"".join(map(_byte, _UNITS[sign].finditer(run)))
+            if not _headers(data):
                 continue
-            units = [(m.end(), _byte(m)) for m in _UNITS[sign].finditer(match.group())]
-            ends = match.start() + np.array([end for end, _ in units])
-            data = b"".join(byte for _, byte in units)
+            ends = match.start() + np.array([m.end() for m in _UNITS[sign].finditer(run)])
             yield from _content_layers(layer, data, np.r_[match.start(), ends[:-1]], ends)
 
 
@@ -296,9 +332,12 @@ def _unwrapped(layer: _Layer):
             yield inner
 
 
-def find_secrets(text: str, encoded: bool = True) -> tuple[list[Span], list[Span], int]:
-    """``(spans in the text as it is, spans of all layers, layers opened)``, both sorted and distinct."""
-    base = scan(text)
+def find_secrets(text: str, encoded: bool = True, plain: bool = True) -> tuple[list[Span], list[Span], int]:
+    """``(spans in the text as it is, spans of all layers, layers opened)``, both sorted and distinct.
+
+    ``encoded`` and ``plain`` say whether the text may hold an encoded layer, and a secret as it is.
+    """
+    base = scan(text) if plain else []
     if not encoded:
         return base, base, 0
     places = np.arange(len(text) + 1)
@@ -353,7 +392,7 @@ def _each(column: pa.Array):
     for at in range(len(column)):
         if plain[at] or coded[at]:
             text = column[at].as_py() or ""
-            yield text, *find_secrets(text, bool(coded[at]))
+            yield text, *find_secrets(text, bool(coded[at]), bool(plain[at]))
         else:
             yield None, [], [], 0
 
